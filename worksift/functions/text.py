@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from worksift.config import COMMON_TOKENS
 
@@ -27,7 +28,7 @@ def activity_strip(c: Column) -> Column:
     return clean_text(F.regexp_replace(F.trim(c), r"(?s)^WS/\s*MP\d+/\d{4}-\d{4}/\d+-(?=.)", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(texts: pd.Series) -> pd.Series:
     return texts.map(
         lambda t: unicodedata.normalize("NFKC", t).casefold() if t is not None else None

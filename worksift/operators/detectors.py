@@ -10,8 +10,11 @@ from worksift.functions.dates import months_elapsed
 from worksift.functions.sentences import sentence
 from worksift.plans.storage import written
 
-_SANCTIONED = F.coalesce(F.col("sanctioned_amount_inr"), F.lit(0.0))
-_SPENT = F.coalesce(F.col("expenditure_amount_inr"), F.lit(0.0))
+
+def _amounts() -> tuple[Column, Column]:
+    """Sanctioned and spent, missing ones as 0."""
+    zero = F.lit(0.0)
+    return F.coalesce("sanctioned_amount_inr", zero), F.coalesce("expenditure_amount_inr", zero)
 
 
 def _z(value: Column, mean: str, std: str) -> Column:
@@ -33,15 +36,16 @@ def cost_outlier(gated: DataFrame) -> DataFrame:
 def stalled_work(gated: DataFrame, as_of: Column) -> DataFrame:
     """Adds ``stalled_variant``, ``stalled_months`` and ``stalled_percent``. With a sanction date
     the clock runs from it; without one, an unspent work counts from its last update."""
+    sanctioned, spent = _amounts()
     dated = F.col("sanction_date").isNotNull()
     months = months_elapsed(F.coalesce("sanction_date", "last_updated"), as_of)
     open_status = F.col("peer").isNotNull() & F.col("completion_status").isin("In Progress", "Sanctioned")
     old = open_status & (months >= SETTINGS.stall_months)
-    percent = F.when(_SANCTIONED > 0, _SPENT / _SANCTIONED * 100)
+    percent = F.when(sanctioned > 0, spent / sanctioned * 100)
     variant = (
-        F.when(old & dated & (_SANCTIONED > 0) & (_SPENT <= 0), "zero_spend")
+        F.when(old & dated & (sanctioned > 0) & (spent <= 0), "zero_spend")
         .when(old & dated & (percent < SETTINGS.stall_spend_percent), "part_spend")
-        .when(old & ~dated & (_SPENT <= 0), "no_update")
+        .when(old & ~dated & (spent <= 0), "no_update")
     )
     return gated.withColumns(
         {
@@ -55,7 +59,8 @@ def stalled_work(gated: DataFrame, as_of: Column) -> DataFrame:
 def expenditure_mismatch(gated: DataFrame) -> DataFrame:
     """Adds ``mismatch_variant`` and ``mismatch_percent_over``. The spend ratio must stand out
     among peers, and then exceed the sanction, or equal it while the work is open."""
-    ratio = F.when(F.col("peer").isNotNull() & (_SANCTIONED > 0), _SPENT / _SANCTIONED)
+    sanctioned, spent = _amounts()
+    ratio = F.when(F.col("peer").isNotNull() & (sanctioned > 0), spent / sanctioned)
     z = _z(ratio, "peer.mean_ratio", "peer.std_ratio")
     outside = (F.col("peer.std_ratio") <= 0) | (z > SETTINGS.ratio_z)
     full = (F.abs(ratio - 1) < 1e-9) & ~F.col("completion_status").eqNullSafe(F.lit("Completed"))
@@ -146,13 +151,14 @@ def detect(works: DataFrame, as_of: Column) -> DataFrame:
     return expenditure_mismatch(stalled_work(cost_outlier(found), as_of))
 
 
-_VARIANT = {
-    "cost_outlier": F.col("cost_variant"),
-    "stalled_work": F.col("stalled_variant"),
-    "expenditure_mismatch": F.col("mismatch_variant"),
-    # No peer group, no flag: the gate holds for this detector too.
-    "agency_concentration": F.when(F.col("peer").isNotNull(), F.col("concentration_variant")),
-}
+def _variants() -> dict[str, Column]:
+    """The fired variant of each flag; no peer group, no flag, concentration included."""
+    return {
+        "cost_outlier": F.col("cost_variant"),
+        "stalled_work": F.col("stalled_variant"),
+        "expenditure_mismatch": F.col("mismatch_variant"),
+        "agency_concentration": F.when(F.col("peer").isNotNull(), F.col("concentration_variant")),
+    }
 
 
 def flag_assemble(found: DataFrame) -> DataFrame:
@@ -166,9 +172,10 @@ def flag_assemble(found: DataFrame) -> DataFrame:
         "mp_count": F.col("concentration_mps"),
         "district_count": F.col("concentration_districts"),
     }
-    flags = F.array_compact(F.array(*[F.when(_VARIANT[f].isNotNull(), F.lit(f)) for f in FLAGS]))
+    variant = _variants()
+    flags = F.array_compact(F.array(*[F.when(variant[f].isNotNull(), F.lit(f)) for f in FLAGS]))
     why = [
-        F.when(_VARIANT[f].isNotNull(), F.struct(F.lit(f), sentence(_VARIANT[f], values))) for f in FLAGS
+        F.when(variant[f].isNotNull(), F.struct(F.lit(f), sentence(variant[f], values))) for f in FLAGS
     ]
     return found.withColumn("flags", flags).withColumns(
         {

@@ -181,6 +181,7 @@ def isolation_forest(points: DataFrame, rows: DataFrame) -> DataFrame:
 _CELL_POINTS = 2_000  # distinct points aimed at per cell
 _MAX_CELLS = 1 << 16
 _QUERIES_PER_TASK = 20_000
+_DISTANCE_DECIMALS = 9  # equally spaced points tie; floating noise must not order them
 
 
 class _Cells:
@@ -265,7 +266,7 @@ def _nearest(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFram
         for d in range(4):
             gap = q[:, d, None] - x[None, :, d]
             distance += gap * gap
-        np.sqrt(distance, out=distance)
+        distance = np.round(np.sqrt(distance), _DISTANCE_DECIMALS)
         # Everything up to the k-th distance, so that ties are cut by number and not at random.
         bound = np.partition(distance, keep - 1, axis=1)[:, keep - 1]
         if "radius" in part:
@@ -322,7 +323,7 @@ def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
         F.max("distance").alias("radius"), F.sum("weight").alias("_found")
     )
     asking = placed.join(reached, "point", "left").withColumn(
-        "radius", F.when(F.col("_found") >= k, F.col("radius")).otherwise(F.lit(float("inf")))
+        "radius", F.when(F.col("_found") >= k, F.col("radius") + 10.0**-_DISTANCE_DECIMALS).otherwise(F.lit(float("inf")))
     )
 
     @F.pandas_udf("array<int>")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worksift.config import SETTINGS
 from worksift.functions.money import risk_band
 from worksift.operators.detectors import detect, flag_assemble
 from worksift.operators.ensemble import POINT, ensemble_score, point_columns
-from worksift.plans.ranking import global_rank
+from worksift.plans.ranking import global_rank, running_totals
 
 SCORED_COLUMNS = ["work_id", "inspection_rank", "risk_score", "flags", "why_flagged", "peer_group"]
 
@@ -88,23 +88,11 @@ def risk_band_counts(scored: DataFrame) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Ranks with ties sharing their mean, from counts per distinct value.
-
-    Distinct values are ranked by the sorted-partition method, so neither a common value nor a
-    long list of rare ones gathers in one task.
-    """
+    """Ranks with ties sharing their mean. Rows are counted per distinct value first, so a common
+    value is one row when the values are put in order."""
     counts = df.groupBy(value).agg(F.count("*").alias("_c"))
-    ordered = global_rank(counts, [F.col(value)], "_order")
-    blocks = F.floor((F.col("_order") - 1) / 10_000)
-    ordered = ordered.withColumn("_block", blocks)
-    sums = ordered.groupBy("_block").agg(F.sum("_c").alias("_rows"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_block").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("_start") + F.sum("_c").over(inside)
-    ranks = ordered.join(starts, "_block").select(
-        F.col(value), (upto - F.col("_c") + (F.col("_c") + 1) / 2).alias(name)
-    )
+    ordered = running_totals(global_rank(counts, [F.col(value)], "_order"), "_order", {"_upto": "_c"})
+    ranks = ordered.select(F.col(value), (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
     return df.join(ranks, value)
 
 

@@ -393,7 +393,8 @@ def similar_pairs(scoped: DataFrame, features: DataFrame, character_min: float,
                 "a": ta[i],
                 "b": tb[j],
                 "cosine": cosine[i, j],
-                "jaccard": jaccard[i, j],
+                # Reported as a plain rounded ratio; the threshold saw the array rounding.
+                "jaccard": [round(s / u, config.SCORE_DECIMALS) if u else 0.0 for s, u in zip(shared[i, j].tolist(), union[i, j].tolist())],
                 "by_character": by_character[i, j],
                 "by_token": by_token[i, j],
             }
@@ -463,7 +464,8 @@ def district_near_copy_pairs(texts: DataFrame, numbered: DataFrame, features: Da
 
 
 def pair_difference(pairs: DataFrame, numbered: DataFrame, common: Sequence[str] = config.COMMON_TOKENS) -> DataFrame:
-    """Words both sides share, words only one has, and the class that follows."""
+    """Words both sides share, words only one has, and the class that follows. ``token_overlap``
+    comes with the pair."""
     for side in "ab":
         words = numbered.select(
             F.col("t").alias(side), content_tokens(F.col("canonical"), common).alias(f"_tokens_{side}")
@@ -471,8 +473,6 @@ def pair_difference(pairs: DataFrame, numbered: DataFrame, common: Sequence[str]
         pairs = pairs.join(words, side)
     shared = F.array_intersect("_tokens_a", "_tokens_b")
     only_a, only_b = F.array_except("_tokens_a", "_tokens_b"), F.array_except("_tokens_b", "_tokens_a")
-    union = F.size("shared_tokens") + F.size("only_a_tokens") + F.size("only_b_tokens")
-    overlap = F.when(union > 0, F.bround(F.size("shared_tokens") / union, config.SCORE_DECIMALS))
     kind = (
         F.when((F.size("only_a_tokens") == 0) & (F.size("only_b_tokens") == 0), "reworded_match")
         .when((F.size("only_a_tokens") == 0) | (F.size("only_b_tokens") == 0), "one_sided_detail")
@@ -485,9 +485,7 @@ def pair_difference(pairs: DataFrame, numbered: DataFrame, common: Sequence[str]
             "only_b_tokens": F.array_sort(only_b),
         }
     )
-    return lists.withColumns(
-        {"token_overlap": F.coalesce(overlap, F.lit(0.0)), "difference_group": kind}
-    ).drop("_tokens_a", "_tokens_b")
+    return lists.withColumn("difference_group", kind).drop("_tokens_a", "_tokens_b")
 
 
 def duplicate_counts(

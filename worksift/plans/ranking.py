@@ -22,19 +22,50 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     placed = written(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id()),
+        .withColumn("_sorted_at", F.monotonically_increasing_id()),
         "ranked",
     )
-    part = F.shiftright("_place", _ROW_BITS)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    row = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    part = F.shiftright("_sorted_at", _ROW_BITS)
+    sizes = placed.groupBy(part.alias("_sorted_part")).agg(F.count("*").alias("_sorted_rows"))
+    before = Window.orderBy("_sorted_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_sorted_part", F.coalesce(F.sum("_sorted_rows").over(before), F.lit(0)).alias("_sorted_start"))
+    row = F.col("_sorted_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")  # one row per partition
-        .withColumn(name, (F.col("_start") + row + 1).cast("bigint"))
-        .drop("_part", "_place", "_start")
+        placed.withColumn("_sorted_part", part)
+        .join(F.broadcast(starts), "_sorted_part")  # one row per partition
+        .withColumn(name, (F.col("_sorted_start") + row + 1).cast("bigint"))
+        .drop("_sorted_part", "_sorted_at", "_sorted_start")
+    )
+
+
+_BLOCK_ROWS = 100_000
+
+
+def running_totals(df: DataFrame, position: str, totals: dict[str, str]) -> DataFrame:
+    """Adds running sums in order of ``position`` (a dense 1..N): ``totals`` maps each new column
+    to the column it adds up. Rows are summed in blocks, and only block sums in one line."""
+    blocked = df.withColumn("_block", F.floor((F.col(position) - 1) / _BLOCK_ROWS))
+    sums = blocked.groupBy("_block").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in totals.items()])
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        "_block", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_start_{n}") for n in totals]
+    )
+    inside = Window.partitionBy("_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    out = blocked.join(starts, "_block")
+    for name, column in totals.items():
+        out = out.withColumn(name, F.col(f"_start_{name}") + F.sum(column).over(inside))
+    return out.drop("_block", *[f"_start_{n}" for n in totals])
+
+
+def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """1..n inside each key, null keys included, however large one key is."""
+    ranked = global_rank(df, [*[F.col(k) for k in keys], *order], name)
+    starts = ranked.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.min(name).alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return (
+        ranked.join(starts, on=same)
+        .withColumn(name, F.col(name) - F.col("_first") + 1)
+        .drop("_first", *[f"_key_{k}" for k in keys])
     )
 
 

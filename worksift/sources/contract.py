@@ -89,9 +89,10 @@ def require_valid(works: DataFrame) -> DataFrame:
 
 
 def contract_cross_checks(
-    works: DataFrame, scored: DataFrame, nodes: DataFrame, edges: DataFrame, aliases: DataFrame
+    works: DataFrame, scored: DataFrame, nodes: DataFrame, edge_works: DataFrame, evidence: DataFrame
 ) -> DataFrame:
-    """``(check, subject, detail)`` for every broken rule across the five tables."""
+    """``(check, subject, detail)`` for every broken rule across the five tables. Edges and alias
+    candidates come as one row per work behind them."""
 
     def finding(df: DataFrame, check: str, subject: Column, detail: Column) -> DataFrame:
         return df.select(
@@ -110,9 +111,8 @@ def contract_cross_checks(
     flagged, group = F.size("flags") > 0, F.col("peer_group")
     node_ids = nodes.select(F.col("id").alias("_node"))
 
-    def missing_works(df: DataFrame, check: str, subject: Column, ids: str) -> DataFrame:
-        exploded = df.select(subject.alias("_subject"), F.explode(ids).alias("work_id"))
-        lost = exploded.join(known, "work_id", "left_anti")
+    def missing_works(df: DataFrame, check: str, subject: Column) -> DataFrame:
+        lost = df.withColumn("_subject", subject).join(known, "work_id", "left_anti")
         return finding(lost, check, F.col("_subject"), F.col("work_id"))
 
     edge_name = F.concat_ws("->", "source", "target")
@@ -127,16 +127,13 @@ def contract_cross_checks(
             F.col("peer_group.n"),
         ),
         finding(scored.where(~flagged & group.isNotNull()), "peers_without_flag", F.col("work_id"), F.lit(None)),
-        missing_works(edges, "edge_work_unknown", edge_name, "work_ids"),
+        missing_works(edge_works, "edge_work_unknown", edge_name),
         missing_works(
-            aliases,
-            "alias_work_unknown",
-            F.concat_ws("/", "proposed_canonical_id", "alias_label"),
-            "evidence_work_ids",
+            evidence, "alias_work_unknown", F.concat_ws("/", "proposed_canonical_id", "alias_label")
         ),
     ]
     for end in ("source", "target"):
-        loose = edges.join(node_ids, F.col(end) == F.col("_node"), "left_anti")
+        loose = edge_works.select("source", "target").distinct().join(node_ids, F.col(end) == F.col("_node"), "left_anti")
         checks.append(finding(loose, f"edge_{end}_unknown", edge_name, F.col(end)))
     result = checks[0]
     for check in checks[1:]:
