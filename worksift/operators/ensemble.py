@@ -178,119 +178,141 @@ def isolation_forest(points: DataFrame, rows: DataFrame) -> DataFrame:
 
 # -- local outlier factor ---------------------------------------------------------------------
 
-_CELL_POINTS = 2_000  # distinct points aimed at per cell
-_MAX_CELLS = 1 << 16
+_CELL_POINTS = 500  # distinct points aimed at per cell
+_MAX_CELLS = 1 << 14  # larger cells are cut again inside their task
+_CELL_SAMPLE = 100
+_BRUTE_POINTS = 4_000
 _QUERIES_PER_TASK = 20_000
 _DISTANCE_DECIMALS = 9  # equally spaced points tie; floating noise must not order them
 
 
-class _Cells:
-    """A median-split tree over a bounded sample of points; leaves are the cells.
+def _cut_cells(sample: np.ndarray, wanted: int) -> dict[str, np.ndarray]:
+    """A median-split tree over a bounded sample of points, as plain arrays; leaves are the cells.
 
     Only speed depends on the sample: every search checks the boxes themselves.
     """
-
-    def __init__(self, sample: np.ndarray, cells: int):
-        self.axis, self.cut, self.low, self.high, self.child = [], [], [], [], []
-        self._split(sample, np.full(4, -np.inf), np.full(4, np.inf), max(0, int(np.ceil(np.log2(max(cells, 1))))))
-        self.axis, self.cut = np.array(self.axis), np.array(self.cut)
-        self.low, self.high, self.child = np.array(self.low), np.array(self.high), np.array(self.child)
-
-    def _split(self, x, low, high, levels) -> int:
-        me = len(self.axis)
-        self.axis.append(-1)
-        self.cut.append(0.0)
-        self.low.append(low)
-        self.high.append(high)
-        self.child.append((-1, -1))
-        if levels == 0 or len(x) < 4 * SETTINGS.lof_neighbours:
-            return me
+    tree = {"axis": [], "cut": [], "low": [], "high": [], "child": []}
+
+    def add(low, high) -> int:
+        for name, value in (("axis", -1), ("cut", 0.0), ("low", low), ("high", high), ("child", [-1, -1])):
+            tree[name].append(value)
+        return len(tree["axis"]) - 1
+
+    everywhere = np.full(4, np.inf)
+    levels = int(np.ceil(np.log2(max(wanted, 1))))
+    waiting = [(add(-everywhere, everywhere), sample, levels)]
+    least = 2 * SETTINGS.lof_neighbours  # a cell answers its own points from at least this many
+    while waiting:
+        node, x, level = waiting.pop()
+        if level == 0 or len(x) <= 2 * least:
+            continue
         for axis in np.argsort(x.min(axis=0) - x.max(axis=0)):
             cut = np.median(x[:, axis])
             if cut == x[:, axis].max():
-                smaller = x[x[:, axis] < cut, axis]
-                cut = smaller.max() if len(smaller) else cut
+                cut = x[x[:, axis] < cut, axis].max(initial=-np.inf)
             left = x[:, axis] <= cut
-            if min(left.sum(), (~left).sum()) > 2 * SETTINGS.lof_neighbours:
+            if min(left.sum(), (~left).sum()) > least:
                 break
         else:
-            return me
-        left_high, right_low = high.copy(), low.copy()
-        left_high[axis] = right_low[axis] = cut
-        self.axis[me], self.cut[me] = axis, cut
-        a = self._split(x[left], low, left_high, levels - 1)
-        b = self._split(x[~left], right_low, high, levels - 1)
-        self.child[me] = (a, b)
-        return me
-
-    def home(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), dtype=np.int64)
-        row = np.arange(len(x))
-        while (self.axis[node] >= 0).any():
-            inner = self.axis[node] >= 0
-            right = x[row, np.maximum(self.axis[node], 0)] > self.cut[node]
-            node = np.where(inner, self.child[node, right.astype(int)], node)
-        return node
-
-    def touched(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) for every cell whose box lies within ``radius`` of the row's point."""
-        rows, nodes = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
-        found = []
-        while len(rows):
-            leaf = self.axis[nodes] < 0
-            found.append((rows[leaf], nodes[leaf]))
-            rows, nodes = np.repeat(rows[~leaf], 2), self.child[nodes[~leaf]].ravel()
-            gap = np.maximum(0, np.maximum(self.low[nodes] - x[rows], x[rows] - self.high[nodes]))
-            near = (gap * gap).sum(axis=1) <= radius[rows] ** 2 * (1 + 1e-12)
-            rows, nodes = rows[near], nodes[near]
-        return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
+            continue
+        high, low = tree["high"][node].copy(), tree["low"][node].copy()
+        high[axis] = low[axis] = cut
+        a, b = add(tree["low"][node], high), add(low, tree["high"][node])
+        tree["axis"][node], tree["cut"][node], tree["child"][node] = axis, cut, [a, b]
+        waiting += [(a, x[left], level - 1), (b, x[~left], level - 1)]
+    return {name: np.array(values) for name, values in tree.items()}
+
+
+def _home(cells: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The cell of each point."""
+    axis, cut, child = cells["axis"], cells["cut"], cells["child"]
+    node, row = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+    while (axis[node] >= 0).any():
+        inner = axis[node] >= 0
+        right = x[row, np.maximum(axis[node], 0)] > cut[node]
+        node = np.where(inner, child[node, right.astype(int)], node)
+    return node
+
+
+def _touched(cells: dict[str, np.ndarray], x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) for every cell whose box lies within ``radius`` of the row's point."""
+    rows, nodes = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
+    found = []
+    while len(rows):
+        leaf = cells["axis"][nodes] < 0
+        found.append((rows[leaf], nodes[leaf]))
+        rows, nodes = np.repeat(rows[~leaf], 2), cells["child"][nodes[~leaf]].ravel()
+        gap = np.maximum(0, np.maximum(cells["low"][nodes] - x[rows], x[rows] - cells["high"][nodes]))
+        near = (gap * gap).sum(axis=1) <= radius[rows] ** 2 * (1 + 1e-12)
+        rows, nodes = rows[near], nodes[near]
+    return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
 
 
 _NEAR_SCHEMA = "point bigint, neighbour bigint, distance double, weight bigint"
 
 
-def _nearest(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
-    """For each query the closest points (ties by number) until their weights reach ``k``; a
-    point stands for its own duplicates too, but never for the work asking."""
-    x, ids = points[FEATURES].to_numpy(), points["point"].to_numpy()
-    weights = points["weight"].to_numpy()
-    by_id = np.argsort(ids)
-    x, ids, weights = x[by_id], ids[by_id], weights[by_id]
-    keep = min(k + 1, len(ids))
+_NEAR_COLUMNS = ["point", "neighbour", "distance", "weight"]
+
+
+def _first_k(point, neighbour, distance, weight, k: int) -> pd.DataFrame:
+    """Per point the closest neighbours (ties by number) until their weights reach ``k``."""
+    order = np.lexsort((neighbour, distance, point))
+    point, neighbour, distance, weight = (v[order] for v in (point, neighbour, distance, weight))
+    before = np.cumsum(weight) - weight
+    before = before - before[np.searchsorted(point, point, side="left")]
+    kept = (weight > 0) & (before < k)
+    return pd.DataFrame(dict(zip(_NEAR_COLUMNS, (v[kept] for v in (point, neighbour, distance, weight)))))
+
+
+def _pairwise(q, asking, bound, x, ids, weights, k: int) -> list[np.ndarray]:
+    """Candidates of every query among ``x``: all points up to the ``k+1``-th distance, or up to
+    ``bound`` where that is nearer, as columns of ``_NEAR_COLUMNS``."""
     out = []
-    step = max(1, 4_000_000 // max(len(ids), 1))
-    for start in range(0, len(queries), step):
-        part = queries.iloc[start : start + step]
-        q, asking = part[FEATURES].to_numpy(), part["point"].to_numpy()
-        distance = np.zeros((len(q), len(ids)))
-        for d in range(4):
-            gap = q[:, d, None] - x[None, :, d]
+    keep, step = min(k + 1, len(ids)), max(1, 4_000_000 // max(len(ids), 1))
+    for start in range(0, len(q), step):
+        part = slice(start, start + step)
+        distance = np.zeros((len(q[part]), len(ids)))
+        for d in range(q.shape[1]):
+            gap = q[part, d, None] - x[None, :, d]
             distance += gap * gap
         distance = np.round(np.sqrt(distance), _DISTANCE_DECIMALS)
-        # Everything up to the k-th distance, so that ties are cut by number and not at random.
-        bound = np.partition(distance, keep - 1, axis=1)[:, keep - 1]
-        if "radius" in part:
-            bound = np.minimum(bound, part["radius"].to_numpy())
-        row, col = np.nonzero(distance <= bound[:, None])
-        near = distance[row, col]
-        order = np.lexsort((col, near, row))
-        row, col, near = row[order], col[order], near[order]
-        weight = weights[col] - (ids[col] == asking[row])
-        total = np.cumsum(weight)
-        first = np.searchsorted(row, row, side="left")
-        before = total - weight - (total - weight)[first]
-        kept = (weight > 0) & (before < k)
-        out.append(
-            pd.DataFrame(
-                {
-                    "point": asking[row[kept]],
-                    "neighbour": ids[col[kept]],
-                    "distance": near[kept],
-                    "weight": weight[kept],
-                }
-            )
-        )
-    return pd.concat(out) if out else pd.DataFrame(columns=["point", "neighbour", "distance", "weight"])
+        far = np.minimum(np.partition(distance, keep - 1, axis=1)[:, keep - 1], bound[part])
+        row, col = np.nonzero(distance <= far[:, None])
+        # A point stands for its own duplicates too, but not for the work asking.
+        weight = weights[col] - (ids[col] == asking[part][row])
+        out.append((asking[part][row], ids[col], distance[row, col], weight))
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def _nearest(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The closest of ``points`` to each query, within its ``radius`` if it has one. Many points
+    are cut into cells here too, asked like the cells of the whole."""
+    x, ids, weights = points[FEATURES].to_numpy(), points["point"].to_numpy(), points["weight"].to_numpy()
+    q, asking = queries[FEATURES].to_numpy(), queries["point"].to_numpy()
+    bound = queries["radius"].to_numpy() if "radius" in queries else np.full(len(q), np.inf)
+    if len(x) <= _BRUTE_POINTS:
+        return _first_k(*_pairwise(q, asking, bound, x, ids, weights, k), k)
+    cells = _cut_cells(x, len(x) // _CELL_POINTS)
+    members = pd.Series(np.arange(len(x))).groupby(_home(cells, x)).apply(np.asarray)
+
+    def ask(rows: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+        found = []
+        for cell, who in pd.Series(rows).groupby(at):
+            who, here = who.to_numpy(), members[cell]
+            found.append(_pairwise(q[who], asking[who], bound[who], x[here], ids[here], weights[here], k))
+        if not found:
+            return pd.DataFrame(columns=_NEAR_COLUMNS)
+        return _first_k(*[np.concatenate(c) for c in zip(*found)], k)
+
+    home = _home(cells, q)
+    own = ask(np.arange(len(q)), home)
+    total = own.groupby("point").agg(found=("weight", "sum"), reach=("distance", "max")).reindex(asking)
+    reached = np.where(total["found"].to_numpy() >= k, total["reach"].to_numpy() + 10.0**-_DISTANCE_DECIMALS, np.inf)
+    bound = np.minimum(bound, reached)
+    rows, at = _touched(cells, q, bound)
+    away = at != home[rows]
+    both = pd.concat([own, ask(rows[away], at[away])])
+    return _first_k(*[both[c].to_numpy() for c in _NEAR_COLUMNS], k)
 
 
 def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
@@ -304,14 +326,15 @@ def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
     spark = points.sparkSession
     count = points.count()
     wanted = min(_MAX_CELLS, max(1, count // _CELL_POINTS))
-    share = min(1.0, 64.0 * wanted / max(count, 1)) if wanted > 1 else 0.0
-    picked = F.xxhash64("point") / F.lit(2.0**64) + 0.5 < share * 2
+    share = min(1.0, _CELL_SAMPLE * wanted / max(count, 1)) if wanted > 1 else 0.0
+    picked = F.xxhash64("point") / F.lit(2.0**64) + 0.5 < share
+    # At most about 100 points for each of 16,384 cells.
     sample = points.where(picked).select(*FEATURES).toPandas().to_numpy() if share else np.zeros((0, 4))
-    cells = spark.sparkContext.broadcast(_Cells(sample, wanted))  # at most 2**17 nodes
+    cells = spark.sparkContext.broadcast(_cut_cells(sample, wanted))  # at most 2**15 nodes
 
     @F.pandas_udf("int")
     def home(*columns: pd.Series) -> pd.Series:
-        return pd.Series(cells.value.home(np.column_stack([c.to_numpy() for c in columns])))
+        return pd.Series(_home(cells.value, np.column_stack([c.to_numpy() for c in columns])))
 
     placed = points.select("point", "weight", *FEATURES, home(*FEATURES).alias("cell"))
 
@@ -329,7 +352,7 @@ def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
     @F.pandas_udf("array<int>")
     def elsewhere(cell: pd.Series, radius: pd.Series, *columns: pd.Series) -> pd.Series:
         x = np.column_stack([c.to_numpy() for c in columns])
-        rows, found = cells.value.touched(x, radius.to_numpy())
+        rows, found = _touched(cells.value, x, radius.to_numpy())
         away = found != cell.to_numpy()[rows]
         order = np.argsort(rows[away], kind="stable")
         parts = np.split(found[away][order], np.cumsum(np.bincount(rows[away], minlength=len(x)))[:-1])
@@ -353,7 +376,7 @@ def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
 
     def answer_others(asked_here: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
         if asked_here.empty or here.empty:
-            return pd.DataFrame(columns=["point", "neighbour", "distance", "weight"])
+            return pd.DataFrame(columns=_NEAR_COLUMNS)
         return _nearest(asked_here, here, k)
 
     others = (

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from worksift.config import COMPLETION_DAYS_LIMIT, FLAGS, NO_PAYMENT_DAYS, SANCTION_DAYS_LIMIT, UNDER_IMPLEMENTATION
 from worksift.functions.dates import calendar_months, days_stale, financial_year
 from worksift.functions.money import exact_sum, quota_for
-from worksift.plans.ranking import global_rank
+from worksift.plans.ranking import dense_position, position_blocks
+from worksift.plans.storage import written
 from worksift.sources.contract import WORKS_SCHEMA
 
 # The columns a text search looks in.
@@ -111,11 +112,16 @@ def works_filter(merged: DataFrame, query: WorksQuery, as_of: Column, watch: Dat
     return rows
 
 
+def _queue(filtered: DataFrame) -> DataFrame:
+    return filtered.select("work_id", "inspection_rank", (F.size("flags") > 0).alias("flagged"))
+
+
 def filtered_rank(filtered: DataFrame) -> DataFrame:
     """``work_id, flagged, display_rank, inside_quota``: place of each work in a filtered queue."""
-    narrow = filtered.select("work_id", "inspection_rank", (F.size("flags") > 0).alias("flagged"))
-    ranked = global_rank(narrow, [F.col("inspection_rank")], "display_rank")
-    total = ranked.agg(quota_for(F.count("*")).alias("_quota"))
+    queue = _queue(filtered)
+    blocks = position_blocks(queue, "inspection_rank")
+    ranked = dense_position(queue, "inspection_rank", blocks, "display_rank")
+    total = blocks.agg(quota_for(F.sum("rows")).alias("_quota"))
     return (
         ranked.crossJoin(F.broadcast(total))  # one row
         .withColumn("inside_quota", F.col("display_rank") <= F.col("_quota"))
@@ -128,24 +134,40 @@ def works_page(
 ) -> tuple[DataFrame, DataFrame]:
     """One page in inspection order, and the counts that go with it.
 
-    Only ids, ranks and flags are put in order; the page's full rows are fetched by id.
+    The filtered queue is counted per block of ranks; only the blocks under the page, and the one
+    the quota ends in, are looked at row by row, and full rows are fetched for the page alone.
     """
     filtered = works_filter(merged, query, as_of, watch)
-    ranked = filtered_rank(filtered)
-    scoped = query.scope == "under_implementation"
-    beyond = F.count_if(F.col("flagged") & ~F.col("inside_quota"))
-    total = F.count("*")
-    meta = ranked.agg(
+    queue = _queue(filtered)
+    blocks = written(position_blocks(queue, "inspection_rank", {"flagged": F.count_if("flagged")}), "blocks")
+    first = (query.page - 1) * query.page_size
+    end = F.col("start") + F.col("rows")
+    under = blocks.where((F.col("start") < first + query.page_size) & (end > first))
+    place = F.col("display_rank")
+    wanted = dense_position(queue, "inspection_rank", under, "display_rank").where(
+        place.between(first + 1, first + query.page_size)
+    )
+    rows = filtered.join(F.broadcast(wanted.select("work_id", "display_rank")), "work_id")  # one page of ids
+
+    total = F.coalesce(F.sum("rows"), F.lit(0))
+    counts = blocks.agg(
         total.alias("total"),
         F.ceil(total / query.page_size).cast("bigint").alias("total_pages"),
-        (quota_for(total) if scoped else F.lit(None).cast("bigint")).alias("quota_n"),
-        F.count_if("flagged").alias("flagged_total"),
-        (beyond if scoped else F.lit(None).cast("bigint")).alias("flagged_beyond_quota"),
+        quota_for(total).alias("quota_n"),
+        F.coalesce(F.sum("flagged"), F.lit(0)).alias("flagged_total"),
     )
-    first = (query.page - 1) * query.page_size
-    wanted = ranked.where(F.col("display_rank").between(first + 1, first + query.page_size))
-    rows = filtered.join(F.broadcast(wanted.select("work_id", "display_rank")), "work_id")  # one page of ids
-    return rows, meta
+    if query.scope != "under_implementation":
+        unknown = F.lit(None).cast("bigint")
+        return rows, counts.withColumns({"quota_n": unknown, "flagged_beyond_quota": unknown})
+    quota = F.broadcast(counts.select("quota_n"))  # one row
+    after = blocks.crossJoin(quota).where(F.col("start") >= F.col("quota_n")).agg(
+        F.coalesce(F.sum("flagged"), F.lit(0)).alias("_after")
+    )
+    split = blocks.crossJoin(quota).where((F.col("start") < F.col("quota_n")) & (end > F.col("quota_n")))
+    within = dense_position(queue, "inspection_rank", split, "display_rank").crossJoin(quota)
+    rest = within.agg(F.count_if(F.col("flagged") & (place > F.col("quota_n"))).alias("_rest"))
+    meta = counts.crossJoin(F.broadcast(after)).crossJoin(F.broadcast(rest))  # single rows
+    return rows, meta.withColumn("flagged_beyond_quota", F.col("_after") + F.col("_rest")).drop("_after", "_rest")
 
 
 def work_day_counts(rows: DataFrame, as_of: Column, watch: DataFrame | None = None) -> DataFrame:

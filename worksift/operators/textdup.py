@@ -147,33 +147,32 @@ def distinct_texts(texts: DataFrame) -> DataFrame:
     return written(global_rank(once, [F.col("canonical")], "t"), "texts")
 
 
-def _grams(word: Column) -> Column:
-    """Every 3 to 5 character piece of the word between two spaces."""
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
-    size = F.length(word) + 2
-
-    def pieces(n: int) -> Column:
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1)))
-        return F.coalesce(
-            F.transform(starts, lambda i: F.substr(padded, i, F.lit(n))), F.array().cast("array<string>")
-        )
+def _grams(words: DataFrame) -> DataFrame:
+    """Every 3 to 5 character piece of each word between two spaces, as ``gram``."""
+    padded = words.withColumn("word", F.concat(F.lit(" "), "word", F.lit(" ")))
+    starts = padded.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("word") - 2)))
+    left = F.length("word") - F.col("_at") + 1
+    piece = lambda n: F.substr("word", F.col("_at"), F.lit(n))
+    pieces = F.array(piece(3), F.when(left >= 4, piece(4)), F.when(left >= 5, piece(5)))
+    return starts.withColumn("gram", F.explode(pieces)).where(F.col("gram").isNotNull()).drop("word", "_at")
+
 
-    return F.concat(*[pieces(n) for n in (3, 4, 5)])
+def text_words(numbered: DataFrame) -> DataFrame:
+    """``t, word, n``. Texts are dealt out by number once; counting their words, and later the
+    pieces of those words, then needs no further shuffle: a text is one row to begin with."""
+    rows = numbered.select("t", "canonical").repartition("t")
+    words = rows.select("t", F.explode(F.split("canonical", " ")).alias("word"))
+    return words.groupBy("t", "word").agg(F.count("*").alias("n"))
 
 
 def char_tfidf(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(vocabulary, weights)`` of character pieces fitted on all distinct texts.
 
     The vocabulary has ``gram, df, idf`` and ``g``, a number growing with frequency; the weights
-    are ``t, g, weight`` with unit length per text. Repeated words are counted before they are
-    cut, and one piece's frequency is combined map-side.
+    are ``t, g, raw``. Repeated words are counted before they are cut, and one piece's frequency
+    is combined map-side.
     """
-    words = numbered.select("t", F.explode(F.split("canonical", " ")).alias("word")).groupBy("t", "word").agg(
-        F.count("*").alias("n")
-    )
-    counts = words.select("t", "n", F.explode(_grams(F.col("word"))).alias("gram")).groupBy("t", "gram").agg(
-        F.sum("n").alias("tf")
-    )
+    counts = _grams(text_words(numbered)).groupBy("t", "gram").agg(F.sum("n").alias("tf"))
     counts = written(counts, "grams")
     total = numbered.agg(F.count("*").alias("_texts"))
     df = counts.groupBy("gram").agg(F.count("*").alias("df"))
@@ -207,7 +206,10 @@ def _vectors(raw: DataFrame) -> DataFrame:
 
 def _token_sets(numbered: DataFrame, common: Sequence[str]) -> DataFrame:
     """Content words of each text as numbers growing with frequency: ``t, k`` (sorted)."""
-    rows = numbered.select("t", F.explode(content_tokens(F.col("canonical"), common)).alias("token"))
+    rows = text_words(numbered).select("t", F.col("word").alias("token"))
+    if common:
+        rows = rows.where(~F.col("token").isin(*common))
+    rows = written(rows, "words")
     frequency = rows.groupBy("token").agg(F.count("*").alias("df"))
     numbers = written(global_rank(frequency, [F.col("df"), F.col("token")], "k").select("token", "k"), "tokens")
     return rows.join(numbers, "token").groupBy("t").agg(F.sort_array(F.collect_list("k")).alias("k"))
@@ -215,7 +217,9 @@ def _token_sets(numbered: DataFrame, common: Sequence[str]) -> DataFrame:
 
 def text_features(numbered: DataFrame, common: Sequence[str] = config.COMMON_TOKENS) -> DataFrame:
     """``t, g, w, k``: weighted pieces and content words of every distinct text, written once."""
-    _, raw = char_tfidf(numbered)
+    vocabulary, raw = char_tfidf(numbered)
+    if vocabulary.count() < 2**31:  # half the bytes of a vector's numbers
+        raw = raw.withColumn("g", F.col("g").cast("int"))
     vectors, tokens = _vectors(raw), _token_sets(numbered, common)
     empty = F.array().cast("array<bigint>")
     return written(
@@ -263,7 +267,7 @@ def _prefixes(features: DataFrame, character_min: float, use_tokens: bool) -> Da
 
         return weights.map(length)
 
-    lists = [F.slice("g", 1, needed("w"))]
+    lists = [F.slice("g", 1, needed("w")).cast("array<bigint>")]
     if use_tokens:
         size = F.size("k")
         overlap = F.ceil(size * (config.TOKEN_JACCARD_MIN - _HALF - 1e-9))
@@ -400,7 +404,12 @@ def similar_pairs(scoped: DataFrame, features: DataFrame, character_min: float,
             }
         )
 
-    return texts.groupBy("scope", "task_a", "task_b").applyInPandas(compare, _PAIR_SCHEMA)
+    keys = ["scope", "task_a", "task_b"]
+    tasks = candidates.select("scope", *task.values()).distinct().count()
+    cores = candidates.sparkSession.sparkContext.defaultParallelism
+    default = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Tasks are few and heavy on small inputs: a partition for each keeps every core busy.
+    return texts.repartition(max(default, min(tasks, 8 * cores)), *keys).groupBy(*keys).applyInPandas(compare, _PAIR_SCHEMA)
 
 
 def _hits() -> Column:

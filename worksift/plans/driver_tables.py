@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksift.plans.storage import written
+from worksift.plans.storage import spread, written
 
 AS_OF = "2001-09-01"
 
@@ -23,8 +23,11 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     order with very many lines is spread before it is brought together."""
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     paid = price * (1 - F.col("l_discount").cast("decimal(4,2)"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"
+    )
     by_vendor = (
-        table(spark, sf_dir, "lineitem")
+        spread(lines)
         .groupBy("l_orderkey", "l_suppkey")
         .agg(
             F.count("*").alias("n"),
@@ -121,7 +124,7 @@ def alias_works(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_works(spark: SparkSession, sf_dir: str, constituency: str, authority: str) -> DataFrame:
     """Documents as described works: whole texts, with two of their columns as the scopes."""
     doc = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         doc.cast("string").alias("work_id"),
         F.col(constituency).alias("constituency"),
         F.col(authority).alias("implementing_district_authority"),
@@ -138,8 +141,11 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as typed payment events."""
     brand = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate", "l_extendedprice"
+    )
     return (
-        table(spark, sf_dir, "lineitem")
+        spread(lines)
         .join(brand, F.col("l_partkey") == F.col("p_partkey"), "left")
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
         .select(

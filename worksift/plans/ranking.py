@@ -57,6 +57,29 @@ def running_totals(df: DataFrame, position: str, totals: dict[str, str]) -> Data
     return out.drop("_block", *[f"_start_{n}" for n in totals])
 
 
+def position_blocks(df: DataFrame, dense: str, sums: dict[str, Column] | None = None) -> DataFrame:
+    """``block, rows, start``: how the rows of ``df`` spread over blocks of the whole number
+    ``dense``, and how many come before each block. Extra ``sums`` are added up per block."""
+    block = F.floor((F.col(dense) - 1) / _BLOCK_ROWS).alias("block")
+    extra = [c.alias(n) for n, c in (sums or {}).items()]
+    counts = df.groupBy(block).agg(F.count("*").alias("rows"), *extra)
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+
+
+def dense_position(df: DataFrame, dense: str, blocks: DataFrame, name: str) -> DataFrame:
+    """Place of each row among those of ``df`` in the order of ``dense``, a rank it already has.
+    Rows need not be sorted as a whole: a block holds at most as many rows as it has ranks. Only
+    rows of the given ``blocks`` are returned."""
+    inside = Window.partitionBy("block").orderBy(dense)
+    return (
+        df.withColumn("block", F.floor((F.col(dense) - 1) / _BLOCK_ROWS))
+        .join(blocks.select("block", "start"), "block")
+        .withColumn(name, F.col("start") + F.row_number().over(inside))
+        .drop("block", "start")
+    )
+
+
 def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """1..n inside each key, null keys included, however large one key is."""
     ranked = global_rank(df, [*[F.col(k) for k in keys], *order], name)

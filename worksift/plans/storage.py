@@ -23,6 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[context.applicationId]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """One folder per application, so that what a run has written can be removed after it."""
+    return f"{shared_dir(spark)}/worksift-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder.
 
@@ -31,6 +36,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     when it is below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when its input has fewer splits than there are cores, as with one
+    small file; an input of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -17,7 +17,7 @@ from worksift.operators import aliases, delay, detectors, ensemble, evaluation,
 from worksift.plans import driver_tables as given
 from worksift.plans.driver_tables import as_of
 from worksift.plans.ranking import global_rank
-from worksift.plans.storage import shared_dir, written
+from worksift.plans.storage import run_dir, written
 from worksift.sources import contract, snapshot, tiles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -358,7 +358,7 @@ def works_compat_view(spark, sf_dir):
 
 
 def _snapshot_folder(spark, sf_dir):
-    folder = f"{shared_dir(spark)}/snapshots-{spark.sparkContext.applicationId}-{sf_dir.strip('/').replace('/', '_')}"
+    folder = f"{run_dir(spark)}/snapshots-{sf_dir.strip('/').replace('/', '_')}"
     rows = works(spark, sf_dir)
     for name, kept in (
         ("20260904T101500Z", rows),
@@ -387,7 +387,7 @@ def snapshot_write(spark, sf_dir):
         "edge_works": edge_rows,
         "alias_candidates": aliases.alias_candidates(given.alias_works(spark, sf_dir)),
     }
-    folder = f"{shared_dir(spark)}/served-{spark.sparkContext.applicationId}-{sf_dir.strip('/').replace('/', '_')}"
+    folder = f"{run_dir(spark)}/served-{sf_dir.strip('/').replace('/', '_')}"
     snapshot.snapshot_write(tables, folder, "20260904T101500Z")
     counts = [
         spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("rows")) for name in tables

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worksift.functions.categories import category_of
 from worksift.functions.dates import clean_blank, portal_date, portal_date_supplied, tenure_range
-from worksift.functions.money import amount_floor, exact_sum
+from worksift.functions.money import amount_floor
 from worksift.functions.text import activity_strip, clean_text
 
 # Stages before any ground work, the status of settled money, the share of
@@ -117,56 +117,50 @@ def tile_parse(tiles: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: parsers[name](rows) for name, rows in tiles.items()}
 
 
-def _most_frequent(value: str) -> Column:
-    """Most frequent non-null value over pre-counted rows, the smallest on a tie."""
-    c = F.col(value)
-    return F.min_by(c, F.when(c.isNotNull(), F.struct(-F.col("n"), c)))
-
-
 def payment_rollup(payments: DataFrame) -> DataFrame:
     """Per work: settled total, usual vendor and agency, the vendor id seen most with that
     vendor's name, and the latest payment date of any status.
 
-    Events are first counted per (work, vendor, id, agency), so a work with any number of
-    payments reaches its task as a few counted rows.
+    Every payment counts once for its (vendor, id), once for its agency and once for the totals.
+    The counting shuffles on all of those, so a work with any number of payments reaches the one
+    task that picks its winners as a few counted rows. Ties go to the smallest value.
     """
+    null = F.lit(None).cast("string")
+    views = F.array(
+        F.struct(F.lit("vendor").alias("kind"), F.col("vendor_name").alias("value"), F.col("vendor_id").alias("detail")),
+        F.struct(F.lit("agency").alias("kind"), F.col("implementing_agency").alias("value"), null.alias("detail")),
+        F.struct(F.lit("total").alias("kind"), null.alias("value"), null.alias("detail")),
+    )
+    total = F.col("view.kind") == "total"
+    paid = F.when(total & F.col("settled"), F.col("amount_inr").cast("decimal(28,4)"))
     counted = (
         payments.where(F.col("work_id").isNotNull())
-        .groupBy("work_id", "vendor_name", "vendor_id", "implementing_agency")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(F.when(F.col("settled"), F.col("amount_inr").cast("decimal(28,4)"))).alias("paid"),
-            F.max("paid_on").alias("last_activity"),
-        )
+        .withColumn("view", F.explode(views))
+        .groupBy("work_id", "view")
+        .agg(F.count("*").alias("n"), F.sum(paid).alias("paid"), F.max(F.when(total, F.col("paid_on"))).alias("last"))
+        .select("work_id", "view.*", "n", "paid", "last")
+        .repartition("work_id")
     )
-
-    def tally(*columns: str) -> DataFrame:
-        return (
-            counted.where(F.col(columns[-1]).isNotNull())
-            .groupBy("work_id", *columns)
-            .agg(F.sum("n").alias("n"))
-        )
-
-    vendor = tally("vendor_name").groupBy("work_id").agg(_most_frequent("vendor_name").alias("vendor_name"))
-    agency = (
-        tally("implementing_agency")
-        .groupBy("work_id")
-        .agg(_most_frequent("implementing_agency").alias("implementing_agency"))
+    # From here all grouping is by work: no further shuffle.
+    detail_first = F.when(F.col("detail").isNotNull(), F.struct(-F.col("n"), F.col("detail")))
+    by_value = counted.groupBy("work_id", "kind", "value").agg(
+        F.sum("n").alias("n"),
+        F.min_by("detail", detail_first).alias("detail"),
+        F.max("paid").alias("paid"),
+        F.max("last").alias("last"),
     )
-    vendor_id = (
-        tally("vendor_name", "vendor_id")
-        .join(vendor, ["work_id", "vendor_name"], "left_semi")
-        .groupBy("work_id")
-        .agg(_most_frequent("vendor_id").alias("vendor_id"))
-    )
-    totals = counted.groupBy("work_id").agg(
-        exact_sum(F.col("paid")).alias("expenditure_amount_inr"),
-        F.max("last_activity").alias("last_activity"),
-    )
-    return (
-        totals.join(vendor, "work_id", "left")
-        .join(vendor_id, "work_id", "left")
-        .join(agency, "work_id", "left")
+
+    def usual(kind: str, column: str) -> Column:
+        order = F.struct(-F.col("n"), F.col("value"))
+        of_kind = (F.col("kind") == kind) & F.col("value").isNotNull()
+        return F.min_by(column, F.when(of_kind, order))
+
+    return by_value.groupBy("work_id").agg(
+        F.coalesce(F.max("paid").cast("double"), F.lit(0.0)).alias("expenditure_amount_inr"),
+        F.max("last").alias("last_activity"),
+        usual("vendor", "value").alias("vendor_name"),
+        usual("vendor", "detail").alias("vendor_id"),
+        usual("agency", "value").alias("implementing_agency"),
     )
 
 
