@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worksift import config
-from worksift.functions.money import exact_sum  # noqa: F401
 from worksift.plans.ranking import global_rank, running_totals
 from worksift.plans.storage import written
 
@@ -124,9 +123,12 @@ class DelayModel:
         )
         self.model = Pipeline(stages=[*self.prepare.stages(), logistic]).fit(self.prepare.apply(train))
 
-    def score(self, rows: DataFrame, name: str = "score") -> DataFrame:
+    def score(self, rows: DataFrame) -> DataFrame:
+        """Adds ``score``, a probability, and ``margin``, its log odds."""
         scored = self.model.transform(self.prepare.apply(rows))
-        return scored.withColumn(name, vector_to_array("probability")[1]).select(*rows.columns, name)
+        return scored.withColumns(
+            {"score": vector_to_array("probability")[1], "margin": vector_to_array("rawPrediction")[1]}
+        ).select(*rows.columns, "score", "margin")
 
     def coefficients(self) -> list[tuple[str, float]]:
         """Feature name and weight, the largest first."""
@@ -149,11 +151,11 @@ def delay_metrics(scored: DataFrame) -> DataFrame:
     upto = running_totals(ranked, "_order", {"tp": "pos", "fp": "neg"})
     totals = upto.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count("*").alias("scores"))
     pairs = F.col("pos") * (F.col("N") - F.col("fp")) + F.col("pos") * F.col("neg") / 2
-    step = F.col("pos") / F.col("P") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    step = F.col("pos") / F.nullif(F.col("P"), F.lit(0)) * F.col("tp") / (F.col("tp") + F.col("fp"))
     curves = upto.crossJoin(F.broadcast(totals)).agg(  # one row
-        F.when(F.max("scores") > 1, F.sum(pairs) / (F.max("P") * F.max("N"))).otherwise(0.5).alias("roc_auc"),
+        F.when(F.max("scores") > 1, F.sum(pairs) / F.nullif(F.max("P") * F.max("N"), F.lit(0))).otherwise(0.5).alias("roc_auc"),
         F.sum(step).alias("average_precision"),
-        (F.max("P") / (F.max("P") + F.max("N"))).alias("base_rate"),
+        (F.max("P") / F.nullif(F.max("P") + F.max("N"), F.lit(0))).alias("base_rate"),
         F.greatest(F.lit(1), F.floor((F.max("P") + F.max("N")) * 0.10)).alias("_k"),
     )
     places = global_rank(scored.select("work_id", "y", "score"), [F.col("score").desc(), F.col("work_id")], "_place")
@@ -161,7 +163,7 @@ def delay_metrics(scored: DataFrame) -> DataFrame:
     lift = top.agg(F.avg(F.col("y").cast("double")).alias("_top"))
     return curves.crossJoin(F.broadcast(lift)).select(  # single rows
         *[F.round(c, 3).alias(c) for c in ("roc_auc", "average_precision", "base_rate")],
-        F.round(F.col("_top") / F.col("base_rate"), 3).alias("lift_at_10"),
+        F.round(F.col("_top") / F.nullif(F.col("base_rate"), F.lit(0.0)), 3).alias("lift_at_10"),
     )
 
 
@@ -184,7 +186,8 @@ def delay_watch(works: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     quality bar the list is empty; above it the model is refitted on the whole cohort."""
     metrics = written(delay_metrics(written(delay_model(works, as_of), "scores")), "metrics")
     got = metrics.first()
-    shipped = got["roc_auc"] >= config.MIN_TEST_AUC and got["lift_at_10"] >= config.MIN_TEST_LIFT
+    # A figure that cannot be computed, as with one class only, is below the bar.
+    shipped = (got["roc_auc"] or 0) >= config.MIN_TEST_AUC and (got["lift_at_10"] or 0) >= config.MIN_TEST_LIFT
     artifact = metrics.withColumns(
         {"data_as_of": as_of, "status": F.lit("shipped" if shipped else "not_shipped")}
     )
@@ -226,16 +229,14 @@ def delay_model_comparison(works: DataFrame, as_of: Column, folds: int = 5) -> D
 
     # Calibration: a one-variable logistic on the margins of rows left out of each fold.
     fold = F.pmod(F.xxhash64("work_id"), F.lit(folds))
-    margin = lambda p: F.log(p / (1 - p))
     calibrated = None
     for k in range(folds):
         part = DelayModel(train.where(fold != k), numeric)
-        held = part.score(train.where(fold == k)).withColumn("margin", margin(F.col("score")))
+        held = part.score(train.where(fold == k))
         assemble = VectorAssembler(inputCols=["margin"], outputCol="m")
         sigmoid = LogisticRegression(labelCol="y", featuresCol="m", regParam=0.0, standardization=False)
         fitted = sigmoid.fit(assemble.transform(held))
-        tested = assemble.transform(part.score(test).withColumn("margin", margin(F.col("score"))))
-        one = fitted.transform(tested).select("work_id", "y", vector_to_array("probability")[1].alias("score"))
+        one = fitted.transform(assemble.transform(part.score(test))).select("work_id", "y", vector_to_array("probability")[1].alias("score"))
         calibrated = one if calibrated is None else calibrated.unionByName(one)
     scores["calibrated"] = calibrated.groupBy("work_id", "y").agg(F.avg("score").alias("score"))
 

@@ -21,7 +21,7 @@ def scheme_totals(works: DataFrame) -> DataFrame:
         F.round(spent, 2).alias("spent"),
         F.round(sanctioned - spent, 2).alias("unspent"),
     )
-    return totals.withColumn("unspent_percent", F.col("unspent") / F.col("sanctioned") * 100)
+    return totals.withColumn("unspent_percent", F.col("unspent") / F.nullif(F.col("sanctioned"), F.lit(0.0)) * 100)
 
 
 def detector_counts(scored: DataFrame) -> DataFrame:
@@ -62,5 +62,7 @@ def targeting_performance(merged: DataFrame) -> DataFrame:
         rupees("unspent", F.lit(True)).alias("unspent_in_pool"),
         rupees("unspent", top).alias("unspent_in_quota"),
     )
-    base, precision = F.col("flagged_in_pool") / F.col("pool"), F.col("flagged_in_quota") / F.col("quota")
-    return figures.withColumns({"base_rate": base, "precision": precision, "lift": precision / base})
+    share = lambda top, bottom: top / F.nullif(bottom, F.lit(0))
+    base = share(F.col("flagged_in_pool"), F.col("pool"))
+    precision = share(F.col("flagged_in_quota"), F.col("quota"))
+    return figures.withColumns({"base_rate": base, "precision": precision, "lift": share(precision, base)})

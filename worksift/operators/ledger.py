@@ -296,7 +296,8 @@ def outcome_groups(outcomes: DataFrame) -> DataFrame:
 def wilson_rate(groups: DataFrame) -> DataFrame:
     """Adds the issue rate with its 95% Wilson interval where enough works were reached, and
     whether both groups have one."""
-    n, p = F.col("reached_work").cast("double"), F.col("issues") / F.col("reached_work")
+    n = F.nullif(F.col("reached_work").cast("double"), F.lit(0.0))
+    p = F.col("issues") / n
     z2 = config.WILSON_Z**2
     scale = 1 + z2 / n
     centre = (p + z2 / (2 * n)) / scale

@@ -63,7 +63,7 @@ def risk_breakdown(scored: DataFrame) -> DataFrame:
     rest = F.greatest(F.lit(0.0), F.col("risk_score") - F.col("_capped"))
     parts = F.transform(
         "flags",
-        lambda f: F.struct(f.alias("part"), (_weight(f) * F.col("_capped") / F.col("_raw")).alias("points")),
+        lambda f: F.struct(f.alias("part"), (_weight(f) * F.col("_capped") / F.nullif(F.col("_raw"), F.lit(0.0))).alias("points")),
     )
     ensemble = F.when(
         rest > 0.005, F.array(F.struct(F.lit("ensemble").alias("part"), rest.alias("points")))
@@ -100,12 +100,14 @@ def rank_stability(run_a: DataFrame, run_b: DataFrame, k: int) -> DataFrame:
     """Spearman correlation of two runs' scores and the Jaccard overlap of their top ``k``."""
     a = average_ranks(run_a.select("work_id", F.col("score").alias("_a")), "_a", "_ra")
     b = average_ranks(run_b.select("work_id", F.col("score").alias("_b")), "_b", "_rb")
-    rho = a.join(b, "work_id").agg(F.corr("_ra", "_rb").alias("spearman"))
+    # A run without any spread has no correlation.
+    spread = F.nullif(F.stddev_pop("_ra") * F.stddev_pop("_rb"), F.lit(0.0))
+    rho = a.join(b, "work_id").agg((F.covar_pop("_ra", "_rb") / spread).alias("spearman"))
 
     def top(run: DataFrame, mark: str) -> DataFrame:
         return run.orderBy(F.col("score").desc(), "work_id").limit(k).select("work_id", F.lit(1).alias(mark))
 
     both = top(run_a, "_in_a").join(top(run_b, "_in_b"), "work_id", "full_outer")
     shared = F.count_if(F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull())
-    overlap = both.agg((shared / F.count("*")).alias("jaccard_top_k"))
+    overlap = both.agg((shared / F.nullif(F.count("*"), F.lit(0))).alias("jaccard_top_k"))
     return rho.crossJoin(F.broadcast(overlap))  # single rows

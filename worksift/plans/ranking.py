@@ -167,7 +167,8 @@ def exact_quantiles(
         a, b = F.col(f"_a{q}"), F.col(f"_b{q}")
         exact = F.when(n == 1, a).otherwise((a * (4 - share) + b * share) / 4)
         missing = F.raise_error(F.lit("quantile outside its bracket; raise the accuracy"))
-        out.append(F.when(a.isNull() | b.isNull(), missing.cast("double")).otherwise(exact).alias(name))
+        lost = (n > 0) & (a.isNull() | b.isNull())
+        out.append(F.when(lost, missing.cast("double")).otherwise(exact).alias(name))
     return picked.select(*keys, *out)
 
 

@@ -502,7 +502,7 @@ cte(
 )
 oracle(
     "rank_stability",
-    """SELECT ROUND(corr(ra, rb), 6) AS spearman, ROUND(COUNT(*) FILTER (ta AND tb) / CAST(COUNT(*) FILTER (ta OR tb) AS DOUBLE), 6) AS jaccard_top_k FROM run_ranks""",
+    """SELECT ROUND(covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0), 6) AS spearman, ROUND(COUNT(*) FILTER (ta AND tb) / CAST(COUNT(*) FILTER (ta OR tb) AS DOUBLE), 6) AS jaccard_top_k FROM run_ranks""",
     "run_ranks",
 )
 
@@ -1087,7 +1087,7 @@ oracle("summary_figures", "SELECT * FROM summary", "summary")
 oracle(
     "summary_ratios",
     """SELECT ROUND(100.0 * flagged_count / works_under_implementation, 6) AS flagged_percent,
-  ROUND(total_flagged_amount_inr / total_sanctioned_under_implementation_inr * 100, 6) AS value_flagged_percent, ROUND(total_flagged_amount_inr / flagged_count, 6) AS average_flagged_inr FROM summary""",
+  ROUND(total_flagged_amount_inr / total_sanctioned_under_implementation_inr * 100, 6) AS value_flagged_percent, ROUND(coalesce(total_flagged_amount_inr / nullif(flagged_count, 0), 0.0), 6) AS average_flagged_inr FROM summary""",
     "summary",
 )
 oracle("early_warning_read", "SELECT state, COUNT(*) AS scored_n, 'shipped' AS status FROM works WHERE state IN ('ASIA', 'EUROPE') GROUP BY 1", "works")
@@ -1189,7 +1189,7 @@ oracle(
 )
 oracle(
     "detector_counts",
-    "SELECT flag, COUNT(*) AS works FROM (SELECT unnest(flags) AS flag FROM scored UNION ALL SELECT 'any_flag' FROM scored WHERE len(flags) > 0) GROUP BY 1",
+    "SELECT flag, COUNT(*) AS works FROM (SELECT unnest(flags) AS flag FROM scored) GROUP BY 1 UNION ALL SELECT 'any_flag', COUNT(*) FILTER (len(flags) > 0) FROM scored",
     "scored",
 )
 cte(
@@ -1209,7 +1209,7 @@ cte(
 oracle(
     "targeting_performance",
     """SELECT *, ROUND(flagged_in_pool / CAST(pool AS DOUBLE), 6) AS base_rate, ROUND(flagged_in_quota / CAST(quota AS DOUBLE), 6) AS precision,
-  ROUND((flagged_in_quota / CAST(quota AS DOUBLE)) / (flagged_in_pool / CAST(pool AS DOUBLE)), 6) AS lift FROM pool_figures""",
+  ROUND((flagged_in_quota / CAST(quota AS DOUBLE)) / nullif(flagged_in_pool / CAST(pool AS DOUBLE), 0), 6) AS lift FROM pool_figures""",
     "pool_figures",
 )
 oracle(
