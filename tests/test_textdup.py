@@ -72,12 +72,12 @@ def brute(rows, scope, minimum, use_tokens):
     return found
 
 
-@pytest.mark.parametrize("task_blocks,hot", [(8, 256), (1, 1)])
+@pytest.mark.parametrize("masks,hot", [(8, 256), (1, 1)])
 @pytest.mark.parametrize("scope,minimum,use_tokens", [("constituency", 0.6, True), ("implementing_district_authority", 0.7, False)])
-def test_similar_pairs_equal_brute_force(described, monkeypatch, task_blocks, hot, scope, minimum, use_tokens):
-    monkeypatch.setattr(textdup, "_BLOCK", 4)
-    monkeypatch.setattr(textdup, "_TASK_BLOCKS", task_blocks)
-    monkeypatch.setattr(textdup, "_HOT_BLOCKS", hot)
+def test_similar_pairs_equal_brute_force(described, monkeypatch, masks, hot, scope, minimum, use_tokens):
+    monkeypatch.setattr(textdup, "_BITS", 4)
+    monkeypatch.setattr(textdup, "_MASKS", masks)
+    monkeypatch.setattr(textdup, "_HOT_RUNS", hot)
     monkeypatch.setattr(textdup, "_COLUMNS", 37)
     numbered = textdup.distinct_texts(described)
     features = textdup.text_features(numbered)

@@ -144,7 +144,9 @@ def district_identical_batches(texts: DataFrame) -> DataFrame:
 def distinct_texts(texts: DataFrame) -> DataFrame:
     """Each canonical text once, numbered in text order: ``t, digest, canonical``."""
     once = texts.groupBy("digest").agg(F.first("canonical").alias("canonical"))
-    return written(global_rank(once, [F.col("canonical")], "t"), "texts")
+    # Range bounds are sampled through the driver: whole texts stay out of them.
+    begins = F.substring("canonical", 1, 256)
+    return written(global_rank(once, [F.col("canonical")], "t", ranges=[begins]), "texts")
 
 
 def _grams(words: DataFrame) -> DataFrame:
@@ -228,14 +230,14 @@ def text_features(numbered: DataFrame, common: Sequence[str] = config.COMMON_TOK
 
 
 _HALF = 0.5 * 10**-config.SCORE_DECIMALS  # scores are rounded before they meet a threshold
-_BLOCK = 64  # texts behind one bit mask
-_TASK_BLOCKS = 8  # blocks per side of one comparison task
-_HOT_BLOCKS = 256  # postings joined together before a piece is split
+_BITS = 64  # texts behind one bit mask
+_MASKS = 8  # masks per run of texts; a task compares two runs
+_HOT_RUNS = 256  # postings joined together before a feature is split
 _COLUMNS = 8_192  # pieces multiplied at a time
 
 
-def _blocks(scoped: DataFrame) -> DataFrame:
-    """``scope, t, block, bit``: the texts of a scope dealt in order into blocks of 64."""
+def _runs(scoped: DataFrame) -> DataFrame:
+    """``scope, t, run, mask, bit``: the texts of a scope dealt in order into runs of 512."""
     ranked = global_rank(scoped.select("scope", "t").distinct(), [F.col("scope"), F.col("t")], "_rank")
     first = ranked.groupBy("scope").agg(F.min("_rank").alias("_first"))
     place = F.col("_rank") - F.col("_first")
@@ -243,15 +245,16 @@ def _blocks(scoped: DataFrame) -> DataFrame:
         ranked.join(first, "scope").select(
             "scope",
             "t",
-            F.floor(place / _BLOCK).cast("bigint").alias("block"),
-            (place % _BLOCK).cast("int").alias("bit"),
+            F.floor(place / (_BITS * _MASKS)).cast("bigint").alias("run"),
+            F.floor(place % (_BITS * _MASKS) / _BITS).cast("int").alias("mask"),
+            (place % _BITS).cast("int").alias("bit"),
         ),
-        "blocks",
+        "runs",
     )
 
 
 def _prefixes(features: DataFrame, character_min: float, use_tokens: bool) -> DataFrame:
-    """``t, feature``: the pieces and words a text must share with any partner it can match.
+    """``t, prefix``: the pieces and words a text must share with any partner it can match.
 
     Pieces: from the rarest up until the rest is too short a vector to reach the threshold alone
     (prefix filtering for cosine). Words: all but enough for the required overlap. Words get
@@ -274,50 +277,54 @@ def _prefixes(features: DataFrame, character_min: float, use_tokens: bool) -> Da
         prefix = F.slice("k", 1, F.greatest(F.lit(0), size - overlap + 1).cast("int"))
         lists.append(F.transform(F.when(size >= config.TOKEN_SHARED_MIN, prefix), lambda k: -k))
     empty = F.array().cast("array<bigint>")
-    return features.select("t", F.explode(F.concat(*[F.coalesce(x, empty) for x in lists])).alias("feature"))
+    return features.select("t", F.concat(*[F.coalesce(x, empty) for x in lists]).alias("prefix"))
 
 
-def _candidate_blocks(blocks: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Pairs of blocks with a shared prefix feature, and bit masks of the texts concerned.
+def _mask_columns(side: str = "") -> list[str]:
+    return [f"mask{side}{i}" for i in range(_MASKS)]
 
-    An inverted index over blocks instead of texts: one row per (scope, feature, block), so a
-    feature of many texts costs far fewer joined rows. A feature in very many blocks is split:
-    its rows are dealt over several keys on one side and repeated on the other.
+
+def _candidate_runs(runs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs of runs with a shared prefix feature, and bit masks of the texts concerned.
+
+    An inverted index over runs instead of texts: one row per (scope, feature, run), so a feature
+    of many texts costs few joined rows. A feature in very many runs is split: its rows are dealt
+    over several keys on one side and repeated on the other.
     """
-    keys = ["scope", "feature"]
+    keys, masks = ["scope", "feature"], _mask_columns()
     bit = F.expr("shiftleft(cast(1 as bigint), bit)")
-    postings = (
-        blocks.join(prefixes, "t")
-        .groupBy(*keys, "block")
-        .agg(F.bit_or(bit).alias("mask"))
+    # A run's prefixes travel together once, as lists; its postings are made where they arrive.
+    together = runs.join(prefixes, "t").repartition("scope", "run")
+    postings = written(
+        together.select("scope", "run", "mask", bit.alias("_bit"), F.explode("prefix").alias("feature"))
+        .groupBy("scope", "run", "feature")
+        .agg(*[F.coalesce(F.bit_or(F.when(F.col("mask") == i, F.col("_bit"))), F.lit(0).cast("bigint")).alias(m) for i, m in enumerate(masks)]),
+        "postings",
     )
-    postings = written(postings, "postings")
+    texts = sum((F.bit_count(m) for m in masks[1:]), F.bit_count(masks[0]))
     spread = (
         postings.groupBy(*keys)
-        .agg(F.count("*").alias("_blocks"), F.sum(F.bit_count("mask")).alias("_texts"))
+        .agg(F.count("*").alias("_runs"), F.sum(texts).alias("_texts"))
         .where(F.col("_texts") > 1)
-        .select(*keys, F.ceil(F.col("_blocks") / _HOT_BLOCKS).cast("int").alias("_parts"))
-    )
-    useful = postings.join(spread, keys)
-    left = useful.select(
-        *keys,
-        F.pmod(F.col("block"), F.col("_parts")).cast("int").alias("_part"),
-        F.col("block").alias("block_a"),
-        F.col("mask").alias("mask_a"),
+        .select(*keys, F.ceil(F.col("_runs") / _HOT_RUNS).cast("int").alias("_parts"))
     )
-    right = useful.select(
-        *keys,
-        F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"),
-        F.col("block").alias("block_b"),
-        F.col("mask").alias("mask_b"),
-    )
-    together = left.join(right, [*keys, "_part"]).where(
-        (F.col("block_a") < F.col("block_b"))
-        | ((F.col("block_a") == F.col("block_b")) & (F.bit_count("mask_a") > 1))
+    useful = postings.join(spread, keys).withColumn("_several", texts > 1)
+    one, other = F.pmod(F.col("run"), F.col("_parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    left, right = (
+        useful.select(
+            *keys,
+            part.alias("_part"),
+            F.col("run").alias(f"run_{s}"),
+            F.col("_several").alias(f"_several_{s}"),
+            *[F.col(m).alias(m.replace("mask", f"mask_{s}_")) for m in masks],
+        )
+        for s, part in (("a", one), ("b", other))
     )
-    return together.groupBy("scope", "block_a", "block_b").agg(
-        F.bit_or("mask_a").alias("mask_a"), F.bit_or("mask_b").alias("mask_b")
+    met = left.join(right, [*keys, "_part"]).where(
+        (F.col("run_a") < F.col("run_b")) | ((F.col("run_a") == F.col("run_b")) & F.col("_several_a"))
     )
+    sides = [*_mask_columns("_a_"), *_mask_columns("_b_")]
+    return met.groupBy("scope", "run_a", "run_b").agg(*[F.bit_or(m).alias(m) for m in sides])
 
 
 def _entries(ids: list, values: list, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -356,26 +363,23 @@ def similar_pairs(scoped: DataFrame, features: DataFrame, character_min: float,
     """Every pair of texts of a scope that clears the character threshold or, with
     ``use_tokens``, the word-overlap threshold. ``scoped`` has ``scope, t``; ``a`` sorts first.
 
-    Prefix filtering proposes blocks of texts; each task receives two runs of at most 512 texts,
-    whatever the size of the scope, and scores them exactly with matrix products.
+    Prefix filtering proposes texts; each task receives two runs of at most 512 texts, whatever
+    the size of the scope, and scores them exactly with matrix products.
     """
-    blocks = _blocks(scoped)
-    candidates = written(_candidate_blocks(blocks, _prefixes(features, character_min, use_tokens)), "candidates")
-    task = {s: F.floor(F.col(f"block_{s}") / _TASK_BLOCKS).cast("bigint").alias(f"task_{s}") for s in "ab"}
-    wanted = candidates.select(
-        "scope", *task.values(), F.col("block_a").alias("block"), F.col("mask_a").alias("mask"), F.lit(0).alias("side")
-    ).unionByName(
-        candidates.select(
-            "scope", *task.values(), F.col("block_b").alias("block"), F.col("mask_b").alias("mask"), F.lit(1).alias("side")
+    runs = _runs(scoped)
+    candidates = written(_candidate_runs(runs, _prefixes(features, character_min, use_tokens)), "candidates")
+    wanted = None
+    for number, s in enumerate("ab"):
+        side = candidates.select(
+            "scope", "run_a", "run_b", F.lit(number).alias("side"), F.col(f"run_{s}").alias("run"), F.array(*_mask_columns(f"_{s}_")).alias("_masks")
         )
-    )
-    wanted = wanted.groupBy("scope", "task_a", "task_b", "side", "block").agg(F.bit_or("mask").alias("mask"))
-    bit = F.expr("shiftright(mask, bit) & 1")
+        wanted = side if wanted is None else wanted.unionByName(side)
+    chosen = F.expr("shiftright(_masks[mask], bit) & 1") == 1
     texts = (
-        wanted.join(blocks, ["scope", "block"])
-        .where(bit == 1)
+        wanted.join(runs, ["scope", "run"])
+        .where(chosen)
         .join(features, "t")
-        .select("scope", "task_a", "task_b", "side", "t", "g", "w", "k")
+        .select("scope", "run_a", "run_b", "side", "t", "g", "w", "k")
     )
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -404,12 +408,12 @@ def similar_pairs(scoped: DataFrame, features: DataFrame, character_min: float,
             }
         )
 
-    keys = ["scope", "task_a", "task_b"]
-    tasks = candidates.select("scope", *task.values()).distinct().count()
+    keys = ["scope", "run_a", "run_b"]
     cores = candidates.sparkSession.sparkContext.defaultParallelism
     default = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Tasks are few and heavy on small inputs: a partition for each keeps every core busy.
-    return texts.repartition(max(default, min(tasks, 8 * cores)), *keys).groupBy(*keys).applyInPandas(compare, _PAIR_SCHEMA)
+    parts = max(default, min(candidates.count(), 8 * cores))
+    return texts.repartition(parts, *keys).groupBy(*keys).applyInPandas(compare, _PAIR_SCHEMA)
 
 
 def _hits() -> Column:

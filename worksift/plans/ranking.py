@@ -12,15 +12,18 @@ from worksift.plans.storage import written
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+def global_rank(
+    df: DataFrame, order: Sequence[Column], name: str, ranges: Sequence[Column] | None = None
+) -> DataFrame:
     """Dense 1..N over a total order.
 
     One range shuffle sorts the rows; each row stores its partition and place; the partitions'
     sizes (one row per partition) turn places into ranks. The sorted rows are written first, so
-    the positions are read, never recomputed.
+    the positions are read, never recomputed. ``ranges`` cuts the partitions by something shorter
+    that sorts the same way, such as the beginning of a long text.
     """
     placed = written(
-        df.repartitionByRange(*order)
+        df.repartitionByRange(*(ranges or order))
         .sortWithinPartitions(*order)
         .withColumn("_sorted_at", F.monotonically_increasing_id()),
         "ranked",
@@ -116,6 +119,9 @@ def exact_quantiles(
         F.percentile_approx(value, F.array(*[F.lit(e) for e in edges]), accuracy).alias("_edge"),
     )
     if keys:
+        # One row per key: written, so that it is broadcast when it is small and the rows of a
+        # large group need not be brought together.
+        sketch = written(sketch, "sketch")
         same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
         joined = rows.alias("r").join(sketch.alias("s"), on=same).drop(*[F.col(f"s.{k}") for k in keys])
     else:
