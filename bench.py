@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -17,6 +18,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from worksift.plans.storage import drop_run  # noqa: E402
 from worksift.queries import catalog  # noqa: E402
 
 # Built once and read by many: works, rule scores, the graph, described texts and their features.
@@ -61,6 +63,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="worksift-bench-"))
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -88,6 +91,7 @@ def main() -> None:
             }
         )
     )
+    drop_run(spark)
     spark.stop()
 
 

@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only a local master may do without it."""
+    """The folder named by ``spark.checkpoint.dir``, or else one under the warehouse, which every
+    session has and a cluster shares."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if context.applicationId not in _LOCAL:
-        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="worksift-")
-    return _LOCAL[context.applicationId]
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
 
 
 def run_dir(spark: SparkSession) -> str:
@@ -28,6 +19,13 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/worksift-{spark.sparkContext.applicationId}"
 
 
+def drop_run(spark: SparkSession) -> None:
+    """Ends a run: deletes every table this application has written. Frames read from them are
+    no longer usable after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder.
 
