@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worksift.llm import idfiles, pieces, ring, rules, urls, warc, winnow
+from worksift.llm import forest, idfiles, pieces, ring, rules, urls, warc, winnow
 from worksift.llm.common import small_batches, table
 
 # Host, path, verdict.
@@ -50,6 +50,11 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return forest.groups(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents")).drop("reasons")
 
@@ -73,6 +78,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_sentencepiece,
         op3_id_files,
         op4_url_filters,
+        op5_minhash_forest,
         op6_quality_rules,
         op7_warc,
         op8_ring_shards,
