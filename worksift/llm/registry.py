@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worksift.llm import forest, idfiles, pieces, ring, rules, urls, warc, winnow
+from worksift.llm import forest, idfiles, pieces, quality, ring, rules, urls, warc, winnow
 from worksift.llm.common import small_batches, table
 
 # Host, path, verdict.
@@ -72,6 +72,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +89,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_warc,
         op8_ring_shards,
         op9_decontamination,
+        op10_quality_classifier,
     )
 }
 LLM_ORACLES: dict[str, str] = {}
