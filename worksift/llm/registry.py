@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worksift.llm import forest, idfiles, pieces, quality, ring, rules, urls, warc, winnow
+from worksift.llm import forest, idfiles, pieces, quality, repeats, ring, rules, urls, warc, winnow
 from worksift.llm.common import small_batches, table
 
 # Host, path, verdict.
@@ -33,6 +33,11 @@ def byte_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
@@ -81,6 +86,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_suffix_arrays,
         op2_sentencepiece,
         op3_id_files,
         op4_url_filters,
