@@ -319,3 +319,19 @@ def _sets_of_unnamed(docs: DataFrame, classes: DataFrame) -> DataFrame:
             )
 
     return rows.mapInArrow(run, "class binary, shingles binary").join(classes, "class", "left_semi").dropDuplicates(["class"])
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is its group's smallest, with their columns. Rows that repeat
+    id and text stay once; texts that differ under one id are separate documents, as in ``groups``."""
+    marks = groups(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    repeated = written(
+        docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"), "repeated-ids"
+    )
+    if repeated.isEmpty():
+        return kept
+    again = F.col("doc_id").eqNullSafe(F.col("_id"))
+    # Texts are only dealt by their content where an id is not unique.
+    few = kept.join(repeated, again, "left_semi").withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"])
+    return kept.join(repeated, again, "left_anti").unionByName(few.drop("_key"))

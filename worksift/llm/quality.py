@@ -259,3 +259,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select(
         *names, held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` predicted as label 1, with their columns."""
+    return classify(docs, labels).where("predicted = 1").select(*docs.columns)

@@ -493,6 +493,15 @@ def remove(docs: DataFrame, texts: bool = False) -> DataFrame:
     return _with_rows(names, settled).repartition(many).mapInArrow(run, schema)
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with repeated strings cut from ``text``, and ``n_chars`` counted anew
+    where there is such a column. Rows that lose their whole text stay, empty."""
+    out = remove(docs, texts=True).withColumnRenamed("kept_text", "text")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def _outcome(raw: np.ndarray, gone: np.ndarray, texts: bool) -> tuple:
     removed = int(gone.sum())
     change = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))

@@ -80,7 +80,8 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every row of ``docs``.
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every row of ``docs``, and
+    ``text_key``, a hash of its text.
 
     A document word is hit if it lies inside any occurrence of an item's window. Null and empty
     texts have no words and no hits; an empty item table hits nothing. Repeated rows are judged
@@ -154,4 +155,13 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.size(F.coalesce("items", none)).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"),
+        "text_key",
     )
+
+
+def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a hit, with their columns."""
+    hit = contamination(docs, items).where("contaminated")
+    hit = written(hit.select(F.col("doc_id").alias("_id"), "text_key").distinct(), "contaminated")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_key"))
+    return docs.join(hit, same, "left_anti")
