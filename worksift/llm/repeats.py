@@ -140,6 +140,12 @@ _NAMES = ["share", "batch", "kind", "body"]
 ENTRIES, WHOLE, EDGE, STRINGS = range(4)
 
 
+def _home(batch: int, shares: int) -> int:
+    """The share that passes on what a batch has settled by itself. Batch numbers are a partition
+    number above and a count below; both spread."""
+    return ((batch >> 32) * 31 + batch) % shares
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of equal or different lengths as one compressed value."""
     raw = [np.ascontiguousarray(a) for a in arrays]
@@ -250,7 +256,7 @@ def _entries(shares: int):
                 out = []
                 if again.any():
                     body = _pack(start[again].astype(np.uint32), count[again].astype(np.uint8))
-                    out.append((name["batch"] % shares, name["batch"], WHOLE, body))
+                    out.append((_home(name["batch"], shares), name["batch"], WHOLE, body))
                 start, count, seed, content, doc = (x[~again] for x in (start, count, seed, content, doc))
                 share = (seed >> np.uint64(20)) % np.uint64(shares)
                 by = np.argsort(share, kind="stable")
@@ -383,7 +389,7 @@ def _strings(shares: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for name in part.to_pylist():
-                out = [(name["batch"] % shares, name["batch"], WHOLE, r["body"]) for r in name["rows"] if r["kind"] == WHOLE]
+                out = [(_home(name["batch"], shares), name["batch"], WHOLE, r["body"]) for r in name["rows"] if r["kind"] == WHOLE]
                 start, count = _gathered(name["rows"], EDGE)
                 if len(start):
                     batch = _open(name["path"], name["first"], name["length"])
@@ -397,7 +403,7 @@ def _strings(shares: int):
                     again = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1]))
                     if again.any():
                         body = _pack(at[again].astype(np.uint32), np.ones(again.sum(), np.uint8))
-                        out.append((name["batch"] % shares, name["batch"], WHOLE, body))
+                        out.append((_home(name["batch"], shares), name["batch"], WHOLE, body))
                     at, one, two, doc = (x[~again] for x in (at, one, two, doc))
                     share = one % np.uint64(shares)
                     by = np.argsort(share, kind="stable")
