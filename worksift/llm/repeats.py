@@ -35,7 +35,7 @@ _CHOICES = LENGTH - SEED + 1
 _SLICE = 1 << 17  # strings worked on at once
 _PLACE = np.uint64((1 << 18) - 1)
 BATCH_BYTES = 16 << 20  # text of a batch
-SHARE_BYTES = 16 << 20  # text per task where suffixes meet
+SHARE_BYTES = 24 << 20  # text per task where suffixes meet
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
@@ -68,11 +68,11 @@ def runs(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """Suffix entries of consecutive texts: the first string of each run, how many strings it has,
     the hash of the seed, and the hash of the run's whole content and where the seed lies in it."""
     parts = []
-    valid = np.zeros(len(raw) + 1, np.int32)
+    valid = np.zeros(len(raw) + 1, np.int8)
     long_enough = np.diff(starts) >= LENGTH
     np.add.at(valid, starts[:-1][long_enough], 1)
     np.add.at(valid, starts[1:][long_enough] - LENGTH + 1, -1)
-    valid = np.cumsum(valid[:-1]) > 0
+    valid = np.cumsum(valid[:-1], dtype=np.int8).view(bool)
     for at in range(0, max(len(raw) - LENGTH + 1, 0), _SLICE):
         piece = raw[at : at + _SLICE + LENGTH - 1]
         ok = np.flatnonzero(valid[at : at + len(piece) - LENGTH + 1])
@@ -451,7 +451,7 @@ def _covered(size: int, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     edge = np.zeros(size + 1, np.int32)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + counts + LENGTH - 1, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def remove(docs: DataFrame, texts: bool = False) -> DataFrame:
