@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 
 from worksift.plans.storage import written
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# All ASCII but letters and digits; words are what stands between: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+
+_BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 WINDOW = 10  # words an item and a document must share
 GRAM = 5  # words of a fingerprint; WINDOW - GRAM + 1 grams compete in a window
 _MARK = "struct<h:bigint,i:int>"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    """Words in lower case. Characters are mapped and split on, which costs far less than collecting
+    the matches of a regular expression."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), _UPPER + _BETWEEN, _LOWER + " " * len(_BETWEEN))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _least(x: Column, step: int, length: Column) -> Column:
