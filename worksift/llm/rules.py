@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-_WHITE = " \t\n\x0b\x0c\r"
+_WHITE = " \t\n\x0b\x0c\r"  # words are what stands between: [^\x20\x09-\x0D]+
 SYMBOLS = "#*$%&|<>"
 # Common words of the corpus languages (English, German, French, Spanish), lower case.
 STOP_WORDS = (
@@ -77,14 +76,14 @@ def measures(docs: DataFrame) -> DataFrame:
     letters = F.translate(text, _WHITE, "")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id",
-        F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"),
-        F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD)).alias("lines"),
+        F.array_remove(F.split(F.translate("text", _WHITE, " " * len(_WHITE)), " "), "").alias("words"),
+        F.filter(F.split("text", "\n"), lambda line: F.translate(line, _WHITE, "") != "").alias("lines"),
         F.length(letters).cast("bigint").alias("word_chars"),
         (F.length(letters) - F.length(F.translate(letters, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
     )
     n, w = F.size("words"), F.col("words")
     window = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))
-    sorted_windows = F.when(n >= 3, F.array_sort(F.transform(F.sequence(F.lit(0), n - 3), window)))
+    sorted_windows = F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window)))
     counted = base.select(
         "doc_id",
         "word_chars",
