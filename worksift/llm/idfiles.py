@@ -8,6 +8,7 @@ block is unpacked by numpy shifts alone.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -154,46 +155,51 @@ class Reader:
         return sums
 
 
-class WordEncoder:
-    """Byte-level BPE with the ids of each pre-token remembered, since merges never cross them.
+def byte_characters() -> dict[str, int]:
+    """The printable stand-ins of byte-level vocabularies: printable bytes stand for themselves, the
+    others for the characters from 256 on, in byte order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(moved)}
 
-    ``pattern`` is the vocabulary's pre-token pattern. At most ``remember`` pre-tokens are kept;
-    texts that hold a special token's string are encoded whole.
+
+class Encoder:
+    """Ids exactly as the tokenizers library gives them for a byte-level BPE file, several times
+    faster: where the file's merges make its ids in rising order, merging by the least id is merging
+    by the first rule, which the tiktoken library does on the same vocabulary. Files with other
+    merges, and texts that hold a special token's string, are left to the tokenizers library.
     """
 
-    def __init__(self, path: str, pattern: str, remember: int = 400_000):
-        import regex
+    def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.split = regex.compile(pattern).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
-        self.remember = remember
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        parts = [self.split(t) for t in texts]
-        known = self.known
-        if len(known) > self.remember:
-            known.clear()
-        new = [w for w in dict.fromkeys(w for p in parts for w in p) if w not in known]
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = found.ids
-        out = []
-        for text, part in zip(texts, parts, strict=True):
-            if any(s in text for s in self.special):
-                out.append(self.library.encode(text, add_special_tokens=False).ids)
-            else:
-                ids: list[int] = []
-                for word in part:
-                    ids += known[word]
-                out.append(ids)
-        return out
+        self.fast = self._ranked(path, pattern)
+
+    def _ranked(self, path: str, pattern: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        of = byte_characters()
+        ranks = {bytes(of[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in self.special}
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        made = [model["vocab"].get("".join(p)) for p in pairs]
+        singles = [i for piece, i in ranks.items() if len(piece) == 1]
+        if None in made or made != sorted(set(made)) or len(made) + len(singles) != len(ranks) or max(singles) > made[0]:
+            return None
+        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.fast is None or any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(text, disallowed_special=())
 
 
 @lru_cache(maxsize=2)
-def load(path: str, pattern: str) -> WordEncoder:
-    return WordEncoder(path, pattern)
+def load(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
 def write(docs: DataFrame, tokenizer: str, pattern: str, vocabulary: int, end_id: int) -> DataFrame:
@@ -225,9 +231,8 @@ def write(docs: DataFrame, tokenizer: str, pattern: str, vocabulary: int, end_id
                 path = f"{root}/{part:06d}-{uuid.uuid4().hex}.ids"
                 stream = files.open_output_stream(path)
                 sink = Writer(stream, bits)
-            texts = batch.column("text").to_pylist()
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(texts), strict=True):
-                sink.add(doc, np.array([*ids, end_id], np.uint32))
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                sink.add(doc, np.append(encoder(text), np.uint32(end_id)))
         if sink is not None:
             total = sink.close()
             stream.close()
