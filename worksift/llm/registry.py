@@ -34,7 +34,7 @@ def byte_pattern() -> str:
 
 
 def op1_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, 64)
     return repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -34,7 +34,7 @@ SEED = 32  # bytes a suffix is chosen and dealt by
 _CHOICES = LENGTH - SEED + 1
 _SLICE = 1 << 17  # strings worked on at once
 _PLACE = np.uint64((1 << 18) - 1)
-BATCH_BYTES = 16 << 20  # text of a batch
+BATCH_BYTES = 8 << 20  # text of a batch
 SHARE_BYTES = 24 << 20  # text per task where suffixes meet
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -238,6 +238,22 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
 
 
+def _repeats(one: np.ndarray, two: np.ndarray, *ties: np.ndarray) -> np.ndarray:
+    """Marks all but the first of the rows that agree in both hashes; ``ties`` give the order, the
+    least significant first. Only rows whose first hash repeats are ordered in full."""
+    out = np.zeros(len(one), bool)
+    order = np.argsort(one)
+    values = one[order]
+    same = values[1:] == values[:-1]
+    some = np.append(False, same) | np.append(same, False) if len(one) else out
+    at = order[some]
+    if len(at):
+        at = at[np.lexsort((*(t[at] for t in ties), two[at], one[at]))]
+        x, y = one[at], two[at]
+        out[at[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    return out
+
+
 def _entries(shares: int):
     """Step 1, per batch: its suffix entries by share. Of equal runs in the batch only the first
     goes on; the others are settled at once."""
@@ -250,9 +266,7 @@ def _entries(shares: int):
                 start, count, seed, content = runs(raw, starts)
                 ids = _ids(batch)
                 doc = np.searchsorted(starts, start, "right") - 1
-                order = np.lexsort((start, doc, ids[doc], content, seed))
-                start, count, seed, content, doc = (x[order] for x in (start, count, seed, content, doc))
-                again = np.append(False, (seed[1:] == seed[:-1]) & (content[1:] == content[:-1]))[: len(seed)]
+                again = _repeats(seed, content, start, doc, ids[doc])
                 out = []
                 if again.any():
                     body = _pack(start[again].astype(np.uint32), count[again].astype(np.uint8))
@@ -398,9 +412,7 @@ def _strings(shares: int):
                     one, two = _string_hashes(raw, at)
                     ids = _ids(batch)
                     doc = np.searchsorted(starts, at, "right") - 1
-                    order = np.lexsort((at, doc, ids[doc], two, one))
-                    at, one, two, doc = (x[order] for x in (at, one, two, doc))
-                    again = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1]))
+                    again = _repeats(one, two, at, doc, ids[doc])
                     if again.any():
                         body = _pack(at[again].astype(np.uint32), np.ones(again.sum(), np.uint8))
                         out.append((_home(name["batch"], shares), name["batch"], WHOLE, body))
@@ -430,10 +442,8 @@ def _settle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def finish(state):
         one, two, at, ids, doc, batch = (np.concatenate(c) for c in zip(*state, strict=True))
-        order = np.lexsort((at, doc, batch, ids, two, one))
-        again = np.append(False, (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]))
-        which = np.zeros(len(one), bool)
-        which[order] = again
+        state.clear()
+        which = _repeats(one, two, at, doc, batch, ids)
         yield from _to_batches(batch, [(WHOLE, which, (at, np.ones(len(at), np.uint8)))])
 
     yield from _each_share(parts, list, take, finish)
@@ -478,7 +488,8 @@ def remove(docs: DataFrame, texts: bool = False) -> DataFrame:
     found = _by_share(spread.mapInArrow(_entries(shares), _ROW), shares).mapInArrow(_scan, _ROW)
     found = written(found, "repeats")
     edges = _with_rows(names, found).where("rows is not null").repartition(many)
-    settled = _by_share(edges.mapInArrow(_strings(shares), _ROW), shares).mapInArrow(_settle, _ROW)
+    finer = 3 * shares  # there are more single strings at the edges than suffixes
+    settled = _by_share(edges.mapInArrow(_strings(finer), _ROW), finer).mapInArrow(_settle, _ROW)
     settled = written(settled, "settled")
     schema = StructType([*rest.drop("text").schema.fields, *new.fields])
 
