@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worksift.llm import forest, idfiles, pieces, quality, repeats, ring, rules, urls, warc, winnow
+from worksift.llm import forest, idfiles, pieces, quality, repeats, ring, rules, sql, urls, warc, winnow
 from worksift.llm.common import small_batches, table
 
 # Host, path, verdict.
@@ -74,7 +74,7 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +98,10 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_classifier,
     )
 }
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {
+    "op1_suffix_arrays": sql.OP1,
+    "op4_url_filters": sql.OP4,
+    "op5_minhash_forest": sql.OP5,
+    "op6_quality_rules": sql.OP6,
+    "op9_decontamination": sql.OP9,
+}

@@ -289,7 +289,7 @@ def _entries(shares: int):
 
 
 def _by_share(rows: DataFrame, shares: int) -> DataFrame:
-    return rows.repartition(shares, "share").sortWithinPartitions("share", "batch", "kind")
+    return rows.repartitionById(shares, "share").sortWithinPartitions("share", "batch", "kind")
 
 
 def _each_share(parts: Iterator[pa.RecordBatch], begin, take, finish) -> Iterator[pa.RecordBatch]:
@@ -464,7 +464,7 @@ def _covered(size: int, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
-def remove(docs: DataFrame, texts: bool = False) -> DataFrame:
+def remove(docs: DataFrame, texts: bool = False, batch_bytes: int = BATCH_BYTES, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """Every row of ``docs``, with its columns but ``text``, and ``n_bytes, n_removed, n_spans, kept_sha256``, and with ``texts``
     also ``span_starts, span_ends`` (removed byte spans of the whole text) and ``kept_text``.
 
@@ -479,9 +479,9 @@ def remove(docs: DataFrame, texts: bool = False) -> DataFrame:
     made += ", span_starts array<bigint>, span_ends array<bigint>, kept_text string" if texts else ""
     new = StructType.fromDDL(made)
     rest = docs.drop(*new.names)
-    names = batches_of(rest)
+    names = batches_of(rest, batch_bytes)
     total = names.agg(F.sum("n_bytes")).first()[0] or 0
-    shares = max(8, -(-total // SHARE_BYTES))
+    shares = max(8, -(-total // share_bytes))
     # A batch is a large piece of work: each has a task of its own.
     many = max(1, names.count())
     spread = names.repartition(many)
