@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from worksift.llm import components, forest, idfiles, pieces, quality, registry, repeats, ring, rules, urls, warc, winnow
+from worksift.plans.storage import written
 
 SF = "/root/testdata/sf0.001"
 MODEL = registry.tokenizer_file("piece_bpe_32k.model")
@@ -396,9 +397,9 @@ def test_measures_equal_brute_force(docs, odd, empty):
 
 
 def test_rules_keep_clean_documents(docs, labels):
-    rows = rules.judge(docs).join(labels, "doc_id").where("n_words >= 50 and quality = 1")
-    assert rows.where("not kept").count() == 0
-    assert rules.judge(docs).join(labels, "doc_id").where("quality = 0 and kept").count() <= 5
+    rows = written(rules.judge(docs), "judged").join(labels, "doc_id")
+    assert rows.where("n_words >= 50 and quality = 1 and not kept").count() == 0
+    assert rows.where("quality = 0 and kept").count() <= 5
 
 
 # 7 -------------------------------------------------------------------------------------------

@@ -107,7 +107,9 @@ def measures(docs: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The measures of every row with ``base_failed``, ``kept`` and ``reasons`` (names of all rules
     it fails). A text without words fails ``few_words``. Rows are judged one by one: repeated rows
-    alike, an empty table gives an empty one, and only ``doc_id`` and ``text`` are read."""
+    alike, an empty table gives an empty one, and only ``doc_id`` and ``text`` are read. Store the
+    result before filtering it: Spark moves a filter below projections and would compute the measures
+    again for each place that it names."""
     out = measures(docs).select("*", failed(base).alias("_base"), failed(rules).alias("_more"))
     return out.select(
         "doc_id",
