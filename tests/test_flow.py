@@ -121,5 +121,6 @@ def test_alias_reasons_and_evidence(make_works):
         ("4", "D"): ("label_has_multiple_identifiers", 2),
         ("5", "D"): ("label_has_multiple_identifiers", 2),
     }
-    evidence = aliases.alias_evidence(works, candidates).groupBy("proposed_canonical_id", "alias_label").count().collect()
-    assert {(r[0], r[1]): r["count"] for r in evidence} == {k: n for k, (_, n) in rows.items()}
+    evidence = {(r.kind, r.key, r.work_id) for r in aliases.alias_evidence(works).collect()}
+    ids, names = ["w0001", "w0002"], {"B": ["w0002", "w0003"], "D": ["w0005", "w0006"]}
+    assert evidence == {("identifier", "1", w) for w in ids} | {("label", n, w) for n, ws in names.items() for w in ws}

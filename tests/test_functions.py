@@ -109,3 +109,8 @@ def test_sentences(spark):
     assert say("part_spend", months=1234.0, percent_spent=2.5) == "Sanctioned 999 months ago, 2 percent spent."
     assert say("full_spend_open") == "Full amount spent, work still under implementation."
     assert say("districts_and_mps", district_count=4.0, mp_count=9.0) == "Agency holds works in 4 districts, 9 MPs."
+
+
+def test_amounts_that_are_no_numbers_are_zero(spark):
+    rows = spark.createDataFrame([("NaN",), ("Infinity",), ("-3",), ("2.5",), ("x",), (None,)], "v string")
+    assert [r[0] for r in rows.select(money.amount_floor(F.col("v"))).collect()] == [0.0, 0.0, 0.0, 2.5, 0.0, 0.0]

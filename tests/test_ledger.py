@@ -139,3 +139,15 @@ def test_outcomes_can_arrive_as_a_stream(spark, tmp_path):
     arrive((3, "w1", "2024-01-01", "a", ok, None, 3), (4, "w1", "2024-01-02", "a", ok, 1, 4))
     out = {r.outcome_id: r.reason for r in spark.read.parquet(target).collect()}
     assert out == {1: None, 2: "duplicate_outcome", 3: "duplicate_outcome", 4: None}
+
+
+def test_outcomes_without_position_or_id_are_refused(spark):
+    kinds = "outcome_id bigint, work_id string, inspected_on date, inspector_id string, outcome string, supersedes bigint, position bigint"
+    ok = "work_not_found_at_site"
+    rows = [(1, "a", None, None), (None, "b", None, 2), (3, "\t", None, 3), (4, "c", None, 4)]
+    batch = spark.createDataFrame(
+        [(i, "w1", "2024-01-01", who, ok, s, p) for i, who, s, p in rows], kinds.replace("date", "string")
+    ).withColumn("inspected_on", F.col("inspected_on").cast("date"))
+    works = spark.createDataFrame([("w1",)], "work_id string")
+    out = ledger.outcome_accept(batch.where("false"), batch, works, F.lit("2025-01-01").cast("date")).collect()
+    assert {(r.outcome_id, r.reason) for r in out} == {(1, "no_position"), (None, "no_position"), (3, "blank_inspector"), (4, None)}

@@ -9,9 +9,9 @@ from worksift.config import QUOTA_PERCENT
 
 
 def amount_floor(c: Column) -> Column:
-    """Non-negative double; anything unreadable is 0."""
+    """Non-negative double; anything unreadable, not a number or infinite is 0."""
     value = c.try_cast("double")
-    return F.when(value > 0, value).otherwise(F.lit(0.0))
+    return F.when((value > 0) & ~F.isnan(value) & (value < float("inf")), value).otherwise(F.lit(0.0))
 
 
 def exact_sum(c: Column) -> Column:

@@ -17,9 +17,14 @@ from worksift.config import COMMON_TOKENS
 _PLAIN = r"^[\x00-\x7FÀ-Þà-ÿ]*$"
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def clean_text(c: Column) -> Column:
     """Tabs to spaces, trimmed, runs of white space to one space, empty to null."""
-    tidy = F.regexp_replace(F.translate(c, "\t", " "), r"(?U)^\s+|\s+$", "")
+    tidy = stripped(F.translate(c, "\t", " "))
     return F.nullif(F.regexp_replace(tidy, r"(?U)\s{2,}", " "), F.lit(""))
 
 

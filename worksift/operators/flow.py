@@ -22,6 +22,11 @@ CLUSTER_Z = 2.0
 CLUSTER_MIN_WORKS = 5
 RIBBON_ROWS = 7
 
+# Fixed value: the sentence shown for a cluster.
+CLUSTER_SENTENCE = (
+    "%s is connected to %d distinct MPs, %.1f standard deviations above the average of %.1f among %ss "
+    "with at least %d works recorded."
+)
 LIST_LENGTH = 10_000
 
 
@@ -166,14 +171,7 @@ def concentration_clusters(nodes: DataFrame, edges: DataFrame, min_works: int =
     )  # two rows
     z = F.when(F.col("std") > 0, (F.col("members") - F.col("mean")) / F.col("std"))
     found = eligible.join(F.broadcast(stats), "type").withColumn("z", z).where(F.col("z") > CLUSTER_Z)
-    reason = F.concat(
-        F.col("label"),
-        F.format_string(" is connected to %d distinct MPs, ", F.col("members")),
-        F.format_string("%.1f standard deviations above the average of ", F.col("z")),
-        F.format_string("%.1f among ", F.col("mean")),
-        F.lower("type"),
-        F.lit(f"s with at least {min_works} works recorded."),
-    )
+    reason = F.format_string(CLUSTER_SENTENCE, "label", "members", "z", "mean", F.lower("type"), F.lit(min_works))
     return found.select(F.col("id").alias("node_id"), "label", "members", reason.alias("reason"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from worksift import config
 from worksift.functions.money import quota_for
+from worksift.functions.text import stripped
 from worksift.plans.ranking import global_rank, rank_in_group, running_totals
 from worksift.plans.storage import written
 
@@ -74,7 +75,7 @@ def review_append(
     ``review_id`` and the review it supersedes: the one before it in the batch, or else the one in
     force."""
     known = candidates.select("candidate_id", F.lit(True).alias("_known"))
-    blank = F.coalesce(F.trim("reviewed_by") == "", F.lit(True))
+    blank = F.coalesce(stripped(F.col("reviewed_by")) == "", F.lit(True))
     problem = (
         F.when(~F.coalesce(F.col("status").isin(*statuses), F.lit(False)), "unknown_status")
         .when(blank, "blank_reviewer")
@@ -96,7 +97,7 @@ def review_append(
     refused = checked.where(F.col("problem").isNotNull()).withColumns(
         {"review_id": F.lit(None).cast("bigint"), "supersedes": F.lit(None).cast("bigint")}
     )
-    return linked.withColumn("reviewed_by", F.trim("reviewed_by")).unionByName(refused, allowMissingColumns=True)
+    return linked.withColumn("reviewed_by", stripped(F.col("reviewed_by"))).unionByName(refused, allowMissingColumns=True)
 
 
 def review_history(reviews: DataFrame, candidate_id: int | None = None) -> DataFrame:
@@ -149,7 +150,7 @@ def duplicate_context(
 def outcome_accept(ledger: DataFrame, batch: DataFrame, works: DataFrame, today: Column) -> DataFrame:
     """Batch rows with ``reason``: null when accepted, else the first rule broken.
 
-    Rules: a known work, a known outcome, a date not in the future, an amended outcome that
+    Rules: a position and an id, a known work, a known outcome, a date not in the future, an amended outcome that
     exists for the same work and is not amended yet, and one row per work, day and inspector.
     Rows depend on earlier rows only through a shared key or the row they amend, so each round
     decides all rows whose key is settled; two rounds are usual.
@@ -158,10 +159,11 @@ def outcome_accept(ledger: DataFrame, batch: DataFrame, works: DataFrame, today:
     known = works.select("work_id", F.lit(True).alias("_known"))
     outcomes = list(config.OUTCOME_IS_ISSUE)
     own = (
-        F.when(F.col("_known").isNull(), "work_not_found")
+        F.when(F.col("position").isNull() | F.col("outcome_id").isNull(), "no_position")
+        .when(F.col("_known").isNull(), "work_not_found")
         .when(~F.coalesce(F.col("outcome").isin(*outcomes), F.lit(False)), "unknown_outcome")
         .when(F.col("inspected_on").isNull() | (F.col("inspected_on") > today), "bad_date")
-        .when(F.coalesce(F.trim("inspector_id") == "", F.lit(True)), "blank_inspector")
+        .when(F.coalesce(stripped(F.col("inspector_id")) == "", F.lit(True)), "blank_inspector")
     )
     rows = written(
         batch.join(known, "work_id", "left").withColumn("reason", own).drop("_known"), "outcomes"
@@ -170,7 +172,7 @@ def outcome_accept(ledger: DataFrame, batch: DataFrame, works: DataFrame, today:
     settled = ledger.select(*ids[:-1], F.lit(True).alias("accepted")).unionByName(
         rows.where(F.col("reason").isNotNull()).select(*ids[:-1], F.lit(False).alias("accepted"))
     )
-    verdicts = rows.where(F.col("reason").isNotNull()).select("outcome_id", "reason")
+    verdicts = rows.where(F.col("reason").isNotNull() & F.col("outcome_id").isNotNull()).select("outcome_id", "reason")
     open_rows = rows.where(F.col("reason").isNull()).select(*ids)
     while not open_rows.isEmpty():
         open_rows, settled = written(open_rows, "open"), written(settled, "settled")
@@ -207,10 +209,14 @@ def outcome_accept(ledger: DataFrame, batch: DataFrame, works: DataFrame, today:
             .when(F.col("_taken").isNotNull(), "duplicate_outcome")
         )
         decided = written(view.where(ready).select(*ids, reason.alias("reason")), "decided")
+        if decided.isEmpty():
+            raise RuntimeError("no open outcome can be decided: positions are not unique")
         verdicts = verdicts.unionByName(decided.select("outcome_id", "reason"))
         settled = settled.unionByName(decided.select(*ids[:-1], F.col("reason").isNull().alias("accepted")))
         open_rows = open_rows.join(decided.select("outcome_id"), "outcome_id", "left_anti")
-    return rows.drop("reason").join(verdicts, "outcome_id")
+    # Rows without an id cannot be joined to a verdict; theirs is known.
+    unnamed = rows.where(F.col("outcome_id").isNull())
+    return rows.drop("reason").join(verdicts, "outcome_id").unionByName(unnamed, allowMissingColumns=True)
 
 
 def outcome_context(works: DataFrame, scored: DataFrame) -> DataFrame:

@@ -323,7 +323,7 @@ def contract_cross_checks(spark, sf_dir):
     """Checked against a works table without its agency-less rows and nodes without one member."""
     _, nodes, edge_rows, _ = graph(spark, sf_dir)
     all_works = given.alias_works(spark, sf_dir)
-    evidence = aliases.alias_evidence(all_works, aliases.alias_candidates(all_works))
+    evidence = aliases.alias_evidence(all_works)
     found = contract.contract_cross_checks(
         works(spark, sf_dir).where(F.col("implementing_agency").isNotNull()),
         scored(spark, sf_dir),
@@ -665,10 +665,7 @@ def alias_candidates(spark, sf_dir):
 
 @query
 def alias_evidence(spark, sf_dir):
-    """Evidence of a review page: the first ten candidates by id and label."""
-    rows = given.alias_works(spark, sf_dir)
-    page = aliases.alias_candidates(rows).orderBy("proposed_canonical_id", "alias_label").limit(10)
-    return aliases.alias_evidence(rows, page)
+    return aliases.alias_evidence(given.alias_works(spark, sf_dir))
 
 
 # -- duplicates -------------------------------------------------------------------------------
@@ -779,7 +776,9 @@ def judge_verify(spark, sf_dir):
     doc, passage = given.table(spark, sf_dir, "documents"), given.table(spark, sf_dir, "benchmark")
     n = F.col("doc_id") % 5
     here, there = F.substring("text", 1, 12), F.substring("passage", 1, 12)
-    rows = doc.join(passage.withColumnRenamed("text", "passage"), F.col("doc_id") % 40 == F.col("item_id")).select(
+    items = passage.agg((F.max("item_id") + 1).alias("items"))  # one row
+    paired = doc.crossJoin(F.broadcast(items)).withColumn("item_id", F.col("doc_id") % F.col("items"))
+    rows = paired.join(passage.withColumnRenamed("text", "passage"), "item_id").select(
         "doc_id",
         F.col("text").alias("text_a"),
         F.col("passage").alias("text_b"),

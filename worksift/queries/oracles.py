@@ -212,7 +212,7 @@ activity = "CASE o_orderkey % {n} {whens} END".format(
     n=len(ACTIVITIES), whens=" ".join(f"WHEN {i} THEN {q(a)}" for i, a in enumerate(ACTIVITIES))
 )
 category = "CASE " + " ".join(
-    "WHEN " + " OR ".join(f"contains(lower(activity_name), {q(w)})" for w in words.split(", ")) + f" THEN {q(name)}"
+    "WHEN " + " OR ".join(f"contains(lower(activity_name), {q(w)})" for w in words) + f" THEN {q(name)}"
     for name, words in CATEGORY_WORDS
 ) + " ELSE 'Community Infrastructure' END"
 cte(
@@ -670,8 +670,10 @@ FROM alias_rows JOIN alias_pairs ON vendor_id = proposed_canonical_id AND vendor
 )
 oracle(
     "alias_evidence",
-    """SELECT * FROM alias_rows SEMI JOIN (SELECT vendor_id AS proposed_canonical_id, vendor_name AS alias_label FROM alias_pairs WHERE names > 1 OR ids > 1 ORDER BY 1, 2 LIMIT 10) USING (proposed_canonical_id, alias_label)""",
-    "alias_rows",
+    """SELECT DISTINCT 'identifier' AS kind, vendor_id AS key, work_id FROM alias_works SEMI JOIN (SELECT vendor_id FROM alias_pairs WHERE names > 1) USING (vendor_id)
+UNION ALL SELECT DISTINCT 'label', vendor_name, work_id FROM alias_works SEMI JOIN (SELECT vendor_name FROM alias_pairs WHERE ids > 1) USING (vendor_name)""",
+    "alias_pairs",
+    "alias_works",
 )
 oracle(
     "snapshot_write",
@@ -885,7 +887,7 @@ oracle(
 FROM (SELECT doc_id, d.text, b.text AS passage, doc_id % 10 <> 0 AS same, CASE WHEN doc_id % 5 = 0 THEN b.text END AS asset,
   CASE doc_id % 5 WHEN 1 THEN d.text[1:12] WHEN 2 THEN '.' WHEN 3 THEN d.text[1:12] WHEN 4 THEN 'o' END AS place_a,
   CASE doc_id % 5 WHEN 2 THEN '.' WHEN 3 THEN b.text[1:12] WHEN 4 THEN 'O' END AS place_b
-FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)""",
+FROM documents d JOIN benchmark b ON d.doc_id % (SELECT MAX(item_id) + 1 FROM benchmark) = b.item_id)""",
 )
 oracle(
     "judge_rates",

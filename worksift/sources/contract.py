@@ -129,7 +129,7 @@ def contract_cross_checks(
         finding(scored.where(~flagged & group.isNotNull()), "peers_without_flag", F.col("work_id"), F.lit(None)),
         missing_works(edge_works, "edge_work_unknown", edge_name),
         missing_works(
-            evidence, "alias_work_unknown", F.concat_ws("/", "proposed_canonical_id", "alias_label")
+            evidence, "alias_work_unknown", F.concat_ws("/", "kind", "key")
         ),
     ]
     for end in ("source", "target"):
