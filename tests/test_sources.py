@@ -133,3 +133,12 @@ def test_receipts_do_not_depend_on_order(make_works):
     assert a == b and a["rows"] == 20 and not a.is_demo
     changed = snapshot.input_receipts([("works", rows.withColumn("state", F.lit("x")), True, None)]).first()
     assert changed.checksum != a.checksum
+
+
+def test_last_completion_follows_file_names_not_sizes(spark, tmp_path):
+    row = lambda date: {"WORK_RECOMMENDATION_DTL_ID": "1", "ACTUAL_END_DATE": date}
+    (tmp_path / "b_last.json").write_text(json.dumps([row("01-Jan-2020")]))
+    (tmp_path / "a_first.json").write_text(json.dumps([row("02-Feb-2024")] + [row("03-Mar-2023")] * 200))
+    rows = tiles.tile_unwrap(tiles.read_tile_documents(spark, str(tmp_path)))
+    found = tiles.completed_lookup(tiles.parse_completed(rows)).collect()
+    assert [(r.work_id, str(r.completion_date)) for r in found] == [("1", "2020-01-01")]

@@ -21,12 +21,15 @@ WORK_KEY = "WORK_RECOMMENDATION_DTL_ID"
 
 
 def read_tile_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Tile files, one JSON document per file, as a single ``document`` column."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "document")
+    """Tile files as ``document, file``. The format is one JSON document per file, so a file is one
+    row and must fit in a task."""
+    read = spark.read.text(path, wholetext=True)
+    return read.select(F.col("value").alias("document"), F.col("_metadata.file_path").alias("file"))
 
 
 def tile_unwrap(documents: DataFrame) -> DataFrame:
-    """Rows of a tile as ``row map<string,string>``, so an absent key differs from a null.
+    """Rows of a tile as ``row map<string,string>``, so an absent key differs from a null, with their
+    ``file`` (empty where the documents do not tell) and ``place`` in it: the input order.
 
     A document is a one-key object whose value is an array or a JSON string holding one, or the
     array itself. Summary rows (``Total_Amt``) are dropped; more than one key is an error.
@@ -44,8 +47,9 @@ def tile_unwrap(documents: DataFrame) -> DataFrame:
     not_rows = F.raise_error(F.lit("a tile does not hold a list of rows")).cast(
         "array<map<string,string>>"
     )
-    listed = documents.select(F.when(rows.isNull(), not_rows).otherwise(rows).alias("rows"))
-    unwrapped = listed.select(F.explode("rows").alias("row"))
+    file = F.col("file") if "file" in documents.columns else F.lit("")
+    listed = documents.select(file.alias("file"), F.when(rows.isNull(), not_rows).otherwise(rows).alias("rows"))
+    unwrapped = listed.select("file", F.posexplode("rows").alias("place", "row"))
     return unwrapped.where(~F.map_contains_key("row", F.lit("Total_Amt")))
 
 
@@ -91,7 +95,7 @@ def parse_completed(rows: DataFrame) -> DataFrame:
     return rows.select(
         _get(WORK_KEY).alias("work_id"),
         portal_date(_get("ACTUAL_END_DATE")).alias("completion_date"),
-        F.monotonically_increasing_id().alias("position"),
+        F.struct("file", "place").alias("position"),
     )
 
 
