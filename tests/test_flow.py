@@ -124,3 +124,11 @@ def test_alias_reasons_and_evidence(make_works):
     evidence = {(r.kind, r.key, r.work_id) for r in aliases.alias_evidence(works).collect()}
     ids, names = ["w0001", "w0002"], {"B": ["w0002", "w0003"], "D": ["w0005", "w0006"]}
     assert evidence == {("identifier", "1", w) for w in ids} | {("label", n, w) for n, ws in names.items() for w in ws}
+
+
+def test_reach_counts_members_beyond_one_mask(spark):
+    """150 members behind two agencies of one vendor, 20 of them behind both."""
+    rows = [(f"m{i}", "a", "MP") for i in range(90)] + [(f"m{i}", "b", "MP") for i in range(70, 150)]
+    rows += [("a", "v", "Agency"), ("b", "v", "Agency"), ("b", "w", "Agency")]
+    edges = spark.createDataFrame(rows, "source string, target string, source_type string")
+    assert {r.id: r.members for r in flow._reach(edges).collect()} == {"a": 90, "b": 80, "v": 150, "w": 80}

@@ -151,3 +151,28 @@ def test_outcomes_without_position_or_id_are_refused(spark):
     works = spark.createDataFrame([("w1",)], "work_id string")
     out = ledger.outcome_accept(batch.where("false"), batch, works, F.lit("2025-01-01").cast("date")).collect()
     assert {(r.outcome_id, r.reason) for r in out} == {(1, "no_position"), (None, "no_position"), (3, "blank_inspector"), (4, None)}
+
+
+def test_pages_of_candidates_with_gaps_in_their_ids(spark, monkeypatch):
+    monkeypatch.setattr("worksift.plans.ranking._BLOCK_ROWS", 16)
+    ids = list(range(3, 200, 7))
+    resolved = spark.createDataFrame([(i, "identical_batch", "pending") for i in ids], "candidate_id bigint, finder string, current_status string")
+    seen = []
+    for number in range(1, 7):
+        page, total = ledger.candidate_page(resolved, status="pending", page=number, page_size=5)
+        seen.append(sorted(r.candidate_id for r in page.collect()))
+        assert tuple(total.first()) == (len(ids), 6)
+    assert seen == [ids[k : k + 5] for k in range(0, 30, 5)]
+    beyond, _ = ledger.candidate_page(resolved, page=7, page_size=5)
+    none, total = ledger.candidate_page(resolved, status="other")
+    assert beyond.isEmpty() and none.isEmpty() and tuple(total.first()) == (0, 0)
+
+
+@pytest.mark.parametrize("page, size", [(0, 50), (1, 0), (1, config.MAX_PAGE_SIZE + 1)])
+def test_pages_have_a_bounded_size(spark, page, size):
+    from worksift.operators.serve import WorksQuery
+
+    with pytest.raises(ValueError):
+        ledger.candidate_page(candidates_of(spark, 1), page=page, page_size=size)
+    with pytest.raises(ValueError):
+        WorksQuery(page=page, page_size=size)

@@ -73,6 +73,8 @@ COMMON_TOKENS = tuple(
     "panchayat road to village".split()
 )
 
+MAX_PAGE_SIZE = 10_000  # a page's ids are broadcast: no page is larger
+
 # Judged pairs.
 JUDGED_FINDER = "judged_same_asset_same_place"
 JUDGED_VERSION = "work_candidate_derivation_v1"

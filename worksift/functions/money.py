@@ -21,7 +21,8 @@ def exact_sum(c: Column) -> Column:
 
 def quota_for(n: Column) -> Column:
     """Ten percent rounded up in integers: at least 1 of anything, 0 of nothing."""
-    return ((n * QUOTA_PERCENT + 99) / 100).cast("bigint")
+    numerator = n.cast("bigint") * F.lit(QUOTA_PERCENT) + F.lit(99)
+    return F.call_function("div", numerator, F.lit(100))
 
 
 def risk_band(score: Column, flags: Column) -> Column:

@@ -83,7 +83,7 @@ def _average_path(n):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, depth))
 
 
-_TREE_SCHEMA = "tree int, feature array<int>, threshold array<double>, depth array<double>"
+_TREE_SCHEMA = "tree int, rows int, feature array<int>, threshold array<double>, depth array<double>"
 
 
 def _grow(rows: pd.DataFrame) -> pd.DataFrame:
@@ -114,28 +114,25 @@ def _grow(rows: pd.DataFrame) -> pd.DataFrame:
         feature[node], threshold[node] = axis, cut
         members[2 * node + 1], members[2 * node + 2] = inside[left], inside[~left]
     return pd.DataFrame(
-        {"tree": [tree], "feature": [feature.tolist()], "threshold": [threshold.tolist()], "depth": [depth.tolist()]}
+        {"tree": [tree], "rows": [len(x)], "feature": [feature.tolist()], "threshold": [threshold.tolist()], "depth": [depth.tolist()]}
     )
 
 
 def _forest_sample(rows: DataFrame, total: int) -> DataFrame:
     """``forest_sample`` works per tree: those with the tree's smallest draws.
 
-    A work draws for as many trees as keep every tree supplied about four times over, and a draw
-    above the cut-off is dropped where it is made, so what is shuffled is bounded by the forest's
-    size and not by the data.
+    Every work draws for every tree, at any number of works. A draw above the cut-off, which leaves
+    a tree about four times its sample, is dropped where it is made, so what is shuffled is bounded
+    by the forest's size and not by the data.
     """
     trees, sample = SETTINGS.forest_trees, SETTINGS.forest_sample
-    wanted = 4 * trees * sample
-    draws = max(1, min(trees, -(-wanted // max(total, 1))))
-    cutoff = min(1.0, wanted / max(total * draws, 1)) if draws < trees else 1.0
-    first = F.pmod(F.xxhash64(F.lit(SETTINGS.forest_seed), "work_id"), F.lit(trees))
+    cutoff = 4 * sample / max(total, 1)
 
-    def draw(j: Column) -> Column:
-        pick = F.xxhash64(F.lit(SETTINGS.forest_seed), "work_id", j) / F.lit(2.0**64) + 0.5
-        return F.struct(F.pmod(first + j, F.lit(trees)).cast("int").alias("tree"), pick.alias("pick"))
+    def draw(tree: Column) -> Column:
+        pick = F.xxhash64(F.lit(SETTINGS.forest_seed), "work_id", tree) / F.lit(2.0**64) + 0.5
+        return F.struct(tree.alias("tree"), pick.alias("pick"))
 
-    drawn = F.filter(F.transform(F.sequence(F.lit(1), F.lit(draws)), draw), lambda d: d["pick"] < cutoff)
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), draw), lambda d: d["pick"] < cutoff)
     offered = rows.select("work_id", *FEATURES, F.explode(drawn).alias("_draw")).select(
         "work_id", *FEATURES, "_draw.tree", "_draw.pick"
     )
@@ -149,6 +146,9 @@ def isolation_forest(points: DataFrame, rows: DataFrame) -> DataFrame:
     total = points.agg(F.sum("weight")).first()[0] or 0
     chosen = _forest_sample(rows, total)
     grown = chosen.groupBy("tree").applyInPandas(_grow, _TREE_SCHEMA).orderBy("tree").collect()
+    supply = min(SETTINGS.forest_sample, total)
+    if total and (len(grown) < SETTINGS.forest_trees or any(t.rows < supply for t in grown)):
+        raise RuntimeError(f"a tree of the forest got fewer than {supply} works")
     forest = points.sparkSession.sparkContext.broadcast(
         [(np.array(t.feature), np.array(t.threshold), np.array(t.depth)) for t in grown]
     )  # at most 200 trees of 511 nodes

@@ -130,20 +130,32 @@ def graph_integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _vendor_members(edges: DataFrame) -> DataFrame:
-    """Distinct members two hops from a vendor through any shared agency."""
+    """``id, members``: distinct members two hops from a vendor through any shared agency.
+
+    Members are numbered and an agency's are combined into masks of 64, so a busy agency sends its
+    vendors a row per mask and not one per member.
+    """
     members = edges.where(F.col("source_type") == "MP").select(
         F.col("target").alias("agency"), F.col("source").alias("mp")
     )
+    numbers = global_rank(members.select("mp").distinct(), [F.col("mp")], "_n")
+    bit = F.expr("shiftleft(cast(1 as bigint), cast(_n % 64 as int))")
+    masks = (
+        members.join(numbers, "mp")
+        .groupBy("agency", F.expr("_n div 64").alias("_word"))
+        .agg(F.bit_or(bit).alias("_mask"))
+    )
     vendors = edges.where(F.col("source_type") == "Agency").select(
         F.col("source").alias("agency"), F.col("target").alias("id")
     )
-    return vendors.join(members, "agency").select("id", "mp").distinct()
+    combined = vendors.join(masks, "agency").groupBy("id", "_word").agg(F.bit_or("_mask").alias("_mask"))
+    return combined.groupBy("id").agg(F.sum(F.bit_count("_mask")).alias("members"))
 
 
 def _reach(edges: DataFrame) -> DataFrame:
     """``id, type, members``: members per agency (direct) and per vendor (two hops)."""
     direct = edges.where(F.col("source_type") == "MP").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("members"))
-    hops = _vendor_members(edges).groupBy("id").agg(F.count("*").alias("members"))
+    hops = _vendor_members(edges)
     return direct.withColumn("type", F.lit("Agency")).unionByName(hops.withColumn("type", F.lit("Vendor")))
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worksift import config
+from worksift.config import MAX_PAGE_SIZE
 from worksift.functions.money import quota_for
 from worksift.functions.text import stripped
-from worksift.plans.ranking import global_rank, rank_in_group, running_totals
+from worksift.plans.ranking import dense_position, global_rank, position_blocks, rank_in_group, running_totals
 from worksift.plans.storage import written
 
 # Review decisions, and the finders behind each kind of candidate.
@@ -109,16 +110,25 @@ def review_history(reviews: DataFrame, candidate_id: int | None = None) -> DataF
 def candidate_page(
     resolved: DataFrame, status: str | None = None, kind: str | None = None, page: int = 1, page_size: int = 50
 ) -> tuple[DataFrame, DataFrame]:
-    """One page by candidate id, and the filtered total."""
+    """One page by candidate id, and the filtered total.
+
+    Candidates are counted per block of ids; only the blocks under the page are put in order.
+    """
+    if page < 1 or not 1 <= page_size <= MAX_PAGE_SIZE:
+        raise ValueError(f"page from 1, page_size from 1 to {MAX_PAGE_SIZE}; got {page}, {page_size}")
     rows = resolved
     if status is not None:
         rows = rows.where(F.col("current_status") == status)
     if kind is not None:
         rows = rows.where(F.col("finder").isin(*KIND_FINDERS[kind]))
-    total = rows.agg(F.count("*").alias("total")).withColumn(
+    blocks = written(position_blocks(rows, "candidate_id"), "blocks")
+    total = blocks.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total")).withColumn(
         "total_pages", F.ceil(F.col("total") / page_size).cast("bigint")
     )
-    return rows.orderBy("candidate_id").offset((page - 1) * page_size).limit(page_size), total
+    first = (page - 1) * page_size
+    under = blocks.where((F.col("start") < first + page_size) & (F.col("start") + F.col("rows") > first))
+    placed = dense_position(rows, "candidate_id", under, "_place")
+    return placed.where(F.col("_place").between(first + 1, first + page_size)).drop("_place"), total
 
 
 def candidate_evidence(page: DataFrame, candidate_works: DataFrame, works: DataFrame) -> DataFrame:
@@ -180,19 +190,24 @@ def outcome_accept(ledger: DataFrame, batch: DataFrame, works: DataFrame, today:
         taken = kept.select(*triple).distinct().withColumn("_taken", F.lit(True))
         amended = kept.where(F.col("supersedes").isNotNull()).select("supersedes").distinct().withColumn("_amended", F.lit(True))
         first = open_rows.groupBy(*triple).agg(F.min("position").alias("_first"))
-        first_amend = open_rows.groupBy("supersedes").agg(F.min("position").alias("_first_amend"))
-        target = settled.select(
+        # Rows that amend nothing meet no other row through ``supersedes``: they stay out of its joins.
+        amending, plain = open_rows.where("supersedes is not null"), open_rows.where("supersedes is null")
+        first_amend = amending.groupBy("supersedes").agg(F.min("position").alias("_first_amend"))
+        target = settled.where("outcome_id is not null").select(
             F.col("outcome_id").alias("supersedes"), F.col("work_id").alias("_target_work"), F.col("accepted").alias("_target_ok")
         )
         waiting = open_rows.select(F.col("outcome_id").alias("supersedes"), F.lit(True).alias("_target_open"), F.col("position").alias("_target_position"))
-        view = (
-            open_rows.join(first, triple)
-            .join(taken, triple, "left")
-            .join(first_amend, "supersedes", "left")
+        linked = (
+            amending.join(first_amend, "supersedes", "left")
             .join(amended, "supersedes", "left")
             .join(target, "supersedes", "left")
             .join(waiting, "supersedes", "left")
         )
+        view = (
+            linked.unionByName(plain, allowMissingColumns=True)
+            .join(first, triple)
+            .join(taken, triple, "left")
+        )
         amends = F.col("supersedes").isNotNull()
         earlier_target = F.col("_target_open") & (F.col("_target_position") < F.col("position"))
         ready = (F.col("_taken").isNotNull() | (F.col("position") == F.col("_first"))) & (

@@ -7,7 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worksift.config import COMPLETION_DAYS_LIMIT, FLAGS, NO_PAYMENT_DAYS, SANCTION_DAYS_LIMIT, UNDER_IMPLEMENTATION
+from worksift.config import (
+    COMPLETION_DAYS_LIMIT,
+    FLAGS,
+    MAX_PAGE_SIZE,
+    NO_PAYMENT_DAYS,
+    SANCTION_DAYS_LIMIT,
+    UNDER_IMPLEMENTATION,
+)
 from worksift.functions.dates import calendar_months, days_stale, financial_year
 from worksift.functions.money import exact_sum, quota_for
 from worksift.plans.ranking import dense_position, position_blocks
@@ -45,6 +52,10 @@ class WorksQuery:
     page: int = 1
     page_size: int = 50
 
+    def __post_init__(self) -> None:
+        if self.page < 1 or not 1 <= self.page_size <= MAX_PAGE_SIZE:
+            raise ValueError(f"page from 1, page_size from 1 to {MAX_PAGE_SIZE}; got {self.page}, {self.page_size}")
+
 
 def under_implementation() -> Column:
     return F.col("completion_status").isin(*UNDER_IMPLEMENTATION)

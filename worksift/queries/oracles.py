@@ -1,15 +1,45 @@
-"""The same results in plain SQL over the given tables, for comparison by another engine."""
+"""The same results in plain SQL over the given tables, for comparison by another engine.
 
-from __future__ import annotations
+Nothing is imported from the package: every value is stated here a second time, so that a wrong
+word, threshold or name there does not agree with itself.
+"""
 
-from worksift import config
-from worksift.functions.categories import CATEGORY_WORDS
-from worksift.plans.driver_tables import ACTIVITIES, AS_OF
-from worksift.sources.contract import WORKS_SCHEMA
+from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
 
-DAY = f"DATE '{AS_OF}'"
+DAY = "DATE '2001-09-01'"
+
+# Each activity of the tiles and the category it must get.
+ACTIVITY_CATEGORIES = (
+    ("Construction of roads with drainage", "Road"),
+    ("Purchase of books for the school library", "School"),
+    ("Tube-well for drinking water", "Drinking Water"),
+    ("Solar street light", "Electricity"),
+    ("Community hall", "Community Infrastructure"),
+    ("Ambulance for the hospital", "Health"),
+    ("Public toilet block", "Sanitation"),
+    ("Flood control walls along roadsides", "Community Infrastructure"),
+    ("Seed store", "Community Infrastructure"),
+)
+# The works record, names and kinds of versions, words, flags.
+WORKS_COLUMNS = (
+    "work_id state constituency mp_name tenure implementing_district_authority implementing_agency vendor_id vendor_name "
+    "work_category work_description activity_name recommendation_date work_stage completion_date has_public_document "
+    "sanctioned_amount_inr expenditure_amount_inr sanction_date completion_status last_updated source_rung"
+).split()
+DATES = ("recommendation_date", "completion_date", "sanction_date", "last_updated")
+AMOUNTS = ("sanctioned_amount_inr", "expenditure_amount_inr")
+STATUSES = ("Completed", "In Progress", "Recommended", "Sanctioned")
+FLAGS = ("cost_outlier", "stalled_work", "expenditure_mismatch", "agency_concentration")
+FINDER_VERSION = "candidate_generation_v0"
+JUDGED_FINDER = "judged_same_asset_same_place"
+JUDGED_VERSION = "work_candidate_derivation_v1"
+PLACE_STOPLIST = ("village", "gram", "ward", "road", "school", "shamshan", "ghat", "community", "hall")
+CONTINUATION_MARKERS = ("phase", "continuation", "continue", "remaining", "balance work")
+WILSON_Z = 1.959963984540054
+# Fixed value: the digest of the scoring settings as published; a changed setting changes it.
+CONFIG_SHA256 = "3676cb6da04d118a4178163f0a19e6982005f6e5a3fbafe06cf0f7d5f92aa297"
 
 
 def q(value: str) -> str:
@@ -209,12 +239,9 @@ def rupees(x: str, where: str = "TRUE") -> str:
 # -- sources ----------------------------------------------------------------------------------
 
 activity = "CASE o_orderkey % {n} {whens} END".format(
-    n=len(ACTIVITIES), whens=" ".join(f"WHEN {i} THEN {q(a)}" for i, a in enumerate(ACTIVITIES))
+    n=len(ACTIVITY_CATEGORIES), whens=" ".join(f"WHEN {i} THEN {q(a)}" for i, (a, _) in enumerate(ACTIVITY_CATEGORIES))
 )
-category = "CASE " + " ".join(
-    "WHEN " + " OR ".join(f"contains(lower(activity_name), {q(w)})" for w in words) + f" THEN {q(name)}"
-    for name, words in CATEGORY_WORDS
-) + " ELSE 'Community Infrastructure' END"
+category = "CASE activity_name " + " ".join(f"WHEN {q(a)} THEN {q(name)}" for a, name in ACTIVITY_CATEGORIES) + " END"
 cte(
     "spine",
     f"""SELECT *, CAST(o_orderdate AS DATE) AS ordered, {activity} AS activity_name FROM orders
@@ -319,20 +346,20 @@ oracle(
 absent = {"tenure", "work_description", "activity_name", "work_stage", "completion_date", "has_public_document"}
 
 
-def normalised(name: str, kind: str) -> str:
+def normalised(name: str) -> str:
     if name in absent:
         return f"CAST(NULL AS VARCHAR) AS {name}"
     if name == "source_rung":
         return "3 AS source_rung"
     if name == "last_updated":
         return f"CAST({DAY} AS VARCHAR) AS last_updated"
-    if kind == "double":
+    if name in AMOUNTS:
         value = f"coalesce({name}, 0.0)" if name.startswith("exp") else name
         return f"ROUND({value}, 6) AS {name}"
-    return f"CAST({name} AS VARCHAR) AS {name}" if kind == "date" else name
+    return f"CAST({name} AS VARCHAR) AS {name}" if name in DATES else name
 
 
-oracle("normalize_project", "SELECT " + ", ".join(normalised(n, k) for n, k in WORKS_SCHEMA.items()) + " FROM works", "works")
+oracle("normalize_project", "SELECT " + ", ".join(normalised(n) for n in WORKS_COLUMNS) + " FROM works", "works")
 oracle(
     "contract_validate",
     """SELECT rule, COUNT(*) AS works FROM (SELECT 'work_category_enum' AS rule FROM works
@@ -357,7 +384,7 @@ oracle(
 )
 oracle(
     "input_receipts",
-    f"""SELECT *, {q(config.config_sha256())} AS config_sha256 FROM (
+    f"""SELECT *, {q(CONFIG_SHA256)} AS config_sha256 FROM (
 SELECT 'works_sanctioned' AS input, TRUE AS complete, CAST(NULL AS VARCHAR) AS note, COUNT(*) AS rows, FALSE AS is_demo FROM orders
 UNION ALL SELECT 'works_completed', TRUE, NULL, COUNT(*), FALSE FROM orders WHERE o_orderstatus = 'F'
 UNION ALL SELECT 'expenditure_events', FALSE, 'salvaged', COUNT(*), FALSE FROM lineitem
@@ -714,7 +741,7 @@ oracle("text_groups", "SELECT scope_kind, scope, fingerprint, work_count, consti
 def summary(kind: str, scope: str) -> str:
     statuses = "concat_ws(',', " + ", ".join(
         f"CASE WHEN COUNT(*) FILTER (status = {q(s)}) > 0 THEN concat({q(s + '=')}, COUNT(*) FILTER (status = {q(s)})) END"
-        for s in sorted(config.COMPLETION_STATUSES)
+        for s in STATUSES
     ) + ")"
     usual = lambda c: f"(SELECT {c} FROM described u WHERE u.{scope} = d.{scope} AND u.fingerprint = d.fingerprint GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 1)"
     return f"""SELECT {q(kind)} AS scope_kind, {scope} AS scope, fingerprint, {usual('text')} AS text, {usual('lang')} AS activity,
@@ -729,7 +756,7 @@ oracle("text_group_summary", f"SELECT * FROM summaries UNION ALL {summary('autho
 
 
 def batches(finder: str, kind: str, having: str) -> str:
-    return f"""SELECT sha256(concat_ws('|', {q(config.FINDER_VERSION)}, {q(finder)}, scope, fingerprint))[1:16] AS candidate_id, {q(finder)} AS finder, scope, fingerprint, work_count,
+    return f"""SELECT sha256(concat_ws('|', {q(FINDER_VERSION)}, {q(finder)}, scope, fingerprint))[1:16] AS candidate_id, {q(finder)} AS finder, scope, fingerprint, work_count,
   largest < 1500000 AND total >= 2500000 AS threshold_crossing_batch FROM grouped_texts WHERE scope_kind = {q(kind)} AND {having}"""
 
 
@@ -785,7 +812,7 @@ FROM {prefix}_cosines c JOIN tokens x ON x.t = a JOIN tokens y ON y.t = b""",
     )
     cte(
         f"{prefix}_near",
-        f"""SELECT sha256(concat_ws('|', {q(config.FINDER_VERSION)}, 'near_copy', scope, x.fingerprint, y.fingerprint))[1:16] AS candidate_id, 'near_copy' AS finder, scope,
+        f"""SELECT sha256(concat_ws('|', {q(FINDER_VERSION)}, 'near_copy', scope, x.fingerprint, y.fingerprint))[1:16] AS candidate_id, 'near_copy' AS finder, scope,
   a, b, x.fingerprint AS fingerprint_a, y.fingerprint AS fingerprint_b, cosine AS character_similarity, jaccard AS token_overlap,
   concat_ws(',', CASE WHEN by_character THEN 'character' END, CASE WHEN by_token THEN 'token' END) AS hits
 FROM {prefix}_pairs JOIN distinct_texts x ON x.t = a JOIN distinct_texts y ON y.t = b WHERE by_character OR by_token""",
@@ -798,7 +825,7 @@ pair_ctes("source", "source")
 oracle("near_copy_pairs", "SELECT * EXCLUDE (a, b) FROM lang_near", "lang_near")
 cte(
     "district_near",
-    f"""SELECT sha256(concat_ws('|', {q(config.FINDER_VERSION)}, 'district_near_copy', c.scope, x.fingerprint, y.fingerprint))[1:16] AS candidate_id, 'district_near_copy' AS finder, c.scope,
+    f"""SELECT sha256(concat_ws('|', {q(FINDER_VERSION)}, 'district_near_copy', c.scope, x.fingerprint, y.fingerprint))[1:16] AS candidate_id, 'district_near_copy' AS finder, c.scope,
   x.fingerprint AS fingerprint_a, y.fingerprint AS fingerprint_b, cosine AS character_similarity, 'character' AS hits FROM lang_cosines c
 JOIN lang_members m ON m.scope = c.scope AND m.t = a JOIN lang_members n ON n.scope = c.scope AND n.t = b
 JOIN distinct_texts x ON x.t = a JOIN distinct_texts y ON y.t = b WHERE cosine >= 0.9 AND least(m.c_first, n.c_first) <> greatest(m.c_last, n.c_last)""",
@@ -895,8 +922,8 @@ oracle(
   ROUND(100.0 * COUNT(*) FILTER (status = 'rejected') / COUNT(*), 1) AS quote_rejection_rate, COUNT(*) AS pairs_total FROM judgments""",
     "judgments",
 )
-PLACE_WORDS = "[k FOR k IN string_split(" + CANON.format(x="place") + ", ' ') IF k <> '' AND NOT list_contains([" + ", ".join(q(w) for w in config.PLACE_STOPLIST) + "], k)]"
-MARKED = " OR ".join(f"contains({CANON.format(x='x.text')}, {q(m)}) OR contains({CANON.format(x='y.text')}, {q(m)})" for m in config.CONTINUATION_MARKERS)
+PLACE_WORDS = "[k FOR k IN string_split(" + CANON.format(x="place") + ", ' ') IF k <> '' AND NOT list_contains([" + ", ".join(q(w) for w in PLACE_STOPLIST) + "], k)]"
+MARKED = " OR ".join(f"contains({CANON.format(x='x.text')}, {q(m)}) OR contains({CANON.format(x='y.text')}, {q(m)})" for m in CONTINUATION_MARKERS)
 cte(
     "from_judge",
     f"""SELECT j.scope, least(fingerprint_a, fingerprint_b) AS fingerprint_a, greatest(fingerprint_a, fingerprint_b) AS fingerprint_b, place AS quote_a, place AS quote_b,
@@ -910,7 +937,7 @@ WHERE status = 'judged' AND relation = 'same_asset_same_place' AND len({PLACE_WO
 )
 oracle(
     "judged_candidates",
-    f"""SELECT scope, fingerprint_a, fingerprint_b, {q(config.JUDGED_FINDER)} AS finder, {q(config.JUDGED_VERSION)} AS finder_version, quote_a, quote_b, work_relation, work_count FROM from_judge""",
+    f"""SELECT scope, fingerprint_a, fingerprint_b, {q(JUDGED_FINDER)} AS finder, {q(JUDGED_VERSION)} AS finder_version, quote_a, quote_b, work_relation, work_count FROM from_judge""",
     "from_judge",
 )
 oracle("work_relation", "SELECT work_relation, COUNT(*) AS pairs FROM from_judge GROUP BY 1", "from_judge")
@@ -1012,11 +1039,11 @@ cte(
     "recorded",
 )
 oracle("outcome_groups", "SELECT * FROM outcome_counts", "outcome_counts")
-Z2 = f"({config.WILSON_Z} * {config.WILSON_Z})"
+Z2 = f"({WILSON_Z} * {WILSON_Z})"
 oracle(
     "wilson_rate",
     f"""SELECT "group", reached_work, ROUND(p, 9) AS issue_rate, ROUND(greatest(0.0, centre - margin), 9) AS rate_low, ROUND(least(1.0, centre + margin), 9) AS rate_high, TRUE AS comparison_ready FROM (
-  SELECT *, (p + {Z2} / (2 * k)) / (1 + {Z2} / k) AS centre, {config.WILSON_Z} * sqrt(p * (1 - p) / k + {Z2} / (4 * k * k)) / (1 + {Z2} / k) AS margin FROM (
+  SELECT *, (p + {Z2} / (2 * k)) / (1 + {Z2} / k) AS centre, {WILSON_Z} * sqrt(p * (1 - p) / k + {Z2} / (4 * k * k)) / (1 + {Z2} / k) AS margin FROM (
     SELECT *, CAST(reached_work AS DOUBLE) AS k, issues / CAST(reached_work AS DOUBLE) AS p FROM outcome_counts))""",
     "outcome_counts",
 )
@@ -1070,7 +1097,7 @@ oracle(
             facet("district_authority", "implementing_district_authority"),
             facet("constituency", "constituency", "mp_name"),
             facet("year", "financial_year"),
-            *[f"SELECT 'flag', {q(f)}, NULL, COUNT(*) FILTER (list_contains(flags, {q(f)})) FROM scored WHERE {UNDER}" for f in config.FLAGS],
+            *[f"SELECT 'flag', {q(f)}, NULL, COUNT(*) FILTER (list_contains(flags, {q(f)})) FROM scored WHERE {UNDER}" for f in FLAGS],
         ]
     ),
     "scored",
