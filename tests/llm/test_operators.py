@@ -356,6 +356,22 @@ def test_crowded_region_is_scanned_in_runs(spark, monkeypatch):
     assert {r["component_id"] for r in got.collect()} == {0}
 
 
+def test_crowded_region_loses_no_copy(spark, monkeypatch):
+    """Copies that reach the level with their base only, in regions far beyond what is proposed."""
+    rng = np.random.default_rng(8)
+    rows = [(0, " ".join(f"w{j}" for j in range(150)))]
+    for k in range(1, 300):
+        text = [f"w{j}" for j in range(150)]
+        for place in rng.choice(np.arange(6, 144, 6), 2, replace=False):
+            text[place] = f"x{rng.integers(1 << 30)}"
+        rows.append((k, " ".join(text)))
+    for name, value in (("REGION", 16), ("NEAR", 1), ("HUBS", 1), ("BLOCK", 40), ("LINK_ROWS", 25)):
+        monkeypatch.setattr(forest, name, value, raising=False)
+    got = by_id(forest.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_groups(rows)
+    assert {r["component_id"] for r in got.values()} == {0}
+
+
 def test_groups_odd_rows(odd, empty):
     got = collections.defaultdict(set)
     for r in forest.groups(odd).collect():

@@ -2,14 +2,15 @@
 
 Every tree keeps the documents sorted by its own order of signature symbols. A document's candidates
 are the neighbours it shares a prefix with; where a region of the tree is crowded, more symbols of
-the order decide who is near, so the depth adapts to the region and the work per document does not
-grow with it. Candidates are confirmed on whole shingle sets.
+the order decide who is looked at first, so most copies are connected by a bounded number of pairs
+each. What is not connected by then is compared with all of its region. Candidates are confirmed on
+whole shingle sets.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ LEVEL = (85, 100)  # 100 * intersection >= 85 * union
 TREES = 12
 DEPTH = 3  # symbols every tree's region starts with: a pair at the level shares them with 0.61
 SYMBOLS = 256  # one byte each, compared to estimate the similarity
-NEAR, HUBS = 8, 4  # most similar neighbours, and most connected ones, proposed per document and tree
-REGION = 1024  # neighbours in the order that a document is compared with
+NEAR, HUBS = 8, 4  # most similar neighbours, and most connected ones, proposed first per document and tree
+REGION = 1024  # neighbours in the order that a document is first compared with
+BLOCK = 512  # rows of a region compared at once with as many others when what is left is looked at
+LINK_ROWS, LINK_BYTES = 2048, 1 << 24  # the same for rows with their whole sets
 ESTIMATE = 0.77  # 0.85 less 3.5 standard errors of 256 symbols
 
 _ODD = mix(np.arange(1, 1 + SYMBOLS + TREES * DEPTH, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
@@ -137,7 +140,8 @@ def _near(symbols: np.ndarray, fresh: int) -> Iterator[tuple[np.ndarray, np.ndar
 def candidates(classes: DataFrame) -> DataFrame:
     """``a, b, agreed, hub``: pairs of classes (``class, prefixes, symbols``, one row each) that are
     neighbours in some tree, each once. ``a`` proposed ``b``; a class proposes at most
-    ``(NEAR + HUBS)`` partners per tree.
+    ``(NEAR + HUBS)`` partners per tree. These are the pairs to begin with: ``remaining`` looks at
+    all others.
 
     Regions without company are dropped while they are 8-byte keys. The others are range-partitioned
     by region and order, so a large region is cut where its order says, and scanned in
@@ -200,6 +204,142 @@ def candidates(classes: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(rows: DataFrame, most: int, most_bytes: int | None = None) -> DataFrame:
+    """``rows`` (``region, class, component`` and others) dealt into cells, each of a block of left
+    rows and a block of right rows of one region, so that every two rows of a region that differ in
+    ``component`` meet in one cell. The rows of a region's largest component need not meet each
+    other: left are only those of the other components. Blocks hold about ``most`` rows, and about
+    ``most_bytes`` of ``shingles``.
+    """
+    weight = F.sum(F.length("shingles")) if most_bytes else F.lit(0)
+    share = lambda n, size: F.greatest(F.ceil(n / most), F.ceil(size / (most_bytes or 1)), F.lit(1)).cast("int")
+    of = rows.groupBy("region", "component").agg(F.count("*").alias("n"), weight.cast("bigint").alias("size"))
+    regions = of.groupBy("region").agg(
+        F.max_by("component", F.struct("n", "component")).alias("major"),
+        F.sum("n").alias("n"), F.sum("size").alias("size"), F.max("n").alias("in_major"),
+        F.max_by("size", F.struct("n", "component")).alias("major_size"), F.count("*").alias("kinds"),
+    )
+    mixed = regions.where("kinds > 1").select(
+        "region", "major",
+        share(F.col("n") - F.col("in_major"), F.col("size") - F.col("major_size")).alias("lefts"),
+        share(F.col("n"), F.col("size")).alias("rights"),
+    )
+    known = rows.join(mixed, "region").withColumn("minor", F.col("component") != F.col("major"))
+    block = lambda count: F.pmod(F.xxhash64("class"), F.col(count)).cast("int")
+    upto = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
+    cell = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    right = F.transform(upto("lefts"), lambda i: cell(i, block("rights"), False))
+    left = F.when(F.col("minor"), F.transform(upto("rights"), lambda j: cell(block("lefts"), j, True)))
+    dealt = known.withColumn("cell", F.explode(F.concat(right, F.coalesce(left, F.array().cast("array<struct<i:int,j:int,left:boolean>>")))))
+    others = [c for c in rows.columns if c not in ("region",)]
+    placed = dealt.select("region", "cell.i", "cell.j", "cell.left", "minor", *others)
+    return placed.repartition(partitions(rows.sparkSession), "region", "i", "j").sortWithinPartitions("region", "i", "j")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[dict]]]:
+    """Left and right rows of each cell of ``_dealt`` that has both."""
+    key, sides = None, ([], [])
+    for batch in batches:
+        for row in batch.to_pylist():
+            here = (row["region"], row["i"], row["j"])
+            if here != key:
+                if all(sides):
+                    yield sides
+                key, sides = here, ([], [])
+            sides[not row["left"]].append(row)
+    if all(sides):
+        yield sides
+
+
+def _close(left: list[dict], right: list[dict], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each left row the right rows of other components that agree with it in ``least`` symbols
+    and did not meet it in an earlier tree, and the symbols agreed. Two left rows of a region meet
+    twice, once on either side: only the first by class counts."""
+    tell = lambda rows, c: np.frombuffer(b"".join(r[c] for r in rows), np.uint8).reshape(len(rows), SYMBOLS)
+    a, b = tell(left, "symbols"), tell(right, "symbols")
+    place = {c: k for k, c in enumerate(sorted({r["component"] for r in (*left, *right)}))}
+    component = np.array([place[r["component"]] for r in right])
+    deep = np.array([r["prefixes"] for r in right], np.int64)
+    minor = np.array([r["minor"] for r in right])
+    names = np.array([*(r["class"] for r in right), b""], object)[:-1]
+    tree = left[0]["tree"]
+    for at in range(0, len(a), 32):
+        agreed = (a[at : at + 32, None, :] == b[None, :, :]).sum(axis=2, dtype=np.int16)
+        for k, some in enumerate(agreed, at):
+            row = left[k]
+            near = np.flatnonzero((some >= least) & (component != place[row["component"]]))
+            if len(near):
+                met = (deep[near, :tree] == np.array(row["prefixes"][:tree], np.int64)).any(axis=1)
+                near = near[~met & (~minor[near] | (names[near] > row["class"]))]
+            if len(near):
+                yield k, near, some[near]
+
+
+def remaining(classes: DataFrame, found: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``a, b``: links between classes of different components of ``found`` (``node, component``),
+    as many as connect what whole sets connect. Every two classes that share a region in some tree
+    are compared, however crowded it is; nothing is proposed, capped or cut.
+
+    Regions within one component are dropped first. In the others rows are compared by symbols in
+    cells of bounded size, and only the rows with a close partner in another component are dealt
+    again with their sets (``sets_of`` makes ``class, shingles`` of given classes). Sets are compared
+    where they meet, so the pairs themselves are never rows.
+    """
+    least = int(ESTIMATE * SYMBOLS)
+    tree = (
+        classes.select("class", F.posexplode("prefixes").alias("tree", "region"))
+        .join(found.withColumnRenamed("node", "class"), "class", "left")
+        .select("region", "tree", "class", F.coalesce("component", "class").alias("component"))
+    )
+    ends = tree.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    mixed = ends.where("x <> y").select("region")
+    columns = classes.select("class", "prefixes", "symbols")
+    rows = written(tree.join(mixed, "region", "left_semi").join(columns, "class"), "mixed-regions")
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right in _cells(batches):
+            marked = set()
+            for k, near, _ in _close(left, right, least):
+                marked.add(left[k]["class"])
+                marked.update(right[j]["class"] for j in near.tolist())
+            if marked:
+                region = pa.array([left[0]["region"]] * len(marked), pa.int64())
+                yield pa.RecordBatch.from_arrays([region, pa.array(sorted(marked), pa.binary())], ["region", "class"])
+
+    flagged = _dealt(rows, BLOCK).mapInArrow(flag, "region bigint, class binary").distinct()
+    flagged = written(flagged, "close-rows")
+    sets = written(sets_of(flagged.select("class").distinct()), "close-sets")
+    whole = written(rows.join(flagged, ["region", "class"]).join(sets, "class"), "close-regions")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right in _cells(batches):
+            parent: dict[bytes, bytes] = {}
+
+            def root(x: bytes, parent: dict[bytes, bytes] = parent) -> bytes:
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = x = parent.get(up, up)
+                return x
+
+            out = []
+            others = [np.frombuffer(r["shingles"], np.uint64) for r in right]
+            for k, near, agreed in _close(left, right, least):
+                mine = np.frombuffer(left[k]["shingles"], np.uint64)
+                for j in near[np.argsort(-agreed, kind="stable")].tolist():
+                    x, y = root(left[k]["component"]), root(right[j]["component"])
+                    if x != y and _linked(mine, others[j]):
+                        parent[x] = y
+                        out.append((left[k]["class"], right[j]["class"]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return _dealt(whole, LINK_ROWS, LINK_BYTES).mapInArrow(link, "a binary, b binary")
+
+
+def _linked(mine: np.ndarray, other: np.ndarray) -> bool:
+    common = len(np.intersect1d(mine, other, assume_unique=True))
+    return LEVEL[1] * common >= LEVEL[0] * (len(mine) + len(other) - common)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (``a, b``) whose whole sets (``class, shingles``) reach the level. The partner's
     set is joined to each pair; the proposer's own set comes once, ahead of its pairs. A proposer
@@ -218,8 +358,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if b is None:
                     mine = other
                     continue
-                common = len(np.intersect1d(mine, other, assume_unique=True))
-                if LEVEL[1] * common >= LEVEL[0] * (len(mine) + len(other) - common):
+                if _linked(mine, other):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
@@ -253,9 +392,10 @@ def groups(docs: DataFrame) -> DataFrame:
     marked. Null and empty texts, and texts without words, have no shingles, link with nothing and
     are kept. An empty table gives an empty one; only ``doc_id`` and ``text`` are read.
 
-    Pairs are confirmed in two rounds: first each class with its most similar and its most connected
-    partner, then all other proposals between classes not connected yet. A pair at the level is
-    proposed with a probability of 1 - 0.39**12 outside crowded regions.
+    Pairs are confirmed in three rounds: first each class with its most similar and its most connected
+    partner, then all other proposals between classes not connected yet, then all pairs of a region
+    that are not connected still (``remaining``). A pair at the level shares a region with a
+    probability of 1 - 0.39**12, crowded or not.
     """
     sketch = written(sketches(docs), "sketches")
     named = sketch.where("class is not null")
@@ -268,11 +408,14 @@ def groups(docs: DataFrame) -> DataFrame:
     classes = written(one, "classes")
     pairs = written(candidates(classes), "pairs")
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    # Null ids are a member like any other but cannot be joined by id; their texts come by class.
-    nodes = classes.where("doc_id is not null").select("class", "doc_id").join(ends, "class", "left_semi")
-    unnamed = classes.where("doc_id is null").select("class").join(ends, "class", "left_semi")
-    sets = _sets_of(docs, nodes)
-    sets = written(sets.unionByName(_sets_of_unnamed(docs, unnamed)), "sets")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        # Null ids are a member like any other but cannot be joined by id; their texts come by class.
+        nodes = classes.where("doc_id is not null").select("class", "doc_id").join(some, "class", "left_semi")
+        unnamed = classes.where("doc_id is null").select("class").join(some, "class", "left_semi")
+        return _sets_of(docs, nodes).unionByName(_sets_of_unnamed(docs, unnamed))
+
+    sets = written(sets_of(ends), "sets")
 
     either = pairs.select("a", "b", "agreed", "hub", F.col("a").alias("end")).union(
         pairs.select("a", "b", "agreed", "hub", F.col("b").alias("end"))
@@ -293,7 +436,11 @@ def groups(docs: DataFrame) -> DataFrame:
         .select("a", "b")
     )
     more = written(confirmed(written(rest, "other-pairs"), sets), "links")
-    joined = components(links.unionByName(more))
+    links = links.unionByName(more)
+    joined = written(components(links), "linked")
+    last = written(remaining(classes, joined, sets_of), "links")
+    if not last.isEmpty():
+        joined = components(links.unionByName(last))
     of_class = heads.join(joined.withColumnRenamed("node", "class"), "class", "left").select(
         "class", "head", F.coalesce("component", "class").alias("component")
     )
