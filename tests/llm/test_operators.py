@@ -372,6 +372,36 @@ def test_crowded_region_loses_no_copy(spark, monkeypatch):
     assert {r["component_id"] for r in got.values()} == {0}
 
 
+def brute_kept(rows, level):
+    """Smallest ids of the groups whose members share ``level`` percent with some other member."""
+    sets = {i: shingles(t) for i, t in rows}
+    of = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            common = len(sets[a] & sets[b])
+            if b < a and of[a] != of[b] and common and 100 * common >= level * (len(sets[a]) + len(sets[b]) - common):
+                low, high = sorted((of[a], of[b]))
+                of = {i: low if c == high else c for i, c in of.items()}
+    return {i for i, c in of.items() if i == c}
+
+
+def test_stage_removes_near_copies_at_four_fifths(spark, docs):
+    """Copies between 0.80 and 0.85 of one text are near for the stage."""
+    rng = np.random.default_rng(4)
+    copies = []
+    for k in range(200):
+        text = [f"w{j}" for j in range(150)]
+        for place in rng.choice(np.arange(6, 144, 6), 3 if k else 0, replace=False):
+            text[place] = f"x{rng.integers(1 << 30)}"
+        copies.append((10_000 + k, " ".join(text)))
+    rows = texts_of(docs) + copies
+    want = brute_kept(rows, 80)
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    out = stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), SF)
+    assert {r["doc_id"] for r in out.collect()} == want
+    assert not want & {i for i, _ in copies[1:]}
+
+
 def test_groups_odd_rows(odd, empty):
     got = collections.defaultdict(set)
     for r in forest.groups(odd).collect():

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,33 @@ from worksift.llm.components import components
 from worksift.plans.storage import written
 
 SHINGLE = 5
-LEVEL = (85, 100)  # 100 * intersection >= 85 * union
-TREES = 12
-DEPTH = 3  # symbols every tree's region starts with: a pair at the level shares them with 0.61
+DEPTH = 3  # symbols every tree's region starts with: a pair at 0.85 shares them with 0.61
 SYMBOLS = 256  # one byte each, compared to estimate the similarity
 NEAR, HUBS = 8, 4  # most similar neighbours, and most connected ones, proposed first per document and tree
 REGION = 1024  # neighbours in the order that a document is first compared with
 BLOCK = 512  # rows of a region compared at once with as many others when what is left is looked at
 LINK_ROWS, LINK_BYTES = 2048, 1 << 24  # the same for rows with their whole sets
-ESTIMATE = 0.77  # 0.85 less 3.5 standard errors of 256 symbols
+
+
+class Level(NamedTuple):
+    """What counts as near: a link has ``share[1] * intersection >= share[0] * union``; pairs are
+    looked at whose symbols estimate ``estimate`` at least and which share a region in one of
+    ``trees`` trees."""
+
+    share: tuple[int, int]
+    estimate: float
+    trees: int
+
+    @property
+    def least(self) -> int:
+        return int(self.estimate * SYMBOLS)
+
+
+AT_85 = Level((85, 100), 0.77, 12)  # 0.85 less 3.5 standard errors of 256 symbols
+# 0.80 less 4.8 standard errors: missed with 1.7e-6. A pair at 0.80 shares a region with 0.51, so 16
+# trees miss 1.0e-5 of such pairs.
+AT_80 = Level((80, 100), 0.68, 16)
+TREES = 16  # at most
 
 _ODD = mix(np.arange(1, 1 + SYMBOLS + TREES * DEPTH, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _FLIP = mix(np.arange(100_001, 100_001 + SYMBOLS + TREES * DEPTH, dtype=np.uint64)).astype(np.uint32)
@@ -64,16 +83,16 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), counts
 
 
-def signatures(sets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte symbols (rows of ``SYMBOLS``) and tree prefixes (rows of ``TREES``) of non-empty sets."""
+def signatures(sets: np.ndarray, counts: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte symbols (rows of ``SYMBOLS``) and tree prefixes (rows of ``trees``) of non-empty sets."""
     starts = np.cumsum(counts) - counts
     low = (sets >> np.uint64(16)).astype(np.uint32)
-    least = np.empty((len(_ODD), len(counts)), np.uint32)
-    for j in range(len(_ODD)):
+    least = np.empty((SYMBOLS + trees * DEPTH, len(counts)), np.uint32)
+    for j in range(len(least)):
         least[j] = np.minimum.reduceat((low ^ _FLIP[j]) * _ODD[j], starts)
     symbols = ((least[:SYMBOLS] * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).T
-    deep = least[SYMBOLS:].astype(np.uint64).reshape(TREES, DEPTH, -1)
-    prefix = np.repeat(np.arange(TREES, dtype=np.uint64)[:, None], len(counts), axis=1)
+    deep = least[SYMBOLS:].astype(np.uint64).reshape(trees, DEPTH, -1)
+    prefix = np.repeat(np.arange(trees, dtype=np.uint64)[:, None], len(counts), axis=1)
     for d in range(DEPTH):
         prefix = mix(prefix * np.uint64(31) + deep[:, d])
     return np.ascontiguousarray(symbols), prefix.T.astype(np.int64)
@@ -83,7 +102,7 @@ def _class_of(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, trees: int) -> DataFrame:
     """``doc_id, n_shingles, class, prefixes, symbols`` per row; equal sets have equal classes, and
     an empty set has none."""
 
@@ -94,7 +113,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             ends = np.cumsum(counts)
             classes, prefixes, symbols = ([None] * len(counts) for _ in range(3))
             if len(some):
-                bytes_of, tree_of = signatures(sets, counts[some])
+                bytes_of, tree_of = signatures(sets, counts[some], trees)
                 for at, row in enumerate(some.tolist()):
                     classes[row] = _class_of(sets[ends[row] - counts[row] : ends[row]])
                     prefixes[row] = tree_of[at].tolist()
@@ -114,10 +133,9 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", whole_text()).mapInArrow(run, kinds)
 
 
-def _near(symbols: np.ndarray, fresh: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _near(symbols: np.ndarray, fresh: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Proposals among rows that are neighbours in a tree: (row, partner, symbols agreed). Rows
     before ``fresh`` were compared with each other already."""
-    least = int(ESTIMATE * SYMBOLS)
     agreed = np.zeros((len(symbols), len(symbols)), np.int16)
     for at in range(0, len(symbols), 32):
         same = symbols[at : at + 32, None, :] == symbols[None, :, :]
@@ -137,7 +155,7 @@ def _near(symbols: np.ndarray, fresh: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield rows[good], partners[good], agreed[rows[good], partners[good]]
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame, level: Level) -> DataFrame:
     """``a, b, agreed, hub``: pairs of classes (``class, prefixes, symbols``, one row each) that are
     neighbours in some tree, each once. ``a`` proposed ``b``; a class proposes at most
     ``(NEAR + HUBS)`` partners per tree. These are the pairs to begin with: ``remaining`` looks at
@@ -152,7 +170,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     tree = tree.join(shared, "region", "left_semi")
     rows = tree.join(classes.select("class", "symbols"), "class").select(
         "region",
-        F.expr(f"substring(concat(symbols, symbols), tree * {SYMBOLS // TREES} + 1, 32)").alias("order"),
+        F.expr(f"substring(concat(symbols, symbols), tree * {SYMBOLS // level.trees} + 1, 32)").alias("order"),
         "class",
         "symbols",
     )
@@ -161,7 +179,7 @@ def candidates(classes: DataFrame) -> DataFrame:
 
     def propose(symbols: list[bytes], names: list[bytes], fresh: int) -> pa.RecordBatch | None:
         matrix = np.frombuffer(b"".join(symbols), np.uint8).reshape(len(symbols), SYMBOLS)
-        found = list(_near(matrix, fresh))
+        found = list(_near(matrix, fresh, level.least))
         name = np.array([*names, b""], object)[:-1]
         a = np.concatenate([name[rows] for rows, _, _ in found])
         b = np.concatenate([name[partners] for _, partners, _ in found])
@@ -275,7 +293,7 @@ def _close(left: list[dict], right: list[dict], least: int) -> Iterator[tuple[in
                 yield k, near, some[near]
 
 
-def remaining(classes: DataFrame, found: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def remaining(classes: DataFrame, found: DataFrame, sets_of: Callable[[DataFrame], DataFrame], level: Level) -> DataFrame:
     """``a, b``: links between classes of different components of ``found`` (``node, component``),
     as many as connect what whole sets connect. Every two classes that share a region in some tree
     are compared, however crowded it is; nothing is proposed, capped or cut.
@@ -285,7 +303,6 @@ def remaining(classes: DataFrame, found: DataFrame, sets_of: Callable[[DataFrame
     again with their sets (``sets_of`` makes ``class, shingles`` of given classes). Sets are compared
     where they meet, so the pairs themselves are never rows.
     """
-    least = int(ESTIMATE * SYMBOLS)
     tree = (
         classes.select("class", F.posexplode("prefixes").alias("tree", "region"))
         .join(found.withColumnRenamed("node", "class"), "class", "left")
@@ -299,7 +316,7 @@ def remaining(classes: DataFrame, found: DataFrame, sets_of: Callable[[DataFrame
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for left, right in _cells(batches):
             marked = set()
-            for k, near, _ in _close(left, right, least):
+            for k, near, _ in _close(left, right, level.least):
                 marked.add(left[k]["class"])
                 marked.update(right[j]["class"] for j in near.tolist())
             if marked:
@@ -322,11 +339,11 @@ def remaining(classes: DataFrame, found: DataFrame, sets_of: Callable[[DataFrame
 
             out = []
             others = [np.frombuffer(r["shingles"], np.uint64) for r in right]
-            for k, near, agreed in _close(left, right, least):
+            for k, near, agreed in _close(left, right, level.least):
                 mine = np.frombuffer(left[k]["shingles"], np.uint64)
                 for j in near[np.argsort(-agreed, kind="stable")].tolist():
                     x, y = root(left[k]["component"]), root(right[j]["component"])
-                    if x != y and _linked(mine, others[j]):
+                    if x != y and _linked(mine, others[j], level):
                         parent[x] = y
                         out.append((left[k]["class"], right[j]["class"]))
             if out:
@@ -335,12 +352,12 @@ def remaining(classes: DataFrame, found: DataFrame, sets_of: Callable[[DataFrame
     return _dealt(whole, LINK_ROWS, LINK_BYTES).mapInArrow(link, "a binary, b binary")
 
 
-def _linked(mine: np.ndarray, other: np.ndarray) -> bool:
+def _linked(mine: np.ndarray, other: np.ndarray, level: Level) -> bool:
     common = len(np.intersect1d(mine, other, assume_unique=True))
-    return LEVEL[1] * common >= LEVEL[0] * (len(mine) + len(other) - common)
+    return level.share[1] * common >= level.share[0] * (len(mine) + len(other) - common)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, level: Level) -> DataFrame:
     """The pairs (``a, b``) whose whole sets (``class, shingles``) reach the level. The partner's
     set is joined to each pair; the proposer's own set comes once, ahead of its pairs. A proposer
     has few pairs, so no task gathers a hub's."""
@@ -358,7 +375,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if b is None:
                     mine = other
                     continue
-                if _linked(mine, other):
+                if _linked(mine, other, level):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
@@ -383,7 +400,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return made.where("shingles is not null").dropDuplicates(["class"])
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, level: Level = AT_85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
     Rows of equal sets are one class; classes whose sets reach the level are linked, and
@@ -394,10 +411,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
     Pairs are confirmed in three rounds: first each class with its most similar and its most connected
     partner, then all other proposals between classes not connected yet, then all pairs of a region
-    that are not connected still (``remaining``). A pair at the level shares a region with a
-    probability of 1 - 0.39**12, crowded or not.
+    that are not connected still (``remaining``). A pair at 0.85 shares a region with a
+    probability of 1 - 0.39**12, crowded or not; at 0.80, with ``AT_80``, of 1 - 0.49**16.
     """
-    sketch = written(sketches(docs), "sketches")
+    sketch = written(sketches(docs, level.trees), "sketches")
     named = sketch.where("class is not null")
     heads = named.groupBy("class").agg(F.min("doc_id").alias("head"))
     one = (
@@ -406,7 +423,7 @@ def groups(docs: DataFrame) -> DataFrame:
         .dropDuplicates(["class"])
     )
     classes = written(one, "classes")
-    pairs = written(candidates(classes), "pairs")
+    pairs = written(candidates(classes, level), "pairs")
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
 
     def sets_of(some: DataFrame) -> DataFrame:
@@ -425,7 +442,7 @@ def groups(docs: DataFrame) -> DataFrame:
         F.max_by(F.struct("a", "b"), F.struct("hub", "agreed", "a", "b")).alias("hub"),
     )
     first = best.select(F.explode(F.array("close", "hub")).alias("p")).select("p.*").distinct()
-    links = written(confirmed(written(first, "first-pairs"), sets), "links")
+    links = written(confirmed(written(first, "first-pairs"), sets, level), "links")
     found = written(components(links), "linked")
     side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     rest = (
@@ -435,10 +452,10 @@ def groups(docs: DataFrame) -> DataFrame:
         .where(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)))
         .select("a", "b")
     )
-    more = written(confirmed(written(rest, "other-pairs"), sets), "links")
+    more = written(confirmed(written(rest, "other-pairs"), sets, level), "links")
     links = links.unionByName(more)
     joined = written(components(links), "linked")
-    last = written(remaining(classes, joined, sets_of), "links")
+    last = written(remaining(classes, joined, sets_of, level), "links")
     if not last.isEmpty():
         joined = components(links.unionByName(last))
     of_class = heads.join(joined.withColumnRenamed("node", "class"), "class", "left").select(
@@ -468,10 +485,10 @@ def _sets_of_unnamed(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "class binary, shingles binary").join(classes, "class", "left_semi").dropDuplicates(["class"])
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, level: Level = AT_85) -> DataFrame:
     """The rows of ``docs`` whose id is its group's smallest, with their columns. Rows that repeat
     id and text stay once; texts that differ under one id are separate documents, as in ``groups``."""
-    marks = groups(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    marks = groups(docs, level).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     repeated = written(
         docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"), "repeated-ids"
