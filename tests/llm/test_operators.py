@@ -596,6 +596,29 @@ def test_classifier_odd_rows(odd, empty, labels, docs):
     assert quality.accepted(odd, labels.where("false")).columns == odd.columns
 
 
+def test_long_texts_do_not_shrink_the_sample(spark, docs, labels, monkeypatch):
+    """One labelled text over the budget and three that would fill it, first in the order."""
+    rows = spark.createDataFrame(quality.sample(docs, labels).collect())
+    first = [r["doc_id"] for r in rows.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(4).collect()]
+    sizes = [r["size"] for r in rows.where(~F.col("doc_id").isin(first)).collect()]
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", sum(sizes))
+    monkeypatch.setattr(quality, "LONG_BYTES", max(sizes), raising=False)
+    length = dict(zip(first, [sum(sizes) + 1, *[max(max(sizes) + 1, sum(sizes) // 3)] * 3], strict=True))
+    texts = docs.select("doc_id", "text")
+    long = spark.createDataFrame([(i, "word " * (n // 5 + 1)) for i, n in length.items()], "doc_id long, text string")
+    others = texts.where(~F.col("doc_id").isin(first))
+    got, want = quality.fit(others.unionByName(long), labels), quality.fit(others, labels)
+    assert all((x == y).all() for x, y in zip(got.layers, want.layers, strict=True))
+
+
+def test_a_label_that_no_sample_holds_is_an_error(docs, labels, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 10)
+    with pytest.raises(ValueError, match="both labels"):
+        quality.fit(docs, labels)
+    with pytest.warns(UserWarning, match="one label"):
+        assert quality.fit(docs, labels.where("quality = 1")) is None
+
+
 def test_learning_never_sees_held_out_labels(docs, labels):
     flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = quality.fit(docs, labels), quality.fit(docs, flipped)

@@ -3,6 +3,7 @@ probabilities calibrated by one temperature."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from worksift.llm.common import data, mix, slices, whole_text, words
 
 SAMPLE_ROWS = 6_000  # labelled rows a model is fitted on, at most
 SAMPLE_BYTES = 24_000_000  # and the bytes of their texts
+LONG_BYTES = SAMPLE_BYTES // 100  # longer texts are taken after the others
 WORD_BITS, SHAPE_BITS = 14, 10
 DIMENSIONS = 64
 HIDDEN = 32
@@ -167,28 +169,39 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, quality`` of the labelled rows to learn from: in the order of a hash of the id, the
-    first ``SAMPLE_ROWS`` and of those as many as hold ``SAMPLE_BYTES``. Ids labelled both ways are
-    left out."""
+    first ``SAMPLE_ROWS`` of at most ``SAMPLE_BYTES`` each. Ids labelled both ways are left out."""
+    return usable(docs, labels).where(F.col("size") <= SAMPLE_BYTES).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(SAMPLE_ROWS)
+
+
+def usable(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, quality, size`` of the rows that may be learned from."""
     known = (
         labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
         .where("quality = other").select("doc_id", "quality")
     )
     sizes = docs.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size")).where("size > 0")
-    order = F.xxhash64(F.lit(11), "doc_id")
-    return known.join(sizes, "doc_id").orderBy(order, "doc_id").limit(SAMPLE_ROWS)
+    return known.join(sizes, "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model from a bounded sample of labelled rows that are not held out; null without rows of
-    both labels. Only word buckets of the sample reach the driver, two numbers a word."""
+    """A model from a bounded sample of labelled rows that are not held out; null, with a warning if
+    there are labels, without rows of both. A sample that lacks a label which the table has is an
+    error. Only word buckets of the sample reach the driver, two numbers a word.
+
+    A text that does not fit into what is left of ``SAMPLE_BYTES`` is passed over, and texts over
+    ``LONG_BYTES`` come last, so that one of them does not take the place of a hundred others."""
     chosen, size = [], 0
-    for row in sample(docs, labels).collect():
-        size += row["size"]
-        if size > SAMPLE_BYTES:
-            break
-        chosen.append((row["doc_id"], row["quality"]))
+    for row in sorted(sample(docs, labels).collect(), key=lambda r: r["size"] > LONG_BYTES):
+        if size + row["size"] <= SAMPLE_BYTES:
+            size += row["size"]
+            chosen.append((row["doc_id"], row["quality"]))
     if len({q for _, q in chosen}) < 2:
+        kinds = usable(docs, labels).select("quality").distinct().count()
+        if kinds == 2:
+            raise ValueError(f"no sample of both labels within {SAMPLE_ROWS} rows and {SAMPLE_BYTES} bytes")
+        if kinds:
+            warnings.warn("only one label to learn from: every score is 0.5", stacklevel=2)
         return None
     spark = docs.sparkSession
     # At most SAMPLE_ROWS rows of two numbers.
