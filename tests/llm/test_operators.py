@@ -5,6 +5,7 @@ import collections
 import hashlib
 import importlib
 import io
+import math
 import re
 import zlib
 
@@ -402,6 +403,15 @@ def test_stage_removes_near_copies_at_four_fifths(spark, docs):
     assert not want & {i for i, _ in copies[1:]}
 
 
+@pytest.mark.parametrize("level", [forest.AT_85, forest.AT_80])
+def test_estimate_misses_less_than_the_trees(level):
+    share = level.share[0] / level.share[1]
+    same = share + (1 - share) / 256  # different sets agree in a byte by chance
+    n = forest.SYMBOLS
+    missed = sum(math.comb(n, k) * same**k * (1 - same) ** (n - k) for k in range(level.least))
+    assert missed < (1 - share**forest.DEPTH) ** level.trees
+
+
 def test_groups_odd_rows(odd, empty):
     got = collections.defaultdict(set)
     for r in forest.groups(odd).collect():
