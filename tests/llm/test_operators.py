@@ -576,6 +576,18 @@ def test_contamination_equals_brute_force(spark, docs, odd, empty):
     assert winnow.decontaminate(odd, spark.createDataFrame(short, "item_id long, text string")).columns == odd.columns
 
 
+def test_items_without_an_id_hit(spark):
+    docs = spark.createDataFrame([(1, "some words of a passage here"), (2, "other words")], "doc_id long, text string")
+    items = [(None, "a passage here"), (7, "of a")]
+    names = ["doc_id", "n_hit", "n_items", "items_sha256", "contaminated"]
+    listed = hashlib.sha256(b"7").hexdigest()
+    for tests, want in ((items, (1, 4, 1, listed, True)), (items[:1], (1, 3, 0, hashlib.sha256(b"").hexdigest(), True))):
+        frame = spark.createDataFrame(tests, "item_id long, text string")
+        got = {r["doc_id"]: tuple(r[n] for n in names) for r in winnow.contamination(docs, frame).collect()}
+        assert got[1] == want and not got[2][4]
+        assert [r["doc_id"] for r in winnow.decontaminate(docs, frame).collect()] == [2]
+
+
 # 10 ------------------------------------------------------------------------------------------
 
 

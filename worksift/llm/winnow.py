@@ -70,9 +70,8 @@ def _windows(rows: DataFrame, length: int, *keep: str) -> DataFrame:
 
 def item_windows(items: DataFrame) -> DataFrame:
     """``length, window, item_id`` of every window of every item, each once; an item shorter than a
-    window is one window, an item without words none. Null item ids are left out: there is nothing
-    to report."""
-    w = items.where("item_id is not null").select("item_id", words(F.col("text")).alias("words"))
+    window is one window, an item without words none. Items without an id have windows too."""
+    w = items.select("item_id", words(F.col("text")).alias("words"))
     n = F.size("words")
     length = F.least(n, F.lit(WINDOW))
     places = F.when(n > 0, F.sequence(F.lit(0), n - length))
@@ -87,7 +86,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every row of ``docs``, and
     ``text_key``, a hash of its text.
 
-    A document word is hit if it lies inside any occurrence of an item's window. Null and empty
+    A document word is hit if it lies inside any occurrence of an item's window. An item without an
+    id hits like any other, but is not listed among the items nor counted in ``n_items``. Null and empty
     texts have no words and no hits; an empty item table hits nothing. Repeated rows are judged
     alike, and rows that share an id but not a text each on their own. Only ``doc_id, text`` and
     ``item_id, text`` are read.
