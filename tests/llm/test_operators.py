@@ -284,6 +284,23 @@ def test_url_rules_and_redirect_classes(spark):
     assert urls.judge(pages.where("page_id < 0"), table).count() == 0
 
 
+def test_every_link_of_a_page_counts(spark):
+    link = lambda to: f'<link rel="canonical" {to}>'
+    go = lambda to: f'<meta http-equiv="refresh" content="0; url={to}">'
+    rows = [
+        (1, "http://a.net/1", link('href="http://c.net/1"') + link('href="http://bad.net/1"')),
+        (2, "http://a.net/2", go("http://c.net/2") + "<p>" + go("http://bad.net/2")),
+        (3, "http://a.net/3", f"<!--\n{link('href="http://c.net/{{x}}"')} -->" + link('href="http://bad.net/3"')),
+        (4, "http://a.net/4", link("") + link('data-href="http://c.net/4" href="http://bad.net/4"')),
+        (5, "http://a.net/5", f"<!-- {link('href="http://bad.net/5"')} -->"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, [("bad.net", "/", "block")]).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+    nodes = {r["b"] for r in urls.link_edges(pages).collect()}
+    assert nodes == {"c.net/1", "bad.net/1", "c.net/2", "bad.net/2", "bad.net/3", "bad.net/4"}
+
+
 def test_components_of_chains_and_stars(spark):
     rng = np.random.default_rng(5)
     chain = [(i, i + 1) for i in range(300)]

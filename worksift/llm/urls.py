@@ -69,15 +69,18 @@ def _absolute(target: Column, url: Column) -> Column:
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """``a, b``: a page's node and that of its canonical link or immediate redirect (``<link
-    rel=canonical>``, ``<meta http-equiv=refresh>``), at most one of each kind per page."""
-    html = F.coalesce("html", F.lit(""))
-    canonical = F.regexp_extract(html, r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    refresh = F.regexp_extract(html, r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    targets = F.array(
-        F.regexp_extract(canonical, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1),
-        F.regexp_extract(refresh, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1),
+    rel=canonical>``, ``<meta http-equiv=refresh>``), for all such tags outside comments."""
+    html = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<!--.*?-->", "")
+
+    def targets(tag: str, attribute: str) -> Column:
+        tags = F.regexp_extract_all(html, F.lit(rf"""(?i)<{tag}\b[^>]*>"""), F.lit(0))
+        return F.transform(tags, lambda t: F.regexp_extract(t, rf"""(?i){attribute}\s*=\s*["']?([^"'\s>]+)""", 1))
+
+    both = F.concat(
+        targets(r"""link\b[^>]*\brel\s*=\s*["']?canonical""", r"(?<![\w-])href"),
+        targets(r"""meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh""", r"\burl"),
     )
-    found = pages.select("url", F.explode(targets).alias("target")).where("target <> ''")
+    found = pages.select("url", F.explode(both).alias("target")).where("target <> ''")
     edges = found.select(
         node_of(F.col("url")).alias("a"), node_of(_absolute(F.trim("target"), F.col("url"))).alias("b")
     )
