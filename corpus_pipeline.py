@@ -41,12 +41,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns but the text, with its ids, their number and the decoded text's digest."""
+    """The documents' columns but the text, with its ids, the original bytes each stands for, their number
+    and the decoded text's digest."""
     small_batches(spark)
-    encoded = pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), spans=False)
+    encoded = pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
     return encoded.select(
         *[c for c in docs.columns if c != "text"],
         "ids",
+        "starts",
+        "ends",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

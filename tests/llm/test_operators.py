@@ -686,6 +686,14 @@ def test_pipeline_stages(spark, docs):
     assert 100 < len(made) < docs.count()
 
 
+def test_last_stage_returns_original_spans(spark, docs):
+    out = by_id(dict(corpus_pipeline.STAGES)["sentencepiece"](spark, docs, SF))
+    for i, text in texts_of(docs):
+        raw, row = text.encode(), out[i]
+        assert len(row["starts"]) == len(row["ends"]) == len(row["ids"]) == row["n_tokens"]
+        assert b"".join(raw[a:b] for a, b in zip(row["starts"], row["ends"], strict=True)) == raw
+
+
 def test_stages_on_odd_tables(spark, docs, odd):
     small = odd.select("doc_id", "text").selectExpr("doc_id", "text", "cast(null as string) lang", "'s' source", "cast(null as long) n_chars")
     for rows in (small, small.where("false")):
