@@ -686,6 +686,25 @@ def test_pipeline_stages(spark, docs):
     assert 100 < len(made) < docs.count()
 
 
+def test_stages_equal_brute_force(spark, docs):
+    """Each stage that needs no model, on its own input, against plain Python."""
+    stages = dict(corpus_pipeline.STAGES)
+    rows = texts_of(docs)
+    ids = [i for i, _ in rows]
+    of = lambda name, frame=docs: {r["doc_id"]: r["text"] for r in stages[name](spark, frame, SF).collect()}
+    kept = brute_kept(rows, 80)
+    assert of("near_dedup") == {i: t for i, t in rows if i in kept}
+    cut = [k.decode("utf-8", "ignore") for k, _ in brute_repeats([t for _, t in rows])]
+    assert of("repeat_removal") == dict(zip(ids, cut, strict=True))
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert of("decontamination") == {i: t for i, t in rows if not brute_hits(t, items)[4]}
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = by_id(stages["sentencepiece"](spark, docs, SF))
+    assert {i: list(r["ids"]) for i, r in got.items()} == {i: library.encode(t) for i, t in rows}
+
+
 def test_last_stage_returns_original_spans(spark, docs):
     out = by_id(dict(corpus_pipeline.STAGES)["sentencepiece"](spark, docs, SF))
     for i, text in texts_of(docs):
