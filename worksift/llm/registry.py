@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worksift.llm import forest, idfiles, pieces, quality, repeats, ring, rules, sql, urls, warc, winnow
+from worksift.llm import forest, idfiles, merkle, pieces, quality, repeats, ring, rules, sql, urls, variants, warc, winnow
 from worksift.llm.common import small_batches, table
 
 # Host, path, verdict.
@@ -83,6 +83,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 64)
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +106,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ring_shards,
         op9_decontamination,
         op10_quality_classifier,
+        op11_merkle_manifest,
+        op12_spelling_variants,
     )
 }
 LLM_ORACLES: dict[str, str] = {
