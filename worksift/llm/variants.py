@@ -1,13 +1,15 @@
 """Spelling variants: words one edit apart, found by walking a trie that is a table.
 
-The trie of all words is an edge table (root, node, symbol), its nodes named by their prefix. States
-(word, position, node, edits) are joined with the edges level by level: a state without an edit
-takes one where the trie branches off its word, a state with one edit follows its word's remaining
-symbols or ends. States that reach the end of a word name a neighbour.
+The trie of all words is an edge table (root, node, symbol, ahead), its nodes named by their prefix;
+``ahead`` are the symbols that follow. States (word, position, node, edits) are joined with the edges
+level by level: a state without an edit takes one where the trie branches off its word, a state with
+one edit follows its word's remaining symbols or ends. States that reach the end of a word name a
+neighbour.
 
-Two things keep the frontier small. A pair one edit apart agrees either in the first half of the
+Three things keep the frontier small. A pair one edit apart agrees either in the first half of the
 shorter word or in its last half, so every word is walked forwards and backwards, and edits are only taken in
-the second half, where the trie is sparse. And words are cut into pieces of ``PIECE`` symbols: a
+the second half, where the trie is sparse. An edit is only taken where the ``AHEAD`` symbols behind
+it agree too, and the state goes on behind these. And words are cut into pieces of ``PIECE`` symbols: a
 piece's trie hangs below a root named by all that comes before the piece, and what follows the piece must agree as
 a whole, so the walk takes ``PIECE`` levels however long words are.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +31,7 @@ from worksift.llm.common import slices, whole_text
 from worksift.plans.storage import run_dir, written
 
 PIECE = 16
+AHEAD = 3
 LEAST = 7  # code points of a word
 OFTEN = 2  # occurrences of a word
 TIMES = 10  # a form occurs so many times as often
@@ -141,20 +145,50 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def edges(known: DataFrame) -> DataFrame:
-    """The edge table ``depth, root, node, symbol``, stored by depth."""
+    """The edge table ``depth, root, node, symbol, ahead``, stored by depth."""
     spark = known.sparkSession
     places = F.sequence(F.col("first"), F.col("size") - 1)
     made = (
         known.where("size > first")
         .select("root", "piece", F.explode(places).alias("depth"))
-        .select("depth", "root", F.expr("left(piece, depth)").alias("node"), F.expr("substring(piece, depth + 1, 1)").alias("symbol"))
+        .select(
+            "depth", "root", F.expr("left(piece, depth)").alias("node"), F.expr("substring(piece, depth + 1, 1)").alias("symbol"),
+            F.expr(f"substring(piece, depth + 2, {AHEAD})").alias("ahead"),
+        )
         .distinct()
     )
-    path = f"{run_dir(spark)}/edges-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    path = f"{run_dir(spark)}/edges-{uuid.uuid4().hex}"
     made.write.partitionBy("depth").parquet(path)
     return spark.read.schema(made.schema).parquet(path)
 
 
+def edited(known: DataFrame, branch: DataFrame, depth: int) -> DataFrame:
+    """States after an edit at ``depth``: ``id, root, node, rest, tail``, the node ``AHEAD`` symbols further.
+
+    A symbol takes the place of the word's, or is put before it. Of two words that differ by a replaced
+    symbol the lower meets the higher, of two lengths the shorter the longer, so a pair is found once."""
+    rest = F.expr(f"substring(piece, {depth + 1})")
+    ways = [F.struct(F.lit(True).alias("puts"), F.expr(f"substring(piece, {depth + 1}, {PIECE - 1 - depth})").alias("rest"), F.col("tail_before").alias("tail"))]
+    ways.append(F.when(F.col("size") > depth, F.struct(F.lit(False).alias("puts"), F.expr(f"substring(piece, {depth + 2})").alias("rest"), F.col("tail").alias("tail"))))
+    waiting = (
+        known.where((F.col("edit") <= depth) & (F.col("size") >= depth))
+        .select("id", "root", F.expr(f"left(piece, {depth})").alias("node"), F.left(rest, F.lit(1)).alias("own"), F.explode(F.array_compact(F.array(*ways))).alias("way"))
+        .select("id", "root", "node", "own", "way.puts", "way.rest", "way.tail", F.expr(f"left(way.rest, {AHEAD})").alias("ahead"))
+    )
+    other = F.when(F.col("puts"), F.col("symbol") != F.col("own")).otherwise(F.col("symbol") > F.col("own"))
+    return waiting.join(branch, ["root", "node", "ahead"]).where(other).select(
+        "id", "root", F.concat("node", "symbol", "ahead").alias("node"), F.expr(f"substring(rest, {AHEAD + 1})").alias("rest"), "tail"
+    )
+
+
+def followed(states: DataFrame, branch: DataFrame) -> DataFrame:
+    """States with an edit one symbol further, where the trie has it."""
+    steps = branch.select("root", "node", F.col("symbol").alias("next"))
+    return states.withColumn("next", F.expr("left(rest, 1)")).join(steps, ["root", "node", "next"], "left_semi").select(
+        "id", "root", F.concat("node", "next").alias("node"), F.expr("substring(rest, 2)").alias("rest"), "tail"
+    )
+
+
 def neighbours(words: DataFrame) -> DataFrame:
     """``a, b``: ids of words (``id, word``) one inserted, deleted or replaced code point apart, both ways."""
     known = written(entries(words), "pieces")
@@ -162,36 +196,30 @@ def neighbours(words: DataFrame) -> DataFrame:
     if known.isEmpty():
         return known.select(F.col("id").alias("a"), F.col("id").alias("b"))
     levels = known.agg(F.max("size")).first()[0]
-    states, ended = None, []
-    head = F.expr("left(rest, 1)")
-    for depth in range(min(levels + 1, PIECE)):
-        fresh = known.where((F.col("edit") <= depth) & (F.col("size") >= depth)).select(
-            "id", "root", F.expr(f"left(piece, {depth})").alias("node"), F.expr(f"substring(piece, {depth + 1})").alias("rest"),
-            "tail", "tail_before", F.lit(0).alias("edits"),
-        )
-        if states is not None:
-            fresh = fresh.unionByName(states.where("rest <> ''").withColumns({"tail_before": F.lit(None).cast("binary"), "edits": F.lit(1)}))
+    ended, entering, states = [], {}, None
+    for depth in range(PIECE):
         branch = trie.where(F.col("depth") == depth).drop("depth")
-        takes = F.when(F.col("edits") == 1, F.col("symbol") == head).otherwise(F.col("symbol") != head)
-        met = fresh.alias("s").join(
-            branch.alias("e"), (F.col("s.root") == F.col("e.root")) & (F.col("s.node") == F.col("e.node")) & takes
-        )
-        # The symbol follows the word, or takes its next one's place, or is put before it. Of two words
-        # that differ by a replaced symbol the lower meets the higher, of two lengths the shorter the longer.
-        follow = F.struct(F.expr("substring(rest, 2)").alias("rest"), F.col("tail").alias("tail"))
-        insert = F.struct(F.expr(f"left(rest, {PIECE - 1 - depth})").alias("rest"), F.col("tail_before").alias("tail"))
-        ways = F.when((F.col("edits") == 1), F.array(follow)).when(
-            (F.col("rest") != "") & (F.col("symbol") > head), F.array(follow, insert)
-        ).otherwise(F.array(insert))
-        moved = met.select("id", F.col("s.root").alias("root"), F.concat("s.node", "symbol").alias("node"), F.explode(ways).alias("way"))
-        states = written(moved.select("id", "root", "node", "way.rest", "way.tail"), "states")
-        ended.append(states.where("rest = ''").drop("rest"))
+        here = [*([states] if states is not None else []), *entering.pop(depth, [])]
+        states = None
+        if here:
+            both = here[0] if len(here) == 1 else here[0].unionByName(here[1])
+            states = written(followed(both, branch), "states")
+            ended.append(states.where("rest = ''").drop("rest"))
+            states = states.where("rest <> ''")
+        if depth <= levels:
+            fresh = written(edited(known, branch, depth), "states")
+            ended.append(fresh.where("rest = ''").drop("rest"))
+            entering[depth + 1 + AHEAD] = [fresh.where("rest <> ''")]
+        elif not entering:
+            break
     found = ended[0]
     for part in ended[1:]:
         found = found.unionByName(part)
     ends = known.select(F.col("id").alias("b"), "root", F.col("piece").alias("node"), "tail")
-    pairs = found.join(ends, ["root", "node", "tail"]).select(F.col("id").alias("a"), "b")
-    return pairs.union(pairs.select("b", "a")).distinct()
+    pairs = found.join(ends, ["root", "node", "tail"]).select(
+        F.explode(F.array(F.struct(F.col("id").alias("a"), "b"), F.struct(F.col("b").alias("a"), F.col("id").alias("b")))).alias("p")
+    )
+    return pairs.select("p.a", "p.b").distinct()
 
 
 def variants(docs: DataFrame) -> DataFrame:
