@@ -25,8 +25,7 @@ from worksift.plans.ranking import global_rank
 from worksift.plans.storage import written
 
 ARITY = 8
-HEIGHT = 3  # edges from a full block's root to its leaves
-LEAVES = ARITY**HEIGHT
+HEIGHT = 3  # edges from a full block's root to its leaves: 512 of them
 _HEX = 64  # characters of a digest
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -150,9 +149,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int]
         yield key, rows
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """One round: rows (``tree, place, total, leaf, id, changed``, ``place`` from 0) to blocks."""
-    block = F.floor(F.col("place") / LEAVES).cast("bigint").alias("block")
+def _blocks(rows: DataFrame, full: int) -> DataFrame:
+    """One round: rows (``tree, place, total, leaf, id, changed``, ``place`` from 0) to blocks of height
+    ``full``. ``total`` counts the tree's leaves of this round; a tree of one block is as high as it needs."""
+    block = F.floor(F.col("place") / ARITY**full).cast("bigint").alias("block")
     dealt = (
         rows.select("tree", block, "place", "total", "leaf", "id", "changed")
         .repartition(partitions(rows.sparkSession), "tree", "block")
@@ -162,8 +162,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (tree, block), group in _groups(batches):
             total = group[0][3]
-            height = HEIGHT if total > LEAVES else height_of(total)
-            made = Block.build([r[4] for r in group], height)
+            made = Block.build([r[4] for r in group], min(full, height_of(total)))
             values = [tree, block, total, made.nodes.tobytes(), made.nodes[0].tobytes(), [r[5] for r in group], [r[6] for r in group]]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays(
@@ -174,50 +173,60 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _BLOCK)
 
 
-_SINGLE = f"total <= {LEAVES}"  # the tree's only block of its round: its root is the tree's
-_PARTIAL = f"total > {LEAVES}"
+class Rounds(NamedTuple):
+    """Trees as rounds of blocks of height ``full``, the leaves' blocks first."""
 
+    blocks: list[DataFrame]
+    full: int
 
-def _rounds(rows: DataFrame, label: str) -> list[DataFrame]:
+    def last(self, blocks: DataFrame) -> DataFrame:
+        """The only blocks of their trees in a round: their roots are the trees'."""
+        return blocks.where(F.col("total") <= ARITY**self.full)
+
+    def others(self, blocks: DataFrame) -> DataFrame:
+        return blocks.where(F.col("total") > ARITY**self.full)
+
+
+def _rounds(rows: DataFrame, full: int, label: str) -> Rounds:
     """The blocks of all trees, round by round, until every tree has one."""
-    found = [written(_blocks(rows), label)]
-    while not (more := found[-1].where(_PARTIAL)).isEmpty():
+    made = Rounds([written(_blocks(rows, full), label)], full)
+    while not (more := made.others(made.blocks[-1])).isEmpty():
         above = more.select(
-            "tree", F.col("block").alias("place"), F.ceil(F.col("total") / LEAVES).cast("bigint").alias("total"),
+            "tree", F.col("block").alias("place"), F.ceil(F.col("total") / ARITY**full).cast("bigint").alias("total"),
             F.col("root").alias("leaf"), F.col("block").alias("id"), F.lit(None).cast("binary").alias("changed"),
         )
-        found.append(written(_blocks(above), label))
-    return found
+        made.blocks.append(written(_blocks(above, full), label))
+    return made
 
 
-def _roots(rounds: list[DataFrame]) -> DataFrame:
-    parts = [blocks.where(_SINGLE).select("tree", "root") for blocks in rounds]
+def _roots(rounds: Rounds) -> DataFrame:
+    parts = [rounds.last(blocks).select("tree", "root") for blocks in rounds.blocks]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _below(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
+def _below(rounds: Rounds, above: DataFrame) -> DataFrame:
     """The blocks of the first round with the path over their roots and the roots that it ends in.
     ``above``: ``tree, path, subroot, top`` of whole trees."""
     upper = None
-    for k, blocks in reversed([*enumerate(rounds)]):
-        known = blocks.where(_SINGLE).join(above, "tree")
+    for k, blocks in reversed([*enumerate(rounds.blocks)]):
+        known = rounds.last(blocks).join(above, "tree")
         if upper is not None:
-            known = known.unionByName(blocks.where(_PARTIAL).join(upper, ["tree", "block"]))
+            known = known.unionByName(rounds.others(blocks).join(upper, ["tree", "block"]))
         if k == 0:
             return known
-        upper = written(_paths(known), "paths")
+        upper = written(_paths(known, rounds.full), "paths")
 
 
-def _paths(known: DataFrame) -> DataFrame:
+def _paths(known: DataFrame, full: int) -> DataFrame:
     """``tree, block, path, subroot, top`` of the leaves of blocks, which are blocks of the round before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in batch.to_pylist()):
             above = [(p["place"], p["others"]) for p in row["path"]]
-            block = Block(row["nodes"], len(row["ids"]), HEIGHT if row["total"] > LEAVES else height_of(row["total"]))
+            block = Block(row["nodes"], len(row["ids"]), min(full, height_of(row["total"])))
             paths = [[{"place": p, "others": o} for p, o in [*path, *above]] for path in block.paths()]
             n = len(paths)
             kind = pa.list_(pa.struct([("place", pa.int32()), ("others", pa.string())]))
@@ -236,12 +245,12 @@ class Manifest(NamedTuple):
     """The stored trees: ``rounds`` of blocks of the languages' trees, ``above`` each language's place in
     the tree over them (``tree, path, subroot, top``), ``langs`` their numbers (``lang, tree, n``)."""
 
-    rounds: list[DataFrame]
+    rounds: Rounds
     above: DataFrame
     langs: DataFrame
 
 
-def manifest(docs: DataFrame, tampered: Column | None = None) -> Manifest:
+def manifest(docs: DataFrame, tampered: Column | None = None, height: int = HEIGHT) -> Manifest:
     """Builds and stores the trees of ``docs``. Rows of a language are ordered by ``doc_id`` (null
     first), rows that share it by their leaf; rows that are equal in whole are leaves each. A null
     language is one of its own, before the others. Null values and empty texts have leaves of their
@@ -259,7 +268,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> Manifest:
     placed = ranked.alias("r").join(langs.alias("l"), same).select(
         "tree", (F.col("rank") - F.col("first")).alias("place"), F.col("n").alias("total"), "leaf", F.col("doc_id").alias("id"), "changed"
     )
-    rounds = _rounds(placed, "blocks")
+    rounds = _rounds(placed, height, "blocks")
     roots = written(_roots(rounds), "subroots")
     count = roots.agg(F.count("*").alias("total"))  # a single row
     over = _rounds(
@@ -267,10 +276,11 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> Manifest:
             F.lit(0).cast("bigint").alias("tree"), (F.col("tree") - 1).alias("place"), "total", F.col("root").alias("leaf"),
             F.col("tree").alias("id"), F.lit(None).cast("binary").alias("changed"),
         ),
+        height,
         "top-blocks",
     )
     top = _roots(over).select(F.lit(0).cast("bigint").alias("tree"), F.array().cast(_PATH).alias("path"), F.col("root").alias("subroot"), F.col("root").alias("top"))
-    paths = _paths(_below(over, top)).drop("tree", "subroot").withColumnRenamed("block", "tree")
+    paths = _paths(_below(over, top), height).drop("tree", "subroot").withColumnRenamed("block", "tree")
     above = written(paths.join(roots.withColumnRenamed("root", "subroot"), "tree"), "above")
     return Manifest(rounds, above, langs)
 
@@ -279,14 +289,14 @@ def verified(made: Manifest) -> DataFrame:
     """``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified`` of every row: the siblings are
     fetched from the stored blocks, and the root is folded from the changed leaf, or else the original,
     and these. An empty run of siblings adds nothing to the proof."""
-    known = _below(made.rounds, made.above)
+    known, full = _below(made.rounds, made.above), made.rounds.full
     names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in batch.to_pylist()):
             above = [(p["place"], p["others"]) for p in row["path"]]
             n, top = len(row["ids"]), row["top"].hex()
-            block = Block(row["nodes"], n, HEIGHT if row["total"] > LEAVES else height_of(row["total"]))
+            block = Block(row["nodes"], n, min(full, height_of(row["total"])))
             out = []
             for place, (path, changed) in enumerate(zip(block.paths(), row["changed"], strict=True)):
                 path += above
@@ -309,7 +319,7 @@ def third(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("bigint").cast("string").cast("binary")) % 3 == 0, F.lit(False))
 
 
-def audit(docs: DataFrame) -> DataFrame:
+def audit(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     """Every row's proof against the manifest of ``docs``, with the texts of a third of the ids tampered
     with after it was made."""
-    return verified(manifest(docs, third()))
+    return verified(manifest(docs, third(), height))

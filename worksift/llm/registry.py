@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worksift.llm import forest, idfiles, merkle, pieces, quality, repeats, ring, rules, sql, urls, variants, warc, winnow
+from worksift.llm import forest, idfiles, merkle, pieces, quality, repeats, ring, rules, sql, tiles, urls, variants, warc, winnow
 from worksift.llm.common import small_batches, table
 
 # Host, path, verdict.
@@ -93,6 +93,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return tiles.join(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,6 +113,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_classifier,
         op11_merkle_manifest,
         op12_spelling_variants,
+        op13_jaccard_tiles,
     )
 }
 LLM_ORACLES: dict[str, str] = {
@@ -116,4 +122,7 @@ LLM_ORACLES: dict[str, str] = {
     "op5_minhash_forest": sql.OP5,
     "op6_quality_rules": sql.OP6,
     "op9_decontamination": sql.OP9,
+    "op11_merkle_manifest": sql.OP11,
+    "op12_spelling_variants": sql.OP12,
+    "op13_jaccard_tiles": sql.OP13,
 }
