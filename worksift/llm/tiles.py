@@ -176,30 +176,38 @@ def near_sets(a: np.ndarray, b: np.ndarray) -> bool:
     return LEVEL[1] * common >= LEVEL[0] * (len(a) + len(b) - common)
 
 
-def members(nodes: DataFrame) -> DataFrame:
-    """``tile, node, band, own``: sets that agree with another in a part of a band. Tiles with the same
-    sets are the same tile, so copies that agree in all parts but one meet once."""
+def members(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``tile, node, band, own``: sets that agree with another in a part of a band, and each tile's
+    ``hub``, its own set that agrees with others most often. Tiles with the same sets are the same
+    tile, so copies that agree in all parts but one meet once."""
     cells = nodes.select("node", F.explode("keys").alias("k")).select(F.col("k.key").alias("tile"), "node", "k.band", "k.own")
     company = cells.groupBy("tile").agg(F.count("*").alias("n"), F.max("own").alias("some_own")).where("n > 1 and some_own").select("tile")
     met = written(cells.join(written(company, "company"), "tile", "left_semi"), "met")
+    often = written(met.where("own").groupBy("node").agg(F.count("*").alias("often")), "often")
     prints = met.groupBy("tile").agg(
         F.count("*").alias("n"), F.min("band").alias("band"),
         F.bit_xor(F.xxhash64("node", "own")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "own", "node")).alias("y"),
     )
     kept = written(prints.groupBy("band", "n", "x", "y").agg(F.min("tile").alias("tile")).select("tile"), "tiles")
-    return met.join(kept, "tile", "left_semi")
+    rows = written(met.join(kept, "tile", "left_semi"), "members")
+    first = F.max_by("node", F.struct("often", -F.col("node")))
+    return rows, written(rows.where("own").join(often, "node").groupBy("tile").agg(first.alias("hub")), "hubs")
 
 
-def first_links(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b``: each set with two of its tiles' first own sets, the one it meets most often and the first
-    of all, where they are near. These connect most copies by few comparisons; ``remaining`` looks at all others."""
-    hubs = written(met.where("own").groupBy("tile").agg(F.min("node").alias("hub")), "hubs")
+def hub_pairs(met: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``a, b``: each set with two hubs of its tiles, the one it meets most often and the smallest. They
+    connect most copies by few comparisons."""
     often = met.join(hubs, "tile").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
     two = often.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("x"), F.min("hub").alias("y"))
-    pairs = written(two.select(F.col("node").alias("a"), F.explode(F.array("x", "y")).alias("b")).distinct(), "first-pairs")
+    return two.select(F.col("node").alias("a"), F.explode(F.array("x", "y")).alias("b")).distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (``a, b``) whose whole sets (``node, shingles``) are near. A set comes once, ahead of the
+    partners that it is paired with as ``a``."""
     partners = pairs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "b", "shingles")
     own = pairs.select("a").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("bigint").alias("b"), "shingles")
-    grouped = own.unionByName(partners).repartition(partitions(met.sparkSession), "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    grouped = own.unionByName(partners).repartition(partitions(pairs.sparkSession), "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.zeros(0, np.uint64)
@@ -259,10 +267,11 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list
         yield sides
 
 
-def bounded(left: list[dict], right: list[dict]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each left row the right rows of other components that sizes and bitmaps leave: sets of s and t
-    shingles whose bitmaps differ in d bits share (s + t - d) / 2 at most. Of two rows that both
-    stand on the left the first by node looks at the other; rows that are not a band's own meet in their own."""
+def bounded(left: list[dict], right: list[dict]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each left row the right rows of other components that sizes and bitmaps leave, and the most
+    shingles they can share: sets of s and t shingles whose bitmaps differ in d bits share (s + t - d) / 2
+    at most. Of two rows that both stand on the left the first by node looks at the other; rows that
+    are not a band's own meet in their own."""
     bits = bits_of(left[0]["band"])
     of = lambda rows: np.stack([narrowed(np.frombuffer(r["bitmap"], np.uint64), bits) for r in rows])
     column = lambda rows, c: np.array([r[c] for r in rows])
@@ -278,23 +287,41 @@ def bounded(left: list[dict], right: list[dict]) -> Iterator[tuple[int, np.ndarr
             near = (LEVEL[1] * most >= LEVEL[0] * (total - most)) & (component != row["component"]) & (own | row["own"])
             near &= ~minor | (nodes > row["node"])
             if near.any():
-                yield k, np.flatnonzero(near)
+                found = np.flatnonzero(near)
+                yield k, found, most[found] / (total[found] - most[found])
 
 
-def remaining(met: DataFrame, nodes: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b``: links between sets of different components of ``found`` (``node, component``), as many
-    as connect what the exact join connects. All pairs of a tile are compared by bitmaps, pairs of
-    sets are intersected where they meet, and only links that connect leave a task."""
+def mixed_rows(met: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of tiles whose sets are of several components of ``found`` (``node, component``), with
+    size, bitmap and component."""
     columns = nodes.select("node", "n_shingles", "bitmap")
     tagged = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ends = tagged.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"))
     mixed = written(ends.where("x <> y").select("tile"), "mixed-tiles")
-    rows = written(tagged.join(mixed, "tile", "left_semi").join(columns, "node"), "mixed-rows")
+    return written(tagged.join(mixed, "tile", "left_semi").join(columns, "node"), "mixed-rows")
+
+
+def best_pairs(rows: DataFrame) -> DataFrame:
+    """``a, b``: each set of a mixed tile with the one of another component that it can share most with."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right in _cells(batches):
+            out = {(left[k]["node"], right[near[np.argmax(share)]]["node"]) for k, near, share in bounded(left, right)}
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in sorted(out)], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt(rows, TILE).mapInArrow(best, "a bigint, b bigint").distinct()
+
+
+def remaining(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: links between sets of different components of mixed tiles (``mixed_rows``), as many
+    as connect what the exact join connects. All pairs of a tile are compared by bitmaps, pairs of
+    sets are intersected where they meet, and only links that connect leave a task."""
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for left, right in _cells(batches):
             marked = set()
-            for k, near in bounded(left, right):
+            for k, near, _ in bounded(left, right):
                 marked.add(left[k]["node"])
                 marked.update(right[j]["node"] for j in near.tolist())
             if marked:
@@ -315,9 +342,9 @@ def remaining(met: DataFrame, nodes: DataFrame, found: DataFrame, sets: DataFram
 
             out = []
             others = [np.frombuffer(r["shingles"], np.uint64) for r in right]
-            for k, near in bounded(left, right):
+            for k, near, share in bounded(left, right):
                 mine = np.frombuffer(left[k]["shingles"], np.uint64)
-                for j in near.tolist():
+                for j in near[np.argsort(-share, kind="stable")].tolist():
                     x, y = root(left[k]["component"]), root(right[j]["component"])
                     if x != y and near_sets(mine, others[j]):
                         parent[x] = y
@@ -342,13 +369,18 @@ def join(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("head"), F.min("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap"), F.first("keys").alias("keys")
     )
     nodes = written(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    met = written(members(nodes), "members")
+    met, hubs = members(nodes)
     some = met.select("node").distinct()
     places = nodes.select("node", "hash_a", "hash_b", F.col("head").alias("doc_id"))
     sets = written(sets_of(docs, places.join(some, "node", "left_semi")), "sets")
-    links = written(first_links(met, sets), "links")
+    # Links in three rounds: to hubs, to the likeliest set of another component, and all that is left.
+    first = written(hub_pairs(met, hubs), "pairs")
+    links = written(confirmed(first, sets), "links")
+    joined = written(components(links), "linked")
+    second = written(best_pairs(mixed_rows(met, nodes, joined)).join(first, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(written(confirmed(second, sets), "links"))
     joined = written(components(links), "linked")
-    more = written(remaining(met, nodes, joined, sets), "links")
+    more = written(remaining(mixed_rows(met, nodes, joined), sets), "links")
     if not more.isEmpty():
         joined = components(links.unionByName(more))
     of_node = nodes.join(joined, "node", "left").select("hash_a", "hash_b", "head", F.coalesce("component", "node").alias("component"))
