@@ -78,7 +78,8 @@ def test_similar_pairs_equal_brute_force(described, monkeypatch, masks, hot, sco
     monkeypatch.setattr(textdup, "_BITS", 4)
     monkeypatch.setattr(textdup, "_MASKS", masks)
     monkeypatch.setattr(textdup, "_HOT_RUNS", hot)
-    monkeypatch.setattr(textdup, "_COLUMNS", 37)
+    monkeypatch.setattr(textdup, "_HEAD", 12)
+    monkeypatch.setattr(textdup, "_BUCKETS", 20)
     numbered = textdup.distinct_texts(described)
     features = textdup.text_features(numbered)
     kind = "constituency" if scope == "constituency" else "authority"

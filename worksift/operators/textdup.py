@@ -6,17 +6,18 @@ activity_name, implementing_agency, completion_status, sanctioned_amount_inr, sa
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from worksift import config
 from worksift.functions.money import exact_sum
 from worksift.functions.text import canonical_text, content_tokens
-from worksift.plans.ranking import global_rank
+from worksift.plans.ranking import global_rank, rank_in_group
 from worksift.plans.storage import written
 
 SCOPES = {"constituency": "constituency", "authority": "implementing_district_authority"}
@@ -64,12 +65,22 @@ def _usual(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return counted.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(value))
 
 
-def text_group_summary(texts: DataFrame, kind: str) -> DataFrame:
-    """What a reviewer sees of each group of one scope kind. Member works stay rows (``texts``)."""
-    keys = ["scope", "digest"]
+# Name of each list of a group and the column behind it.
+_NAMES = {"agencies": "implementing_agency", "constituencies": "constituency"}
+LIST_LENGTH = 10_000  # names in one row
+
+
+def _scoped(texts: DataFrame, kind: str) -> DataFrame:
     column = SCOPES[kind]
     rows = texts.where(F.length(column) > 0) if kind == "authority" else texts
-    rows = rows.withColumn("scope", F.col(column))
+    return rows.withColumn("scope", F.col(column))
+
+
+def text_group_summary(texts: DataFrame, kind: str) -> DataFrame:
+    """What a reviewer sees of each group of one scope kind, with how many places and agencies it has;
+    ``text_group_names`` names them. Member works stay rows (``texts``)."""
+    keys = ["scope", "digest"]
+    rows = _scoped(texts, kind)
     status = [
         F.when(F.count_if(F.col("completion_status") == s) > 0, F.struct(F.lit(s), F.count_if(F.col("completion_status") == s)))
         for s in sorted(config.COMPLETION_STATUSES)
@@ -83,31 +94,36 @@ def text_group_summary(texts: DataFrame, kind: str) -> DataFrame:
         F.max("sanction_date").alias("sanction_date_last"),
         F.map_from_entries(F.array_compact(F.array(*status))).alias("statuses"),
     )
-    # Distinct places and agencies per group: collected after they are made distinct.
-    lists = [
-        rows.where(F.length(source) > 0)
-        .select(*keys, source)
-        .distinct()
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(source)).alias(name))
-        for source, name in (("constituency", "constituencies"), ("implementing_agency", "agencies"))
-    ]
+    names = _distinct_names(rows).groupBy(*keys).agg(*[F.count_if(F.col("list") == n).alias(f"{n}_count") for n in _NAMES])
     out = figures.join(_usual(rows, keys, "work_description"), keys, "left")
-    out = out.join(_usual(rows, keys, "activity_name"), keys, "left")
-    for part in lists:
-        out = out.join(part, keys, "left")
+    out = out.join(_usual(rows, keys, "activity_name"), keys, "left").join(names, keys, "left")
     return out.select(
         F.lit(kind).alias("scope_kind"),
         "scope",
         F.substring("digest", 1, 16).alias("fingerprint"),
         F.col("work_description").alias("text"),
         F.col("activity_name").alias("activity"),
-        F.coalesce("constituencies", F.array().cast("array<string>")).alias("constituencies"),
-        F.coalesce("agencies", F.array().cast("array<string>")).alias("agencies"),
+        *[F.coalesce(f"{n}_count", F.lit(0)).alias(f"{n}_count") for n in _NAMES],
         *[c for c in figures.columns if c not in keys],
     )
 
 
+def _distinct_names(rows: DataFrame) -> DataFrame:
+    """``scope, digest, list, name``: each place and agency of a group once."""
+    both = F.array(*[F.struct(F.lit(n).alias("list"), F.col(c).alias("name")) for n, c in _NAMES.items()])
+    return rows.select("scope", "digest", F.explode(both).alias("_n")).select("scope", "digest", "_n.*").where(F.length("name") > 0).distinct()
+
+
+def text_group_names(texts: DataFrame, kind: str, length: int = LIST_LENGTH) -> DataFrame:
+    """``scope_kind, scope, fingerprint, list, part, names``: the constituencies and agencies of each
+    group in order, as lists of at most ``length`` numbered by ``part``, so no group is one row."""
+    keys = ["scope", "digest", "list"]
+    placed = rank_in_group(_distinct_names(_scoped(texts, kind)), keys, [F.col("name")], "_place")
+    part = F.floor((F.col("_place") - 1) / length).cast("int").alias("part")
+    lists = placed.groupBy(*keys, part).agg(F.sort_array(F.collect_list("name")).alias("names"))
+    return lists.select(F.lit(kind).alias("scope_kind"), "scope", F.substring("digest", 1, 16).alias("fingerprint"), "list", "part", "names")
+
+
 def _batches(texts: DataFrame, kind: str, finder: str, keep: Column) -> DataFrame:
     groups = text_groups(texts).where((F.col("scope_kind") == kind) & keep)
     column = SCOPES[kind]
@@ -217,21 +233,62 @@ def _token_sets(numbered: DataFrame, common: Sequence[str]) -> DataFrame:
     return rows.join(numbers, "token").groupBy("t").agg(F.sort_array(F.collect_list("k")).alias("k"))
 
 
+def _rounded_up(values: np.ndarray) -> np.ndarray:
+    """Two-byte floats that are no smaller."""
+    near = values.astype(np.float16)
+    return np.where(near < values, np.nextafter(near, np.float16(np.inf)), near)
+
+
+def piece_summary(pieces: int) -> Callable[[Column, Column], Column]:
+    """A short summary of a vector, 4 bytes per slot it uses: the weights of the ``_HEAD`` most frequent
+    of all ``pieces``, and the lengths of the rest of the vector in ``_BUCKETS`` parts that share its pieces
+    out by number. Slot by slot, products of two summaries add up to no less than the vectors' product
+    (Cauchy-Schwarz in every part)."""
+    head, buckets = _HEAD, _BUCKETS
+    rare = max(0, pieces - head)
+
+    @F.pandas_udf("binary")
+    def summary(g: pd.Series, w: pd.Series) -> pd.Series:
+        def one(ids, weights):
+            part = head + ids * 2_654_435_761 % (1 << 32) % buckets
+            slot = np.where(ids > rare, ids - rare - 1, part)
+            total = np.bincount(slot, np.square(weights), minlength=head + buckets)
+            used = np.flatnonzero(total)
+            return used.astype("<u2").tobytes() + _rounded_up(np.sqrt(total[used])).astype("<f2").tobytes()
+
+        return pd.Series([one(np.asarray(i, np.int64), np.asarray(v)) for i, v in zip(g, w)], dtype=object)
+
+    return summary
+
+
+@F.pandas_udf(BinaryType())
+def word_bits(k: pd.Series) -> pd.Series:
+    """A parity bitmap of a word set: two sets differ in at least as many words as their bitmaps in bits."""
+
+    def one(ids):
+        odd = np.bincount(np.asarray(ids, np.int64) * 2_654_435_761 % (1 << 32) >> 22, minlength=1 << 10) & 1
+        return np.packbits(odd.astype(np.uint8)).tobytes()
+
+    return k.map(one)
+
+
 def text_features(numbered: DataFrame, common: Sequence[str] = config.COMMON_TOKENS) -> DataFrame:
-    """``t, g, w, k``: weighted pieces and content words of every distinct text, written once."""
-    _, raw = char_tfidf(numbered)
+    """``t, g, w, k``: weighted pieces and content words of every distinct text, and short summaries of
+    both (``pieces``, ``words``), written once."""
+    vocabulary, raw = char_tfidf(numbered)
     vectors, tokens = _vectors(raw), _token_sets(numbered, common)
     empty = F.array().cast("array<bigint>")
-    return written(
-        vectors.join(tokens, "t", "left").withColumn("k", F.coalesce("k", empty)), "features"
-    )
+    both = vectors.join(tokens, "t", "left").withColumn("k", F.coalesce("k", empty))
+    summary = piece_summary(vocabulary.count())
+    return written(both.withColumns({"pieces": summary("g", "w"), "words": word_bits("k")}), "features")
 
 
+_HEAD = 2_048  # pieces whose weights a summary holds one by one
+_BUCKETS = 2_048  # parts of the others
 _HALF = 0.5 * 10**-config.SCORE_DECIMALS  # scores are rounded before they meet a threshold
 _BITS = 64  # texts behind one bit mask
 _MASKS = 8  # masks per run of texts; a task compares two runs
 _HOT_RUNS = 256  # postings joined together before a feature is split
-_COLUMNS = 8_192  # pieces multiplied at a time
 
 
 def _runs(scoped: DataFrame) -> DataFrame:
@@ -325,33 +382,112 @@ def _candidate_runs(runs: DataFrame, prefixes: DataFrame) -> DataFrame:
     return met.groupBy("scope", "run_a", "run_b").agg(*[F.bit_or(m).alias(m) for m in sides])
 
 
-def _entries(ids: list, values: list, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column position and value of the entries that fall on ``columns``."""
-    row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-    every, value = np.concatenate(ids), np.concatenate(values)
-    at = np.minimum(np.searchsorted(columns, every), len(columns) - 1)
-    hit = columns[at] == every
-    return row[hit], at[hit], value[hit]
-
-
-def _products(ids_a: list, values_a: list, ids_b: list, values_b: list) -> np.ndarray:
-    """Dot products of two lists of sparse rows, some columns at a time."""
-    total = np.zeros((len(ids_a), len(ids_b)))
-    if not len(ids_a) or not len(ids_b):
-        return total
-    columns = np.intersect1d(np.concatenate(ids_a), np.concatenate(ids_b))
-    if not len(columns):
-        return total
-    sides = [(_entries(i, v, columns), len(i)) for i, v in ((ids_a, values_a), (ids_b, values_b))]
-    for start in range(0, len(columns), _COLUMNS):
-        dense = []
-        for (row, at, value), rows in sides:
-            part = (at >= start) & (at < start + _COLUMNS)
-            block = np.zeros((rows, _COLUMNS))
-            block[row[part], at[part] - start] = value[part]
-            dense.append(block)
-        total += dense[0] @ dense[1].T
-    return total
+def _wanted(candidates: DataFrame, masks: Callable[[str], Column]) -> DataFrame:
+    """The runs of each pair of runs, one row per side, with the masks of the texts that matter."""
+    parts = [
+        candidates.select("scope", "run_a", "run_b", F.lit(number).alias("side"), F.col(f"run_{s}").alias("run"), masks(s).alias("_masks"))
+        for number, s in enumerate("ab")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def _sides(wanted: DataFrame, runs: DataFrame, columns: DataFrame) -> DataFrame:
+    """The texts of ``wanted`` with their place in the run and ``columns`` (``t`` and others)."""
+    chosen = F.expr("shiftright(_masks[mask], bit) & 1") == 1
+    return (
+        wanted.join(runs, ["scope", "run"])
+        .where(chosen)
+        .join(columns, "t")
+        .select("scope", "run_a", "run_b", "side", "t", (F.col("mask") * _BITS + F.col("bit")).alias("place"), *[c for c in columns.columns if c != "t"])
+    )
+
+
+def _per_run_pair(rows: DataFrame, tasks: int, fn, schema: str) -> DataFrame:
+    keys = ["scope", "run_a", "run_b"]
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    default = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Tasks are few and heavy on small inputs: a partition for each keeps every core busy.
+    parts = max(default, min(tasks, 8 * cores))
+    return rows.repartition(parts, *keys).groupBy(*keys).applyInPandas(fn, schema)
+
+
+def _dense(summaries: Sequence[bytes], slots: int) -> np.ndarray:
+    out = np.zeros((len(summaries), slots), np.float32)
+    for row, raw in enumerate(summaries):
+        used = len(raw) // 4
+        out[row, np.frombuffer(raw, "<u2", used)] = np.frombuffer(raw, "<f2", used, 2 * used)
+    return out
+
+
+def bounded_pairs(runs: DataFrame, candidates: DataFrame, features: DataFrame, character_min: float, use_tokens: bool) -> DataFrame:
+    """The pairs of texts that summaries leave, one row per pair of runs: how many were ``proposed`` and
+    ``kept``, the kept ones as a bit matrix over places in the two runs, and masks of their texts.
+
+    A summary is a fraction of its vector, so most pairs are ruled out before any vector is read. What
+    is left out cannot reach a threshold: the cosine is at most the summaries' product, and two word
+    sets share at most half of what remains of their sizes' sum after the bits they differ in.
+    """
+    slots, bits, masks = _HEAD + _BUCKETS, _BITS, _MASKS
+    # The product is a sum of rounded-up values in single precision: 1e-4 covers its rounding.
+    least = character_min - _HALF - 1e-4
+    overlap = config.TOKEN_JACCARD_MIN - _HALF - 1e-9
+    columns = ["pieces", *(["words", F.size("k").alias("words_n")] if use_tokens else [])]
+    rows = _sides(_wanted(candidates, lambda s: F.array(*_mask_columns(f"_{s}_"))), runs, features.select("t", *columns))
+
+    def mask_list(used: np.ndarray) -> list[int]:
+        values = [sum(1 << int(b) for b in np.flatnonzero(used[m * bits : (m + 1) * bits])) for m in range(masks)]
+        return [v - (1 << 64) if v >> 63 else v for v in values]
+
+    def bound(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        both = a["t"].to_numpy()[:, None] < b["t"].to_numpy()[None, :]
+        keep = _dense(list(a["pieces"]), slots) @ _dense(list(b["pieces"]), slots).T >= least
+        if use_tokens:
+            maps = [np.frombuffer(b"".join(x["words"]), np.uint64).reshape(len(x), -1) for x in (a, b)]
+            total = a["words_n"].to_numpy()[:, None] + b["words_n"].to_numpy()[None, :]
+            shared = np.empty(total.shape, np.int64)
+            for k, own in enumerate(maps[0]):
+                shared[k] = (total[k] - np.bitwise_count(own ^ maps[1]).sum(axis=1)) // 2
+            keep |= (shared >= config.TOKEN_SHARED_MIN) & (shared >= overlap * (total - shared))
+        keep &= both
+        matrix = np.zeros((bits * masks, bits * masks), bool)
+        matrix[np.ix_(a["place"].to_numpy(), b["place"].to_numpy())] = keep
+        first = rows.iloc[0]
+        return pd.DataFrame(
+            {
+                "scope": [first["scope"]], "run_a": [first["run_a"]], "run_b": [first["run_b"]],
+                "proposed": [int(both.sum())], "kept": [int(keep.sum())],
+                "masks_a": [mask_list(matrix.any(axis=1))], "masks_b": [mask_list(matrix.any(axis=0))],
+                "matrix": [np.packbits(matrix).tobytes()],
+            }
+        )
+
+    schema = "scope string, run_a bigint, run_b bigint, proposed bigint, kept bigint, masks_a array<bigint>, masks_b array<bigint>, matrix binary"
+    return written(_per_run_pair(rows, candidates.count(), bound, schema), "bounded")
+
+
+class _Rows:
+    """Sparse rows over the columns of one side, multiplied with single rows of the other."""
+
+    def __init__(self, ids: Sequence[np.ndarray], values: Sequence[np.ndarray], columns: np.ndarray):
+        self.columns = columns
+        every = np.concatenate([*ids, np.zeros(0, np.int64)])
+        at = np.searchsorted(columns, every)
+        # The last column is no one's: pieces that the other side lacks fall there.
+        known = columns[np.minimum(at, len(columns) - 1)] == every if len(columns) else np.zeros(len(every), bool)
+        ends = np.cumsum([len(i) for i in ids])[:-1]
+        self.at = np.split(np.where(known, at, len(columns)), ends)
+        self.values = values
+
+    def products(self, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """``x`` (dense over the columns and a last 0) with some of the rows."""
+        sizes = np.array([len(self.at[r]) for r in rows])
+        some = rows[sizes > 0]
+        out = np.zeros(len(rows))
+        if len(some):
+            terms = x[np.concatenate([self.at[r] for r in some])] * np.concatenate([self.values[r] for r in some])
+            out[sizes > 0] = np.add.reduceat(terms, np.cumsum(sizes[sizes > 0]) - sizes[sizes > 0])
+        return out
 
 
 _PAIR_SCHEMA = "scope string, a bigint, b bigint, cosine double, jaccard double, by_character boolean, by_token boolean"
@@ -361,57 +497,57 @@ def similar_pairs(scoped: DataFrame, features: DataFrame, character_min: float,
     """Every pair of texts of a scope that clears the character threshold or, with
     ``use_tokens``, the word-overlap threshold. ``scoped`` has ``scope, t``; ``a`` sorts first.
 
-    Prefix filtering proposes texts; each task receives two runs of at most 512 texts, whatever
-    the size of the scope, and scores them exactly with matrix products.
+    Prefix filtering proposes texts, summaries rule out most pairs of these, and each task then
+    receives what is left of two runs of at most 512 texts, whatever the size of the scope, and scores
+    exactly the pairs that are left.
     """
     runs = _runs(scoped)
     candidates = written(_candidate_runs(runs, _prefixes(features, character_min, use_tokens)), "candidates")
-    wanted = None
-    for number, s in enumerate("ab"):
-        side = candidates.select(
-            "scope", "run_a", "run_b", F.lit(number).alias("side"), F.col(f"run_{s}").alias("run"), F.array(*_mask_columns(f"_{s}_")).alias("_masks")
-        )
-        wanted = side if wanted is None else wanted.unionByName(side)
-    chosen = F.expr("shiftright(_masks[mask], bit) & 1") == 1
-    texts = (
-        wanted.join(runs, ["scope", "run"])
-        .where(chosen)
-        .join(features, "t")
-        .select("scope", "run_a", "run_b", "side", "t", "g", "w", "k")
-    )
+    bounded = bounded_pairs(runs, candidates, features, character_min, use_tokens).where("kept > 0")
+    texts = _sides(_wanted(bounded, lambda s: F.col(f"masks_{s}")), runs, features.select("t", "g", "w", "k"))
+    matrices = bounded.select("scope", "run_a", "run_b", F.lit(2).alias("side"), "matrix")
+    places = _BITS * _MASKS
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        a, b = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        ta, tb = a["t"].to_numpy(), b["t"].to_numpy()
-        cosine = np.round(_products(list(a["g"]), list(a["w"]), list(b["g"]), list(b["w"])), config.SCORE_DECIMALS)
-        ones = lambda ks: [np.ones(len(k)) for k in ks]
-        shared = _products(list(a["k"]), ones(a["k"]), list(b["k"]), ones(b["k"]))
-        union = a["k"].map(len).to_numpy()[:, None] + b["k"].map(len).to_numpy()[None, :] - shared
+        packed = rows.loc[rows["side"] == 2, "matrix"].iloc[0]
+        matrix = np.unpackbits(np.frombuffer(packed, np.uint8), count=places * places).reshape(places, places)
+        sides = [rows[rows["side"] == n] for n in (0, 1)]
+        t, place = ([x[c].to_numpy(np.int64) for x in sides] for c in ("t", "place"))
+        wanted = matrix[np.ix_(*place)].astype(bool)
+        g, w, k = ([[np.asarray(v) for v in x[c]] for x in sides] for c in "gwk")
+        ones = [[np.ones(len(v)) for v in side] for side in k]
+        scores = []
+        for ids, values in ((g, w), (k, ones)):
+            columns = np.unique(np.concatenate([*ids[0], np.zeros(0, np.int64)]))
+            own, other = (_Rows(ids[n], values[n], columns) for n in (0, 1))
+            x, found = np.zeros(len(columns) + 1), []
+            for row, partners in enumerate(wanted):
+                x[own.at[row]] = values[0][row]
+                found.append(other.products(x, np.flatnonzero(partners)))
+                x[own.at[row]] = 0.0
+            scores.append(np.concatenate([*found, np.zeros(0)]))
+        i, j = np.nonzero(wanted)
+        cosine, shared = np.round(scores[0], config.SCORE_DECIMALS), scores[1]
+        size = [np.array([len(v) for v in side], np.int64) for side in k]
+        union = size[0][i] + size[1][j] - shared
         jaccard = np.round(np.divide(shared, union, out=np.zeros_like(shared), where=union > 0), config.SCORE_DECIMALS)
         by_character = cosine >= character_min
-        by_token = (shared >= config.TOKEN_SHARED_MIN) & (jaccard >= config.TOKEN_JACCARD_MIN)
-        by_token &= use_tokens
-        i, j = np.nonzero((by_character | by_token) & (ta[:, None] < tb[None, :]))
+        by_token = (shared >= config.TOKEN_SHARED_MIN) & (jaccard >= config.TOKEN_JACCARD_MIN) & use_tokens
+        hit = by_character | by_token
         return pd.DataFrame(
             {
                 "scope": rows["scope"].iloc[0],
-                "a": ta[i],
-                "b": tb[j],
-                "cosine": cosine[i, j],
+                "a": t[0][i[hit]],
+                "b": t[1][j[hit]],
+                "cosine": cosine[hit],
                 # Reported as a plain rounded ratio; the threshold saw the array rounding.
-                "jaccard": [round(s / u, config.SCORE_DECIMALS) if u else 0.0 for s, u in zip(shared[i, j].tolist(), union[i, j].tolist())],
-                "by_character": by_character[i, j],
-                "by_token": by_token[i, j],
+                "jaccard": [round(s / u, config.SCORE_DECIMALS) if u else 0.0 for s, u in zip(shared[hit].tolist(), union[hit].tolist())],
+                "by_character": by_character[hit],
+                "by_token": by_token[hit],
             }
         )
 
-    keys = ["scope", "run_a", "run_b"]
-    cores = candidates.sparkSession.sparkContext.defaultParallelism
-    default = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Tasks are few and heavy on small inputs: a partition for each keeps every core busy.
-    parts = max(default, min(candidates.count(), 8 * cores))
-    return texts.repartition(parts, *keys).groupBy(*keys).applyInPandas(compare, _PAIR_SCHEMA)
+    return _per_run_pair(texts.unionByName(matrices, allowMissingColumns=True), bounded.count(), compare, _PAIR_SCHEMA)
 
 
 def _hits() -> Column:
