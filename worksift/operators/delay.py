@@ -15,6 +15,7 @@ from worksift import config
 from worksift.plans.ranking import global_rank, running_totals
 from worksift.plans.storage import written
 
+MODEL_VERSION = "delay_logistic_v1"
 NUMERIC = ["log_sanctioned", "agency_prior", "sanction_month"]
 EXPOSURE = "exposure_months"
 CATEGORICAL = ["work_category", "state"]
@@ -122,6 +123,7 @@ class DelayModel:
             labelCol="y", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-9
         )
         self.model = Pipeline(stages=[*self.prepare.stages(), logistic]).fit(self.prepare.apply(train))
+        self.train = train
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Adds ``score``, a probability, and ``margin``, its log odds."""
@@ -130,14 +132,36 @@ class DelayModel:
             {"score": vector_to_array("probability")[1], "margin": vector_to_array("rawPrediction")[1]}
         ).select(*rows.columns, "score", "margin")
 
-    def coefficients(self) -> list[tuple[str, float]]:
-        """Feature name and weight, the largest first."""
-        labels = self.model.stages[0].labelsArray
+    def names(self) -> list[str]:
+        """The features in the order of the weights."""
         names = list(self.prepare.numeric)
-        for c, values in zip(CATEGORICAL, labels):
+        for c, values in zip(CATEGORICAL, self.model.stages[0].labelsArray):
             names += [f"{c}_{v}" for v in values] + [f"{c}_(unseen)"]
+        return names
+
+    def coefficients(self) -> list[tuple[str, float]]:
+        """Feature name and weight, the largest first."""
         weights = self.model.stages[-1].coefficients.toArray()
-        return sorted(zip(names, weights.tolist()), key=lambda p: -abs(p[1]))
+        return sorted(zip(self.names(), weights.tolist()), key=lambda p: -abs(p[1]))
+
+    def gradient(self) -> DataFrame:
+        """``feature, total, squares, positives, gradient``: sums of each feature, its square and its
+        product with the label over the training rows, and the slope of the penalised loss in its
+        weight, which is 0 at the optimum. ``(intercept)`` has no penalty. One pass, partial sums per task."""
+        scored = self.model.transform(self.prepare.apply(self.train))
+        values = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
+        rows = scored.select("y", vector_to_array("probability")[1].alias("p"), F.posexplode(values).alias("at", "x"))
+        sums = rows.groupBy("at").agg(
+            F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).alias("squares"),
+            F.sum(F.col("x") * F.col("y")).alias("positives"), F.sum((F.col("p") - F.col("y")) * F.col("x")).alias("slope"),
+            F.count("*").alias("n"),
+        )
+        fitted = self.model.stages[-1]
+        weights = [*zip(self.names(), fitted.coefficients.toArray().tolist(), strict=True), ("(intercept)", 0.0)]
+        known = self.train.sparkSession.createDataFrame([(k, name, w) for k, (name, w) in enumerate(weights)], "at int, feature string, weight double")
+        return sums.join(known, "at").select(  # a row per feature
+            "feature", "total", "squares", "positives", ((F.col("slope") + F.col("weight")) / F.col("n")).alias("gradient")
+        )
 
 
 def delay_metrics(scored: DataFrame) -> DataFrame:
@@ -181,32 +205,59 @@ def delay_model(works: DataFrame, as_of: Column) -> DataFrame:
     return DelayModel(train).score(test).select("work_id", "y", "score")
 
 
+def delay_gradient(works: DataFrame, as_of: Column) -> DataFrame:
+    """The fitted model's sums and slopes over its training rows, by feature."""
+    return DelayModel(_train_test(works, as_of)[0]).gradient()
+
+
+def young_works(works: DataFrame, as_of: Column) -> DataFrame:
+    """Labelled works under implementation, sanctioned in the last year: those a watch list scores."""
+    age = F.datediff(as_of, "sanction_date")
+    return labelled(works).where(F.col("completion_status").isin(*config.UNDER_IMPLEMENTATION) & age.between(0, 365))
+
+
+def watch_list(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(counts, watch)`` of ``work_id, score``: the first tenth, rounded up, the highest score first and
+    then the smaller id."""
+    ranked = global_rank(scored.select("work_id", "score"), [F.col("score").desc(), F.col("work_id")], "place")
+    counts = ranked.agg(
+        F.count("*").alias("scored_n"),
+        F.ceil(F.lit(config.WATCH_SHARE) * F.count("*").cast("double")).cast("bigint").alias("watch_n"),
+    )
+    watch = ranked.crossJoin(F.broadcast(counts)).where(F.col("place") <= F.col("watch_n"))  # one row
+    return counts, watch.select("work_id", "score", "place")
+
+
 def delay_watch(works: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """``(artifact, watch)``: one row of metrics and status, and the ranked watch list. Below the
-    quality bar the list is empty; above it the model is refitted on the whole cohort."""
-    metrics = written(delay_metrics(written(delay_model(works, as_of), "scores")), "metrics")
+    """``(artifact, watch)``: one row of version, cohort, features, metrics and status, and the ranked
+    watch list. Below the quality bar the list is empty; above it the model is refitted on the whole
+    cohort."""
+    train, test = _train_test(works, as_of)
+    scores = DelayModel(train).score(test).select("work_id", "y", "score")
+    sizes = train.agg(F.count("*").alias("train_n")).crossJoin(F.broadcast(test.agg(F.count("*").alias("test_n"))))  # single rows
+    metrics = written(delay_metrics(written(scores, "scores")).crossJoin(F.broadcast(sizes)), "metrics")
     got = metrics.first()
     # A figure that cannot be computed, as with one class only, is below the bar.
     shipped = (got["roc_auc"] or 0) >= config.MIN_TEST_AUC and (got["lift_at_10"] or 0) >= config.MIN_TEST_LIFT
+    d = cohort_dates(as_of)
     artifact = metrics.withColumns(
-        {"data_as_of": as_of, "status": F.lit("shipped" if shipped else "not_shipped")}
+        {
+            "model_version": F.lit(MODEL_VERSION),
+            "data_as_of": as_of,
+            "status": F.lit("shipped" if shipped else "not_shipped"),
+            **{f"cohort_{name}": day for name, day in d.items()},
+            "numeric": F.array(*[F.lit(c) for c in NUMERIC]),
+            "categorical": F.array(*[F.lit(c) for c in CATEGORICAL]),
+        }
     )
     if not shipped:
         empty = works.where(F.lit(False)).select("work_id", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("place"))
         return artifact.withColumns({"scored_n": F.lit(0).cast("bigint"), "watch_n": F.lit(0).cast("bigint")}), empty
-    rows, d = labelled(works), cohort_dates(as_of)
-    prior = agency_prior(rows.where(F.col("sanction_date") <= d["end"]))
+    prior = agency_prior(labelled(works).where(F.col("sanction_date") <= d["end"]))
     model = DelayModel(delay_features(delay_cohort(works, as_of), prior))
-    age = F.datediff(as_of, "sanction_date")
-    young = rows.where(F.col("completion_status").isin(*config.UNDER_IMPLEMENTATION) & age.between(0, 365))
-    scored = model.score(delay_features(young, prior)).select("work_id", "score")
-    ranked = global_rank(scored, [F.col("score").desc(), F.col("work_id")], "place")
-    total = ranked.agg(
-        F.count("*").alias("scored_n"),
-        F.ceil(F.lit(config.WATCH_SHARE) * F.count("*").cast("double")).cast("bigint").alias("watch_n"),
-    )
-    watch = ranked.crossJoin(F.broadcast(total)).where(F.col("place") <= F.col("watch_n")).select("work_id", "score", "place")
-    return artifact.crossJoin(F.broadcast(total)), watch  # single rows
+    scored = model.score(delay_features(young_works(works, as_of), prior))
+    counts, watch = watch_list(scored)
+    return artifact.crossJoin(F.broadcast(counts)), watch  # single rows
 
 
 def delay_model_comparison(works: DataFrame, as_of: Column, folds: int = 5) -> DataFrame:

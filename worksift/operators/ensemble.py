@@ -6,7 +6,8 @@ three are one weighted point. A pile of identical works, however large, is one r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -83,97 +84,124 @@ def _average_path(n):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, depth))
 
 
-_TREE_SCHEMA = "tree int, rows int, feature array<int>, threshold array<double>, depth array<double>"
+_FEATURE_DECIMALS = 9  # floating noise must not decide on which side of a cut a work falls
+_NODE_SCHEMA = "seed int, tree int, rows int, node int, axis int, cut double, depth double"
+_DRAW = 1 << 32
+
+
+def _digits(text: str) -> tuple[int, int]:
+    """Two numbers below 2**32 from the md5 of a text: draws that any engine can repeat."""
+    digest = hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()
+    return int(digest[:8], 16), int(digest[8:16], 16)
 
 
 def _grow(rows: pd.DataFrame) -> pd.DataFrame:
-    """One random tree over at most ``forest_sample`` rows, nodes numbered like a heap."""
-    tree = int(rows["tree"].iloc[0])
-    x = rows.sort_values(["pick", "work_id"])[FEATURES].to_numpy()
-    rng = np.random.default_rng([SETTINGS.forest_seed, tree])
+    """One random tree over at most ``forest_sample`` rows, nodes numbered like a heap. A node's draws
+    choose one of the features that vary in it, and the place of the cut between its lowest and highest value."""
+    seed, tree = int(rows["seed"].iloc[0]), int(rows["tree"].iloc[0])
+    x = rows[FEATURES].to_numpy()
     height = int(np.ceil(np.log2(max(len(x), 2))))
-    size = 2 ** (height + 1) - 1
-    feature, threshold, depth = np.full(size, -1), np.zeros(size), np.zeros(size)
-    members = {0: np.arange(len(x))}
-    for node in range(size):
-        inside = members.pop(node, None)
-        if inside is None:
-            continue
-        level = int(np.log2(node + 1))
+    nodes, waiting = [], [(0, 0, np.arange(len(x)))]
+    while waiting:
+        node, level, inside = waiting.pop()
         low, high = x[inside].min(axis=0), x[inside].max(axis=0)
         varying = np.flatnonzero(high > low)
-        if level == height or len(inside) <= 1 or len(varying) == 0:
-            depth[node] = level + float(_average_path(len(inside)))
+        if level == height or len(varying) == 0:
+            nodes.append((seed, tree, len(x), node, -1, 0.0, level + float(_average_path(len(inside)))))
             continue
-        axis = rng.choice(varying)
-        cut = rng.uniform(low[axis], high[axis])
+        which, where = _digits(f"{seed}:{tree}:{node}")
+        axis = varying[which % len(varying)]
+        cut = low[axis] + (high[axis] - low[axis]) * (where / _DRAW)
+        if cut >= high[axis]:
+            cut = low[axis]
+        nodes.append((seed, tree, len(x), node, int(axis), float(cut), 0.0))
         left = x[inside, axis] <= cut
-        if left.all():
-            cut = np.nextafter(high[axis], low[axis])
-            left = x[inside, axis] <= cut
-        feature[node], threshold[node] = axis, cut
-        members[2 * node + 1], members[2 * node + 2] = inside[left], inside[~left]
-    return pd.DataFrame(
-        {"tree": [tree], "rows": [len(x)], "feature": [feature.tolist()], "threshold": [threshold.tolist()], "depth": [depth.tolist()]}
-    )
+        waiting += [(2 * node + 1, level + 1, inside[left]), (2 * node + 2, level + 1, inside[~left])]
+    return pd.DataFrame(nodes, columns=[c.split()[0] for c in _NODE_SCHEMA.split(", ")])
 
 
-def _forest_sample(rows: DataFrame, total: int) -> DataFrame:
-    """``forest_sample`` works per tree: those with the tree's smallest draws.
+def _forest_sample(rows: DataFrame, total: int, seeds: Sequence[int], trees: int) -> DataFrame:
+    """``forest_sample`` works per seed and tree: those with the tree's smallest draws.
 
-    Every work draws for every tree, at any number of works. A draw above the cut-off, which leaves
-    a tree about four times its sample, is dropped where it is made, so what is shuffled is bounded
-    by the forest's size and not by the data.
+    Every work draws for every tree, at any number of works: a + m * b modulo 2**32, with a and b from
+    the md5 of the work id and m from seed and tree. A draw above the cut-off, which leaves a tree about
+    four times its sample, is dropped where it is made, so what is shuffled is bounded by the
+    forest's size and not by the data.
     """
-    trees, sample = SETTINGS.forest_trees, SETTINGS.forest_sample
-    cutoff = 4 * sample / max(total, 1)
+    sample = SETTINGS.forest_sample
+    cutoff = F.lit(min(_DRAW, -(-4 * sample * _DRAW // max(total, 1))))
+    number = lambda at: F.conv(F.substring(F.md5(F.col("work_id").cast("binary")), at, 8), 16, 10).cast("bigint")
+    keys = F.array(*[F.struct(F.lit(s).alias("seed"), F.sequence(F.lit(0), F.lit(trees - 1)).alias("trees")) for s in seeds])
+
+    def draws(of: Column) -> Column:
+        def draw(tree: Column) -> Column:
+            m = F.pmod(of["seed"].cast("bigint") * 65_537 + tree, F.lit(1 << 24))
+            return F.struct(of["seed"].alias("seed"), tree.alias("tree"), F.pmod(F.col("_a") + m * F.col("_b"), F.lit(_DRAW)).alias("pick"))
 
-    def draw(tree: Column) -> Column:
-        pick = F.xxhash64(F.lit(SETTINGS.forest_seed), "work_id", tree) / F.lit(2.0**64) + 0.5
-        return F.struct(tree.alias("tree"), pick.alias("pick"))
+        return F.filter(F.transform(of["trees"], draw), lambda d: d["pick"] < cutoff)
 
-    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), draw), lambda d: d["pick"] < cutoff)
-    offered = rows.select("work_id", *FEATURES, F.explode(drawn).alias("_draw")).select(
-        "work_id", *FEATURES, "_draw.tree", "_draw.pick"
+    numbered = rows.select(
+        "work_id", *[F.round(f, _FEATURE_DECIMALS).alias(f) for f in FEATURES], number(1).alias("_a"), number(9).bitwiseOR(F.lit(1)).alias("_b")
+    )
+    offered = numbered.select("work_id", *FEATURES, F.explode(F.flatten(F.transform(keys, draws))).alias("_draw")).select(
+        "work_id", *FEATURES, "_draw.*"
     )
-    place = F.row_number().over(Window.partitionBy("tree").orderBy("pick", "work_id"))
-    return offered.withColumn("_place", place).where(F.col("_place") <= sample).drop("_place")
+    place = F.row_number().over(Window.partitionBy("seed", "tree").orderBy("pick", "work_id"))
+    return offered.withColumn("_place", place).where(F.col("_place") <= sample).drop("_place", "pick")
 
 
-def isolation_forest(points: DataFrame, rows: DataFrame) -> DataFrame:
-    """Adds ``isolation`` to ``points``: higher is stranger. The forest is grown on a fixed-size
-    sample of ``rows`` (every work's features), one task per tree."""
+def forest_nodes(rows: DataFrame, total: int, seeds: Sequence[int], trees: int) -> DataFrame:
+    """The forests of several seeds as one table of nodes (``seed, tree, rows, node, axis, cut, depth``),
+    grown in one job, one task per tree, on fixed-size samples of ``rows`` (every work's features).
+    ``axis`` is -1 in leaves. The first trees of a seed are the same in forests of any size."""
+    chosen = _forest_sample(rows, total, seeds, trees)
+    return written(chosen.groupBy("seed", "tree").applyInPandas(_grow, _NODE_SCHEMA), "forest")
+
+
+def isolation_runs(points: DataFrame, rows: DataFrame, seeds: Sequence[int], sizes: Sequence[int]) -> DataFrame:
+    """Adds ``runs`` to ``points``: isolation by the first ``size`` trees of each seed, an array by seed and
+    then by size. A forest of a size is the first trees of the largest one, so all runs are one pass."""
     total = points.agg(F.sum("weight")).first()[0] or 0
-    chosen = _forest_sample(rows, total)
-    grown = chosen.groupBy("tree").applyInPandas(_grow, _TREE_SCHEMA).orderBy("tree").collect()
+    sizes = sorted(sizes)
+    nodes = forest_nodes(rows, total, seeds, sizes[-1])
     supply = min(SETTINGS.forest_sample, total)
-    if total and (len(grown) < SETTINGS.forest_trees or any(t.rows < supply for t in grown)):
+    short = nodes.groupBy("seed", "tree").agg(F.min("rows").alias("rows"))
+    if total and (short.count() < len(seeds) * sizes[-1] or not short.where(F.col("rows") < supply).isEmpty()):
         raise RuntimeError(f"a tree of the forest got fewer than {supply} works")
-    forest = points.sparkSession.sparkContext.broadcast(
-        [(np.array(t.feature), np.array(t.threshold), np.array(t.depth)) for t in grown]
-    )  # at most 200 trees of 511 nodes
-    normal = float(_average_path(min(SETTINGS.forest_sample, total)))
-
-    @F.pandas_udf("double")
+    size = 2 ** (int(np.ceil(np.log2(max(supply, 2)))) + 1) - 1
+    arrays = {s: [(np.full(size, -1), np.zeros(size), np.zeros(size)) for _ in range(sizes[-1])] for s in seeds}
+    # Trees times at most 511 nodes, whatever the number of works.
+    for r in nodes.collect():
+        for values, value in zip(arrays[r["seed"]][r["tree"]], (r["axis"], r["cut"], r["depth"]), strict=True):
+            values[r["node"]] = value
+    forest = points.sparkSession.sparkContext.broadcast([arrays[s] for s in seeds])
+    normal = float(_average_path(supply))
+    marks = set(sizes)
+
+    @F.pandas_udf("array<double>")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
             x = np.column_stack([c.to_numpy() for c in columns])
-            row = np.arange(len(x))
-            path = np.zeros(len(x))
-            for feature, threshold, depth in forest.value:
-                node = np.zeros(len(x), dtype=np.int64)
-                while True:
-                    axis = feature[node]
-                    inner = axis >= 0
-                    if not inner.any():
-                        break
-                    right = x[row, np.maximum(axis, 0)] > threshold[node]
-                    node = np.where(inner, 2 * node + 1 + right, node)
-                path += depth[node]
-            path /= max(len(forest.value), 1)
-            yield pd.Series(2.0 ** (-path / normal) if normal else np.zeros(len(x)))
-
-    return points.withColumn("isolation", score(*FEATURES))
+            row, out = np.arange(len(x)), []
+            for trees in forest.value:
+                path = np.zeros(len(x))
+                for count, (axes, cuts, depth) in enumerate(trees, 1):
+                    node = np.zeros(len(x), dtype=np.int64)
+                    while (inner := axes[node] >= 0).any():
+                        right = x[row, np.maximum(axes[node], 0)] > cuts[node]
+                        node = np.where(inner, 2 * node + 1 + right, node)
+                    path += depth[node]
+                    if count in marks:
+                        out.append(2.0 ** (-path / count / normal) if normal else np.zeros(len(x)))
+            yield pd.Series(list(np.stack(out, axis=1)))
+
+    return points.withColumn("runs", score(*[F.round(f, _FEATURE_DECIMALS) for f in FEATURES]))
+
+
+def isolation_forest(points: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds ``isolation`` to ``points``: higher is stranger."""
+    runs = isolation_runs(points, rows, [SETTINGS.forest_seed], [SETTINGS.forest_trees])
+    return runs.withColumn("isolation", F.col("runs")[0]).drop("runs")
 
 
 # -- local outlier factor ---------------------------------------------------------------------

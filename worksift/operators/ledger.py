@@ -137,35 +137,65 @@ def candidate_evidence(page: DataFrame, candidate_works: DataFrame, works: DataF
     return wanted.join(works, "work_id")
 
 
+# What a judged candidate has besides its first text; null for batches.
+_JUDGED = ("text_b", "quote_a", "quote_b", "work_relation")
+
+
 def duplicate_context(
     candidate_works: DataFrame, resolved: DataFrame, works: DataFrame | None = None
 ) -> DataFrame:
-    """Candidates containing each work (all works, or those of ``works``), with their size. Other
-    members come from ``candidate_evidence``; repeating them per work would be every pair."""
-    sizes = candidate_works.groupBy("candidate_id").agg(F.count("*").alias("work_count"))
+    """Candidates containing each work (all works, or those of ``works``): what was found, both texts,
+    quotes and the relation where a pair was judged, the status, the number of works, and ``place``, the
+    newest candidate of a work first. Other members come from ``other_works``; repeating them per work
+    would be every pair."""
+    sizes = written(candidate_works.groupBy("candidate_id").agg(F.count("*").alias("work_count")), "sizes")
     rows = candidate_works if works is None else candidate_works.join(works.select("work_id"), "work_id", "left_semi")
+    blank = lambda c: F.col(c) if c in resolved.columns else F.lit(None).cast("string").alias(c)
     details = resolved.select(
-        "candidate_id", "finder", "threshold_crossing_batch", "text", F.col("current_status").alias("status")
+        "candidate_id", "finder", "threshold_crossing_batch", "text", *[blank(c) for c in _JUDGED], F.col("current_status").alias("status")
     )
+    placed = rank_in_group(rows.select("work_id", "candidate_id"), ["work_id"], [F.col("candidate_id").desc()], "place")
     return (
-        rows.join(sizes, "candidate_id")
+        placed.join(sizes, "candidate_id")
         .join(details, "candidate_id")
         .withColumn("other_work_count", F.col("work_count") - 1)
     )
 
 
+def candidate_members(candidate_works: DataFrame) -> DataFrame:
+    """``candidate_id, work_id, place``: the works of each candidate in work id order, as rows."""
+    return rank_in_group(candidate_works.select("candidate_id", "work_id"), ["candidate_id"], [F.col("work_id")], "place")
+
+
+def other_works(members: DataFrame, works: DataFrame) -> DataFrame:
+    """``work_id, candidate_id, other_work_id, place``: what shares a candidate with each of a few
+    ``works``, ranked per candidate without the work itself. ``members`` comes from ``candidate_members``."""
+    own = members.join(works.select("work_id"), "work_id", "left_semi")
+    asked = own.select("candidate_id", "work_id", F.col("place").alias("_own"))
+    others = members.select("candidate_id", F.col("work_id").alias("other_work_id"), F.col("place").alias("_place"))
+    met = others.join(asked, "candidate_id").where("other_work_id <> work_id")
+    return met.select(
+        "work_id", "candidate_id", "other_work_id", (F.col("_place") - (F.col("_place") > F.col("_own")).cast("int")).alias("place")
+    )
+
+
 # -- inspection outcomes ----------------------------------------------------------------------
 
 
+_TRIPLE = ["work_id", "inspected_on", "inspector_id"]
+
+
 def outcome_accept(ledger: DataFrame, batch: DataFrame, works: DataFrame, today: Column) -> DataFrame:
     """Batch rows with ``reason``: null when accepted, else the first rule broken.
 
     Rules: a position and an id, a known work, a known outcome, a date not in the future, an amended outcome that
     exists for the same work and is not amended yet, and one row per work, day and inspector.
-    Rows depend on earlier rows only through a shared key or the row they amend, so each round
-    decides all rows whose key is settled; two rounds are usual.
+
+    Most rows share nothing with an amendment and are decided at once, the first of each triple. The
+    others depend on earlier rows through a shared triple or the row they amend. Each round decides
+    those whose key is settled, and with them whole chains of amendments: a row that only waits for the row
+    it amends takes over that row's pointer, doubling its reach, until it points at a row that is decided.
     """
-    triple = ["work_id", "inspected_on", "inspector_id"]
     known = works.select("work_id", F.lit(True).alias("_known"))
     outcomes = list(config.OUTCOME_IS_ISSUE)
     own = (
@@ -178,62 +208,127 @@ def outcome_accept(ledger: DataFrame, batch: DataFrame, works: DataFrame, today:
     rows = written(
         batch.join(known, "work_id", "left").withColumn("reason", own).drop("_known"), "outcomes"
     )
-    ids = ["outcome_id", *triple, "supersedes", "position"]
-    settled = ledger.select(*ids[:-1], F.lit(True).alias("accepted")).unionByName(
-        rows.where(F.col("reason").isNotNull()).select(*ids[:-1], F.lit(False).alias("accepted"))
+    ids = ["outcome_id", *_TRIPLE, "supersedes", "position"]
+    sound = rows.where(F.col("reason").isNull()).select(*ids)
+    # Rows of the ledger come before all of the batch: they have no position.
+    before = F.lit(None).cast(dict(batch.dtypes)["position"]).alias("position")
+    recorded = written(ledger.select(*ids[:-1], before, F.lit(True).alias("accepted")), "ledger")
+    entangled = written(sound.where("supersedes is not null").select(*_TRIPLE).distinct(), "entangled")
+    alone = written(_first_of_triples(sound.join(entangled, _TRIPLE, "left_anti"), recorded), "alone")
+    refused = rows.where(F.col("reason").isNotNull())
+    verdicts = refused.where(F.col("outcome_id").isNotNull()).select("outcome_id", "reason").unionByName(alone.select("outcome_id", "reason"))
+    settled = (
+        recorded.unionByName(refused.select(*ids, F.lit(False).alias("accepted")))
+        .unionByName(alone.select(*ids, F.col("reason").isNull().alias("accepted")))
     )
-    verdicts = rows.where(F.col("reason").isNotNull() & F.col("outcome_id").isNotNull()).select("outcome_id", "reason")
-    open_rows = rows.where(F.col("reason").isNull()).select(*ids)
+    open_rows = written(sound.join(entangled, _TRIPLE, "left_semi"), "open")
+    settled = written(_concerned(settled, open_rows), "settled")
     while not open_rows.isEmpty():
-        open_rows, settled = written(open_rows, "open"), written(settled, "settled")
-        kept = settled.where("accepted")
-        taken = kept.select(*triple).distinct().withColumn("_taken", F.lit(True))
-        amended = kept.where(F.col("supersedes").isNotNull()).select("supersedes").distinct().withColumn("_amended", F.lit(True))
-        first = open_rows.groupBy(*triple).agg(F.min("position").alias("_first"))
-        # Rows that amend nothing meet no other row through ``supersedes``: they stay out of its joins.
-        amending, plain = open_rows.where("supersedes is not null"), open_rows.where("supersedes is null")
-        first_amend = amending.groupBy("supersedes").agg(F.min("position").alias("_first_amend"))
-        target = settled.where("outcome_id is not null").select(
-            F.col("outcome_id").alias("supersedes"), F.col("work_id").alias("_target_work"), F.col("accepted").alias("_target_ok")
-        )
-        waiting = open_rows.select(F.col("outcome_id").alias("supersedes"), F.lit(True).alias("_target_open"), F.col("position").alias("_target_position"))
-        linked = (
-            amending.join(first_amend, "supersedes", "left")
-            .join(amended, "supersedes", "left")
-            .join(target, "supersedes", "left")
-            .join(waiting, "supersedes", "left")
-        )
-        view = (
-            linked.unionByName(plain, allowMissingColumns=True)
-            .join(first, triple)
-            .join(taken, triple, "left")
-        )
-        amends = F.col("supersedes").isNotNull()
-        earlier_target = F.col("_target_open") & (F.col("_target_position") < F.col("position"))
-        ready = (F.col("_taken").isNotNull() | (F.col("position") == F.col("_first"))) & (
-            ~amends
-            | (
-                ~F.coalesce(earlier_target, F.lit(False))
-                & (F.col("_amended").isNotNull() | (F.col("position") == F.col("_first_amend")))
-            )
-        )
-        valid_target = F.coalesce(F.col("_target_ok") & (F.col("_target_work") == F.col("work_id")), F.lit(False))
-        reason = (
-            F.when(amends & ~valid_target, "invalid_supersedes")
-            .when(amends & F.col("_amended").isNotNull(), "already_superseded")
-            .when(F.col("_taken").isNotNull(), "duplicate_outcome")
-        )
-        decided = written(view.where(ready).select(*ids, reason.alias("reason")), "decided")
+        decided = written(_decided(open_rows, settled), "decided")
         if decided.isEmpty():
             raise RuntimeError("no open outcome can be decided: positions are not unique")
         verdicts = verdicts.unionByName(decided.select("outcome_id", "reason"))
-        settled = settled.unionByName(decided.select(*ids[:-1], F.col("reason").isNull().alias("accepted")))
-        open_rows = open_rows.join(decided.select("outcome_id"), "outcome_id", "left_anti")
+        settled = written(settled.unionByName(decided.select(*ids, F.col("reason").isNull().alias("accepted"))), "settled")
+        open_rows = written(open_rows.join(decided.select("outcome_id"), "outcome_id", "left_anti"), "open")
     # Rows without an id cannot be joined to a verdict; theirs is known.
     unnamed = rows.where(F.col("outcome_id").isNull())
     return rows.drop("reason").join(verdicts, "outcome_id").unionByName(unnamed, allowMissingColumns=True)
 
 
+def _first_of_triples(rows: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Rows of triples that hold no amendment: the first is accepted where the ledger has none."""
+    first = rows.groupBy(*_TRIPLE).agg(F.min("position").alias("_first"))
+    taken = recorded.select(*_TRIPLE).distinct().withColumn("_taken", F.lit(True))
+    late = (F.col("position") > F.col("_first")) | F.col("_taken").isNotNull()
+    joined = rows.join(first, _TRIPLE).join(taken, _TRIPLE, "left")
+    return joined.withColumn("reason", F.when(late, "duplicate_outcome")).drop("_first", "_taken")
+
+
+def _concerned(settled: DataFrame, open_rows: DataFrame) -> DataFrame:
+    """The settled rows that an open row can depend on: its triple's, its target, and what amends that."""
+    targets = written(open_rows.where("supersedes is not null").select(F.col("supersedes").alias("outcome_id")).distinct(), "targets")
+    triples = open_rows.select(*_TRIPLE).distinct()
+    amending = targets.withColumnRenamed("outcome_id", "supersedes")
+    tagged = (
+        settled.join(triples.withColumn("_a", F.lit(True)), _TRIPLE, "left")
+        .join(targets.withColumn("_b", F.lit(True)), "outcome_id", "left")
+        .join(amending.withColumn("_c", F.lit(True)), "supersedes", "left")
+    )
+    return tagged.where("_a or _b or _c").select(*settled.columns)
+
+
+def _decided(open_rows: DataFrame, settled: DataFrame) -> DataFrame:
+    """One round: ``open_rows`` that can be decided, with ``reason``."""
+    kept = settled.where("accepted")
+    taken = kept.select(*_TRIPLE).distinct().withColumn("_taken", F.lit(True))
+    amended = kept.where(F.col("supersedes").isNotNull()).select("supersedes").distinct().withColumn("_amended", F.lit(True))
+    first = open_rows.groupBy(*_TRIPLE).agg(F.min("position").alias("_first"))
+    marked = written(open_rows.join(first, _TRIPLE).join(taken, _TRIPLE, "left"), "marked")
+    # Rows that amend nothing meet no other row through ``supersedes``: they stay out of its joins.
+    amending, plain = marked.where("supersedes is not null"), marked.where("supersedes is null")
+    first_amend = amending.groupBy("supersedes").agg(F.min("position").alias("_first_amend"))
+    target = settled.where("outcome_id is not null").select(
+        F.col("outcome_id").alias("supersedes"), F.col("work_id").alias("_target_work"), F.col("accepted").alias("_target_ok"),
+        F.col("position").alias("_settled_position"),
+    )
+    # A row whose triple is taken is refused whatever it amends: what amends it need not wait.
+    waiting = marked.select(
+        F.col("outcome_id").alias("supersedes"), F.col("position").alias("_target_position"),
+        F.col("work_id").alias("_open_work"), F.col("_taken").isNotNull().alias("_target_lost"),
+    )
+    linked = (
+        amending.join(first_amend, "supersedes", "left")
+        .join(amended, "supersedes", "left")
+        .join(target, "supersedes", "left")
+        .join(waiting, "supersedes", "left")
+    )
+    view = written(linked.unionByName(plain, allowMissingColumns=True), "view")
+    amends, of_triple = F.col("supersedes").isNotNull(), F.col("position") == F.col("_first")
+    # Open rows before this one that may yet be accepted, and belong to its work.
+    waits = F.coalesce(
+        (F.col("_target_position") < F.col("position")) & ~F.col("_target_lost") & (F.col("_open_work") == F.col("work_id")), F.lit(False)
+    )
+    of_target = F.col("_amended").isNotNull() | (F.col("position") == F.col("_first_amend"))
+    earlier = F.col("_settled_position").isNull() | (F.col("_settled_position") < F.col("position"))
+    valid_target = F.coalesce(F.col("_target_ok") & (F.col("_target_work") == F.col("work_id")) & earlier, F.lit(False))
+    reason = (
+        F.when(amends & ~valid_target, "invalid_supersedes")
+        .when(amends & F.col("_amended").isNotNull(), "already_superseded")
+        .when(F.col("_taken").isNotNull(), "duplicate_outcome")
+    )
+    doomed = amends & ~waits & ~valid_target  # whatever else holds
+    ready = doomed | ((F.col("_taken").isNotNull() | of_triple) & (~amends | (~waits & of_target)))
+    columns = open_rows.columns
+    now = written(view.where(ready).select(*columns, reason.alias("reason")), "ready")
+    # The first amendment of its target and the first of its triple: accepted if its target is. A row
+    # whose triple is taken waits in the same way for its reason, but nothing waits for it.
+    follows = amends & waits & (F.col("_taken").isNotNull() | of_triple) & (F.col("position") == F.col("_first_amend"))
+    chain = written(view.where(follows).select(*columns, F.col("_taken").isNotNull().alias("_lost")), "chain")
+    if chain.isEmpty():
+        return now
+    ends = _ends(chain.select("outcome_id", "supersedes"))
+    fate = now.select(F.col("outcome_id").alias("_end"), F.col("reason").isNull().alias("_ok"))
+    verdict = F.when(~F.col("_ok"), "invalid_supersedes").when(F.col("_lost"), "duplicate_outcome")
+    chained = chain.join(ends, "outcome_id").join(fate, "_end").select(*columns, verdict.alias("reason"))
+    return now.unionByName(chained)
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    """``outcome_id, _end``: where each row's chain of ``supersedes`` leaves ``links``. Every row
+    points at its target first and at its target's target's pointer from then on, so a chain of n rows
+    takes log n rounds."""
+    steps = written(links.select("outcome_id", F.col("supersedes").alias("_end")), "steps")
+    while True:
+        further = steps.select(F.col("outcome_id").alias("_end"), F.col("_end").alias("_next"))
+        stepped = written(
+            steps.join(further, "_end", "left").select("outcome_id", F.coalesce("_next", "_end").alias("_end"), F.col("_next").isNotNull().alias("_moved")),
+            "steps",
+        )
+        steps = stepped.select("outcome_id", "_end")
+        if stepped.where("_moved").isEmpty():
+            return steps
+
+
 def outcome_context(works: DataFrame, scored: DataFrame) -> DataFrame:
     """Per work: its place among the works under implementation of its own authority, that
     population and its quota. A work outside the population gets the place it would take; works

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worksift.config import SETTINGS
 from worksift.functions.money import risk_band
 from worksift.operators.detectors import detect, flag_assemble
-from worksift.operators.ensemble import POINT, ensemble_score, point_columns
+from worksift.operators.ensemble import POINT, anomaly_features, ensemble_score, feature_points, isolation_runs, point_columns
 from worksift.plans.ranking import global_rank, running_totals
+from worksift.plans.storage import written
 
 SCORED_COLUMNS = ["work_id", "inspection_rank", "risk_score", "flags", "why_flagged", "peer_group"]
 
@@ -111,3 +114,44 @@ def rank_stability(run_a: DataFrame, run_b: DataFrame, k: int) -> DataFrame:
     shared = F.count_if(F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull())
     overlap = both.agg((shared / F.nullif(F.count("*"), F.lit(0))).alias("jaccard_top_k"))
     return rho.crossJoin(F.broadcast(overlap))  # single rows
+
+
+def run_scores(works: DataFrame, as_of: Column, seeds: Sequence[int], sizes: Sequence[int]) -> DataFrame:
+    """``run, work_id, score``: isolation of every work by forests of several seeds and sizes, grown and
+    applied in one pass. Runs are numbered by seed and then by size."""
+    points = feature_points(works, as_of)
+    signal = isolation_runs(points, anomaly_features(works, as_of), seeds, sizes).select(*POINT, "runs")
+    each = works.select("work_id", *[c.alias(n) for n, c in point_columns(as_of).items()]).join(signal, POINT)
+    return each.select("work_id", F.posexplode("runs").alias("run", "score")).select("run", "work_id", F.round("score", 9).alias("score"))
+
+
+def forest_stability(runs: DataFrame, pairs: Sequence[tuple[int, int]], k: int) -> DataFrame:
+    """``run_a, run_b, spearman, jaccard_top_k`` of pairs of ``runs`` (``run, work_id, score``), which hold
+    the same works. All runs are ranked together: scores are counted per run and distinct value, put in
+    one order, and a run's ranks begin where the one before ends."""
+    runs = written(runs, "runs")
+    counts = runs.groupBy("run", "score").agg(F.count("*").alias("_c"))
+    ordered = written(running_totals(global_rank(counts, [F.col("run"), F.col("score")], "_order"), "_order", {"_upto": "_c"}), "run-ranks")
+    starts = ordered.groupBy("run").agg(F.min(F.col("_upto") - F.col("_c")).alias("_start"))
+    mean = F.col("_upto") - F.col("_start") - (F.col("_c") - 1) / 2
+    ranks = ordered.join(F.broadcast(starts), "run").select("run", "score", mean.alias("rank"))  # one row per run
+    ranked = written(runs.join(ranks, ["run", "score"]).select("run", "work_id", "rank"), "ranked")
+    wanted = runs.sparkSession.createDataFrame(list(pairs), "run_a int, run_b int")
+    side = lambda s: ranked.select(F.col("run").alias(f"run_{s}"), "work_id", F.col("rank").alias(f"_{s}"))
+    met = side("a").join(F.broadcast(wanted), "run_a").join(side("b"), ["run_b", "work_id"])  # a row per pair of runs
+    spread = F.nullif(F.stddev_pop("_a") * F.stddev_pop("_b"), F.lit(0.0))
+    rho = met.groupBy("run_a", "run_b").agg((F.covar_pop("_a", "_b") / spread).alias("spearman"))
+    top = None
+    for run in sorted({r for pair in pairs for r in pair}):
+        best = runs.where(F.col("run") == run).orderBy(F.col("score").desc(), "work_id").limit(k).select("run", "work_id")
+        top = best if top is None else top.unionByName(best)
+    top = written(top, "top")  # k works per run
+    size = top.groupBy("run").agg(F.count("*").alias("n"))
+    a, b = (top.select(F.col("run").alias(f"run_{s}"), "work_id") for s in "ab")
+    shared = a.join(F.broadcast(wanted), "run_a").join(b, ["run_b", "work_id"]).groupBy("run_a", "run_b").agg(F.count("*").alias("_shared"))
+    sizes = lambda s: size.select(F.col("run").alias(f"run_{s}"), F.col("n").alias(f"_n_{s}"))
+    common = F.coalesce("_shared", F.lit(0))
+    overlap = wanted.join(sizes("a"), "run_a").join(sizes("b"), "run_b").join(shared, ["run_a", "run_b"], "left").select(
+        "run_a", "run_b", (common / (F.col("_n_a") + F.col("_n_b") - common)).alias("jaccard_top_k")
+    )
+    return rho.join(overlap, ["run_a", "run_b"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worksift.config import (
@@ -17,7 +17,7 @@ from worksift.config import (
 )
 from worksift.functions.dates import calendar_months, days_stale, financial_year
 from worksift.functions.money import exact_sum, quota_for
-from worksift.plans.ranking import dense_position, position_blocks
+from worksift.plans.ranking import block_ranks, dense_position, position_blocks
 from worksift.plans.storage import written
 from worksift.sources.contract import WORKS_SCHEMA
 
@@ -140,25 +140,46 @@ def filtered_rank(filtered: DataFrame) -> DataFrame:
     )
 
 
+def works_stored(merged: DataFrame) -> DataFrame:
+    """``merged`` written for serving: in inspection order, so that a range of ranks is a few row groups."""
+    return written(merged.repartitionByRange("inspection_rank").sortWithinPartitions("inspection_rank"), "served")
+
+
+def _rank_between(rows: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    """Rows of a range of ranks. Bounds are literals, so they reach the scan and skip row groups."""
+    return rows.where(F.lit(False)) if low is None else rows.where(F.col("inspection_rank").between(low, high))
+
+
 def works_page(
     merged: DataFrame, query: WorksQuery, as_of: Column, watch: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """One page in inspection order, and the counts that go with it.
 
-    The filtered queue is counted per block of ranks; only the blocks under the page, and the one
-    the quota ends in, are looked at row by row, and full rows are fetched for the page alone.
+    The filtered queue is counted per block of ranks. Only ranks of the blocks under the page, and of the
+    one the quota ends in, are read again, two columns of them, and they give the page's first and last
+    rank: the page is every filtered row between the two, which is one read of whole rows.
+    ``works_stored`` keeps these ranges together.
     """
     filtered = works_filter(merged, query, as_of, watch)
     queue = _queue(filtered)
     blocks = written(position_blocks(queue, "inspection_rank", {"flagged": F.count_if("flagged")}), "blocks")
     first = (query.page - 1) * query.page_size
     end = F.col("start") + F.col("rows")
+    place, rank = F.col("display_rank"), F.col("inspection_rank")
+
+    def placed(some: DataFrame) -> DataFrame:
+        """Places of the rows in some blocks (a run of them), only their ranks being read."""
+        bounds = some.agg(F.min("block"), F.max("block")).first()
+        low, high = (None, None) if bounds[0] is None else block_ranks(*bounds)
+        return dense_position(_rank_between(queue, low, high), "inspection_rank", some, "display_rank")
+
     under = blocks.where((F.col("start") < first + query.page_size) & (end > first))
-    place = F.col("display_rank")
-    wanted = dense_position(queue, "inspection_rank", under, "display_rank").where(
-        place.between(first + 1, first + query.page_size)
+    inside = placed(under).where(place.between(first + 1, first + query.page_size))
+    page = inside.agg(F.min(rank), F.max(rank)).first()
+    # At most a page of rows: their order is one small window.
+    rows = _rank_between(filtered, *page).withColumn(
+        "display_rank", (F.row_number().over(Window.orderBy(rank)) + first).cast("bigint")
     )
-    rows = filtered.join(F.broadcast(wanted.select("work_id", "display_rank")), "work_id")  # one page of ids
 
     total = F.coalesce(F.sum("rows"), F.lit(0))
     counts = blocks.agg(
@@ -175,7 +196,7 @@ def works_page(
         F.coalesce(F.sum("flagged"), F.lit(0)).alias("_after")
     )
     split = blocks.crossJoin(quota).where((F.col("start") < F.col("quota_n")) & (end > F.col("quota_n")))
-    within = dense_position(queue, "inspection_rank", split, "display_rank").crossJoin(quota)
+    within = placed(split).crossJoin(quota)
     rest = within.agg(F.count_if(F.col("flagged") & (place > F.col("quota_n"))).alias("_rest"))
     meta = counts.crossJoin(F.broadcast(after)).crossJoin(F.broadcast(rest))  # single rows
     return rows, meta.withColumn("flagged_beyond_quota", F.col("_after") + F.col("_rest")).drop("_after", "_rest")
@@ -234,7 +255,8 @@ def works_facets(merged: DataFrame) -> DataFrame:
 
 
 def work_detail(merged: DataFrame, work_id: str, as_of: Column, context: DataFrame | None = None, watch: DataFrame | None = None) -> DataFrame:
-    """One work with its day counts and, when given, the duplicate candidates it belongs to."""
+    """One work with its day counts and, when given, the duplicate candidates it belongs to, a row for
+    each (``place`` 1 is the newest); a work in none is one row without them."""
     row = work_day_counts(merged.where(F.col("work_id") == work_id), as_of, watch)
     if context is None:
         return row

@@ -70,6 +70,11 @@ def position_blocks(df: DataFrame, dense: str, sums: dict[str, Column] | None =
     return counts.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)))
 
 
+def block_ranks(first: int, last: int) -> tuple[int, int]:
+    """The lowest and the highest rank of a run of blocks."""
+    return first * _BLOCK_ROWS + 1, (last + 1) * _BLOCK_ROWS
+
+
 def dense_position(df: DataFrame, dense: str, blocks: DataFrame, name: str) -> DataFrame:
     """Place of each row among those of ``df`` in the order of ``dense``, a rank it already has.
     Rows need not be sorted as a whole: a block holds at most as many rows as it has ranks. Only
@@ -108,7 +113,9 @@ def exact_quantiles(
 
     ``names`` maps an output column to 1, 2 or 3 quarters; 2 is the usual median. A mergeable
     sketch brackets each wanted position of a group larger than ``small`` rows, and only the
-    distinct values inside a bracket are sorted, so a group of any size costs a bounded window.
+    distinct values inside a bracket are sorted. A bracket of more than ``small`` rows is sketched
+    again, until it is smaller or holds a few values that repeat, so what is sorted does not grow
+    with the group.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
     margin = 4.0 / accuracy
@@ -118,10 +125,12 @@ def exact_quantiles(
         F.count("*").alias("_n"),
         F.percentile_approx(value, F.array(*[F.lit(e) for e in edges]), accuracy).alias("_edge"),
     )
+    # One row per key: written, so that it is broadcast when it is small and the rows of a large
+    # group need not be brought together.
+    sketch = written(sketch, "sketch")
+    if (sketch.agg(F.max("_n")).first()[0] or 0) * 2 * margin > small:
+        sketch = _narrowed(rows, sketch, keys, value, spots, accuracy, small)
     if keys:
-        # One row per key: written, so that it is broadcast when it is small and the rows of a
-        # large group need not be brought together.
-        sketch = written(sketch, "sketch")
         same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
         joined = rows.alias("r").join(sketch.alias("s"), on=same).drop(*[F.col(f"s.{k}") for k in keys])
     else:
@@ -178,6 +187,50 @@ def exact_quantiles(
     return picked.select(*keys, *out)
 
 
+_GRID = 64  # values that a bracket is cut at
+
+
+def _narrowed(
+    rows: DataFrame, sketch: DataFrame, keys: Sequence[str], value: str, spots: Sequence[int], accuracy: int, small: int
+) -> DataFrame:
+    """``sketch`` with brackets (``_edge``) of at most ``small`` rows, or as narrow as repeated values let
+    them be. Each round counts the rows below and inside every bracket and takes 65 quantiles of the
+    inside; the two around the wanted position, and one more on either side, are the next bracket."""
+    grid = F.array(*[F.lit(k / _GRID) for k in range(_GRID + 1)])
+    v = F.col(value)
+    while True:
+        if keys:
+            same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+            met = rows.alias("r").join(sketch.alias("s"), on=same).drop(*[F.col(f"s.{k}") for k in keys])
+        else:
+            met = rows.crossJoin(F.broadcast(sketch))  # a single row
+        counts = [F.first("_n").alias("_n"), F.first("_edge").alias("_edge")]
+        for i, q in enumerate(spots):
+            inside = v.between(F.col("_edge")[2 * i], F.col("_edge")[2 * i + 1])
+            counts += [
+                F.count_if(v < F.col("_edge")[2 * i]).alias(f"_below{q}"),
+                F.count_if(inside).alias(f"_inside{q}"),
+                F.percentile_approx(F.when(inside, v), grid, max(accuracy, 4 * _GRID)).alias(f"_grid{q}"),
+            ]
+        counted = met.groupBy(*keys).agg(*counts)
+        edges = []
+        for i, q in enumerate(spots):
+            at = (_position(q, F.col("_n")) - F.col(f"_below{q}")) / F.greatest(F.col(f"_inside{q}"), F.lit(1)) * _GRID
+            low = F.greatest(F.floor(at) - 1, F.lit(0)).cast("int")
+            high = F.least(F.ceil(at) + 2, F.lit(_GRID)).cast("int")
+            wide = F.col(f"_inside{q}") > small
+            edges += [
+                F.when(wide, F.col(f"_grid{q}")[low]).otherwise(F.col("_edge")[2 * i]),
+                F.when(wide, F.col(f"_grid{q}")[high]).otherwise(F.col("_edge")[2 * i + 1]),
+            ]
+        known = counted.select(*keys, "_n", F.array(*edges).alias("_next"), "_edge")
+        known = written(known, "sketch")
+        moved = known.where(F.col("_next") != F.col("_edge"))
+        sketch = known.select(*keys, "_n", F.col("_next").alias("_edge"))
+        if moved.isEmpty():
+            return sketch
+
+
 def _position(quarter: int, n: Column) -> Column:
     at = F.floor(quarter * (n + 1) / 4)
     return F.greatest(F.lit(1), F.least(at, n - 1)).cast("bigint")

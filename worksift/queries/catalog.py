@@ -69,7 +69,7 @@ def scored(spark, sf_dir):
 
 @stored
 def merged(spark, sf_dir):
-    return written(serve.works_merged(works(spark, sf_dir), scored(spark, sf_dir)), "merged")
+    return serve.works_stored(serve.works_merged(works(spark, sf_dir), scored(spark, sf_dir)))
 
 
 @stored
@@ -377,7 +377,7 @@ def latest_snapshot_select(spark, sf_dir):
 
 @query
 def snapshot_write(spark, sf_dir):
-    """All snapshot tables written, then read back and counted."""
+    """All snapshot tables, duplicates among them, written, then counted through the manifest only."""
     facts, nodes, edge_rows, edges = graph(spark, sf_dir)
     tables = {
         "works": works(spark, sf_dir),
@@ -386,30 +386,31 @@ def snapshot_write(spark, sf_dir):
         "edges": edges,
         "edge_works": edge_rows,
         "alias_candidates": aliases.alias_candidates(given.alias_works(spark, sf_dir)),
+        "duplicate_groups": textdup.text_groups(texts(spark, sf_dir, "source", "lang")),
+        "duplicate_batches": _all_batches(spark, sf_dir),
+        "duplicate_pairs": near(spark, sf_dir, "source").unionByName(district_near(spark, sf_dir)),
     }
     folder = f"{run_dir(spark)}/served-{sf_dir.strip('/').replace('/', '_')}"
-    snapshot.snapshot_write(tables, folder, "20260904T101500Z")
-    counts = [
-        spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("rows")) for name in tables
-    ]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    snapshot.snapshot_write(tables, folder, "20260904T101500Z", generated_at="20260904T101500Z", source="given tables", source_rung=3)
+    return snapshot.snapshot_counts(*snapshot.snapshot_open(spark, folder))
 
 
 @query
 def input_receipts(spark, sf_dir):
+    """Receipts of four inputs, and what changed since a capture that had completed works only."""
     parsed = parsed_tiles(spark, sf_dir)[1]
-    receipts = snapshot.input_receipts(
-        [
-            ("works_sanctioned", parsed["sanctioned"].drop("_recommendation_supplied", "_sanction_supplied"), True, None),
-            ("works_completed", parsed["completed"].drop("position"), True, None),
-            ("expenditure_events", parsed["payments"], False, "salvaged"),
-            ("works", works(spark, sf_dir).withColumn("source_rung", F.lit(5)), True, None),
-        ]
+    sanctioned = parsed["sanctioned"].drop("_recommendation_supplied", "_sanction_supplied")
+    completed = ("works_completed", parsed["completed"].drop("position"), True, None)
+    served = works(spark, sf_dir).withColumn("source_rung", F.lit(5))
+    now = snapshot.input_receipts(
+        [("works_sanctioned", sanctioned, True, None), completed, ("expenditure_events", parsed["payments"], False, "salvaged"), ("works", served, True, None)],
+        "cached_tiles",
+    )
+    last = snapshot.input_receipts(
+        [("works_sanctioned", sanctioned.drop("tenure"), True, None), completed, ("works", served.where("completion_status = 'Completed'"), True, None)]
     )
-    return receipts.select("input", "complete", "note", "rows", "is_demo", "config_sha256")
+    now = written(now, "receipts")
+    return now.join(snapshot.receipt_changes(now, last), "input").withColumn("differs", F.array_join("differs", ","))
 
 
 # -- peer groups and detectors ----------------------------------------------------------------
@@ -512,7 +513,7 @@ def local_outlier_factor(spark, sf_dir):
 
 @query
 def ensemble_score(spark, sf_dir):
-    return ensemble.ensemble_score(works(spark, sf_dir), as_of())
+    return ensemble.ensemble_score(works(spark, sf_dir), as_of()).select(*ensemble.POINT, rounded("ensemble"))
 
 
 @query
@@ -558,6 +559,19 @@ def rank_stability(spark, sf_dir):
     return out.select(rounded("spearman"), rounded("jaccard_top_k"))
 
 
+# Forests of two seeds, compared at three sizes.
+SEEDS, TREES = (42, 99), (25, 50, 100)
+
+
+@query
+def forest_stability(spark, sf_dir):
+    """Agreement of two forests over all works, by the number of their trees."""
+    runs = scores.run_scores(works(spark, sf_dir), as_of(), SEEDS, TREES)
+    out = scores.forest_stability(runs, [(k, k + len(TREES)) for k in range(len(TREES))], 1000)
+    trees = F.element_at(F.array(*[F.lit(t) for t in TREES]), F.col("run_a") + 1)
+    return out.select(trees.alias("trees"), rounded("spearman"), rounded("jaccard_top_k"))
+
+
 # -- fund flow --------------------------------------------------------------------------------
 
 
@@ -682,12 +696,19 @@ def text_group_summary(spark, sf_dir):
     rows = texts(spark, sf_dir, "source", "lang")
     out = textdup.text_group_summary(rows, "constituency").unionByName(textdup.text_group_summary(rows, "authority"))
     return out.select(
-        "scope_kind", "scope", "fingerprint", "text", "activity", joined("constituencies"), joined("agencies"), "work_count",
+        "scope_kind", "scope", "fingerprint", "text", "activity", "constituencies_count", "agencies_count", "work_count",
         "amount_min_inr", "amount_max_inr", "amount_total_inr", text("sanction_date_first"), text("sanction_date_last"),
         F.array_join(F.transform(F.map_entries("statuses"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("statuses"),
     )
 
 
+@query
+def text_group_names(spark, sf_dir):
+    rows = texts(spark, sf_dir, "source", "lang")
+    out = textdup.text_group_names(rows, "constituency").unionByName(textdup.text_group_names(rows, "authority"))
+    return out.select("scope_kind", "scope", "fingerprint", "list", "part", joined("names"))
+
+
 @query
 def identical_batches(spark, sf_dir):
     return textdup.identical_batches(texts(spark, sf_dir, "source", "lang"))
@@ -896,24 +917,60 @@ def candidate_page(spark, sf_dir):
     )
 
 
+@stored
+def served_candidates(spark, sf_dir):
+    """Identical batches and judged pairs as one candidate table with reviews resolved, and the works of each."""
+    batches, judged_rows = _stored_candidates(spark, sf_dir)[0], from_judge(spark, sf_dir)
+    summary = summaries(spark, sf_dir).select("scope", F.col("fingerprint").alias("fingerprint_a"), "text")
+    columns = ["finder", "scope", "fingerprint_a", "fingerprint_b", "threshold_crossing_batch", "text"]
+    rows = (
+        batches.join(summary, ["scope", "fingerprint_a"]).select(*columns)
+        .unionByName(judged_rows.select(*columns, "text_b", "quote_a", "quote_b", "work_relation"), allowMissingColumns=True)
+    )
+    numbered = written(global_rank(rows, [F.col(c) for c in columns[:4]], "candidate_id"), "candidates")
+    members = judged.group_works(numbered, texts(spark, sf_dir, "source", "lang"))
+    works_of = written(numbered.select("candidate_id", *judged.ITEM_KEY).join(members, judged.ITEM_KEY).select("candidate_id", "work_id"), "candidate_works")
+    return ledger.review_resolve(numbered, review_tables(spark, sf_dir)[1]), works_of
+
+
+CONTEXT = ("candidate_id", "finder", "threshold_crossing_batch", "text", "text_b", "quote_a", "quote_b", "work_relation", "status", "work_count", "other_work_count", "place")
+
+
 @query
 def duplicate_context(spark, sf_dir):
-    """Documents in the identical batches they belong to."""
-    existing, _ = _stored_candidates(spark, sf_dir)
-    rows = texts(spark, sf_dir, "source", "lang")
-    members = existing.select("candidate_id", "scope", F.col("fingerprint_a").alias("fingerprint")).join(
-        rows.select(F.col("constituency").alias("scope"), "fingerprint", "work_id"), ["scope", "fingerprint"]
-    )
-    summary = summaries(spark, sf_dir).select("scope", F.col("fingerprint").alias("fingerprint_a"), "text")
-    resolved = existing.join(summary, ["scope", "fingerprint_a"]).withColumn("current_status", F.lit("pending"))
-    out = ledger.duplicate_context(members.select("candidate_id", "work_id"), resolved)
-    return out.select("work_id", "candidate_id", "finder", "threshold_crossing_batch", "status", "work_count", "other_work_count")
+    """Documents in the batches and judged pairs they belong to."""
+    resolved, members = served_candidates(spark, sf_dir)
+    return ledger.duplicate_context(members, resolved).select("work_id", *CONTEXT)
+
+
+def _detail_work(spark, sf_dir) -> str:
+    """The first work, by number, of a judged pair."""
+    resolved, members = served_candidates(spark, sf_dir)
+    pairs = members.join(resolved.where(F.col("finder") == config.JUDGED_FINDER), "candidate_id")
+    known = pairs.join(works(spark, sf_dir).select("work_id"), "work_id")
+    return str(known.agg(F.coalesce(F.min(F.col("work_id").cast("bigint")), F.lit(42))).first()[0])
+
+
+@query
+def other_works(spark, sf_dir):
+    """What shares a candidate with the work of ``work_detail``."""
+    asked = spark.createDataFrame([(_detail_work(spark, sf_dir),)], "work_id string")
+    return ledger.other_works(ledger.candidate_members(served_candidates(spark, sf_dir)[1]), asked)
 
 
 @query
 def outcome_accept(spark, sf_dir):
-    """Events of the first ten days are the ledger, all events after them the batch."""
-    events = outcome_events(spark, sf_dir)
+    """Events of the first ten days are the ledger, all events after them the batch. One in three
+    amends the event 150 before it, which is of the same work and mostly an amendment itself, so that
+    chains run through batch and ledger; others amend what is amended already, or another work's event."""
+    event = F.col("outcome_id")
+    amends = (
+        F.when((event % 3 == 0) & (event % 13 == 2), event - 300)
+        .when(event % 3 == 0, event - 150)
+        .when(event % 11 == 5, event - 149)
+        .when(event % 7 == 0, event - 50)
+    )
+    events = outcome_events(spark, sf_dir).withColumn("supersedes", F.when(amends >= 0, amends))
     early = F.col("inspected_on") < "2024-01-11"
     out = ledger.outcome_accept(
         events.where(early).drop("outcome", "in_control_sample", "position"),
@@ -1026,8 +1083,12 @@ def works_facets(spark, sf_dir):
 
 @query
 def work_detail(spark, sf_dir):
-    out = serve.work_detail(merged(spark, sf_dir), "42", as_of(), watch=watch_list(spark, sf_dir))
-    return _row(out, "days_to_sanction", "days_since_sanction", "early_warning")
+    """A work with its candidates, newest first."""
+    resolved, members = served_candidates(spark, sf_dir)
+    wanted = _detail_work(spark, sf_dir)
+    context = ledger.duplicate_context(members, resolved, works(spark, sf_dir).where(F.col("work_id") == wanted))
+    out = serve.work_detail(merged(spark, sf_dir), wanted, as_of(), context, watch_list(spark, sf_dir))
+    return _row(out, "days_to_sanction", "days_since_sanction", "early_warning", *CONTEXT)
 
 
 @query
@@ -1134,6 +1195,22 @@ def delay_model(spark, sf_dir):
     return delay.delay_model(planted(spark, sf_dir), as_of())
 
 
+@query
+def delay_gradient(spark, sf_dir):
+    """Sums of the training columns of ``delay_model``, one-hot ones too, and the loss's slope at its weights."""
+    out = delay.delay_gradient(planted(spark, sf_dir), as_of())
+    zero = F.lit(0.0)
+    return out.select("feature", *[(F.round(c, digits) + zero).alias(c) for c, digits in (("total", 4), ("squares", 4), ("positives", 4), ("gradient", 5))])
+
+
+@query
+def delay_watch_ranked(spark, sf_dir):
+    """The watch list of a stand-in score: the share of the amount already spent, in whole percent."""
+    share = F.coalesce(F.round(F.col("expenditure_amount_inr") / F.col("sanctioned_amount_inr") * 100, 0), F.lit(0.0))
+    counts, watch = delay.watch_list(delay.young_works(works(spark, sf_dir), as_of()).select("work_id", share.alias("score")))
+    return watch.crossJoin(F.broadcast(counts))  # one row
+
+
 @query
 def delay_metrics(spark, sf_dir):
     """A stand-in score in whole percent: the share of the amount already spent."""
@@ -1151,7 +1228,8 @@ def delay_watch(spark, sf_dir):
 def delay_artifact(spark, sf_dir):
     """Labels that follow nothing: the model must not ship."""
     out = delay.delay_watch(works(spark, sf_dir), as_of())[0]
-    return out.select("status", "scored_n", "watch_n")
+    dates = [text(f"cohort_{d}") for d in ("start", "cutoff", "end")]
+    return out.select("status", "scored_n", "watch_n", "model_version", text("data_as_of"), *dates, "train_n", "test_n", joined("numeric"), joined("categorical"))
 
 
 @query

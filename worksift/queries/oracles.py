@@ -6,6 +6,8 @@ word, threshold or name there does not agree with itself.
 
 from __future__ import annotations
 
+import json
+
 ORACLES: dict[str, str] = {}
 
 DAY = "DATE '2001-09-01'"
@@ -70,7 +72,8 @@ def sql(body: str, *needs: str) -> str:
         add(name)
     if not ordered:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in ordered) + "\n" + body
+    again = any(f"FROM {n} " in CTES[n][0] for n in ordered)
+    return ("WITH RECURSIVE " if again else "WITH ") + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in ordered) + "\n" + body
 
 
 def oracle(name: str, body: str, *needs: str) -> None:
@@ -382,13 +385,54 @@ oracle(
     "graph_rebuild_needed",
     "SELECT * FROM (VALUES (FALSE, 'current'), (TRUE, 'no_authority'), (TRUE, 'no_work_ids')) t(rebuild_needed, graph)",
 )
+
+
+def receipt(name: str, complete: str, note: str, demo: str, columns: dict[str, tuple[str, str]], source: str) -> str:
+    """A receipt: rows as text, columns by name, summed by the first 15 hex digits of their md5."""
+    parts = []
+    for column, (value, kind) in sorted(columns.items()):
+        shown = f"printf('%.6f', {value})" if kind == "double" else f"CAST({value} AS VARCHAR)"
+        parts.append(f"coalesce(strlen({shown}) || ':' || {shown}, '-')")
+    layout = json.dumps({c: k for c, (_, k) in columns.items()}, sort_keys=True, separators=(",", ":"))
+    return f"""SELECT {q(name)} AS input, {complete} AS complete, {note} AS note, COUNT(*) AS rows, SUM(length(r))::BIGINT AS chars,
+  CAST(SUM(CAST('0x' || md5(r)[1:15] AS BIGINT)) AS VARCHAR) AS checksum, {demo} AS is_demo, sha256({q(layout)}) AS schema_sha256 FROM (SELECT {" || ".join(parts)} AS r FROM {source})"""
+
+
+def as_is(kinds: str, **others: tuple[str, str]) -> dict[str, tuple[str, str]]:
+    return {c: (c, k) for c, k in (x.split(":") for x in kinds.split())} | others
+
+
+WORKS_LAYOUT = as_is(
+    "work_id:string state:string constituency:string mp_name:string implementing_district_authority:string implementing_agency:string vendor_id:string "
+    "vendor_name:string work_category:string recommendation_date:date sanctioned_amount_inr:double expenditure_amount_inr:double sanction_date:date "
+    "completion_status:string last_updated:date",
+    tenure=("'2024-2029'", "string"), work_description=("NULL", "string"), activity_name=("NULL", "string"), work_stage=("NULL", "string"),
+    completion_date=("NULL", "date"), has_public_document=("NULL", "boolean"), source_rung=("5", "int"),
+)
+SANCTIONED_LAYOUT = as_is(
+    "work_id:string state:string constituency:string mp_name:string tenure:string implementing_district_authority:string work_category:string "
+    "work_description:string activity_name:string recommendation_date:date work_stage:string has_public_document:boolean sanctioned_amount_inr:double sanction_date:date"
+)
+PAYMENT_LAYOUT = as_is("work_id:string vendor_name:string vendor_id:string implementing_agency:string paid_on:date settled:boolean amount_inr:double")
+# Fixed value: the declared tables of a snapshot.
+DECLARED = {
+    "works": {c: k for c, (_, k) in WORKS_LAYOUT.items()},
+    "scored": {"work_id": "string", "inspection_rank": "bigint", "risk_score": "double", "flags": "array<string>", "why_flagged": "map<string,string>", "peer_group": "struct<label:string,n:bigint>"},
+    "nodes": {"id": "string", "type": "string", "label": "string", "risk_weight": "double"},
+    "edges": {"source": "string", "target": "string", "work_count": "bigint", "total_amount_inr": "double", "flagged_work_count": "bigint"},
+}
 oracle(
     "input_receipts",
-    f"""SELECT *, {q(CONFIG_SHA256)} AS config_sha256 FROM (
-SELECT 'works_sanctioned' AS input, TRUE AS complete, CAST(NULL AS VARCHAR) AS note, COUNT(*) AS rows, FALSE AS is_demo FROM orders
-UNION ALL SELECT 'works_completed', TRUE, NULL, COUNT(*), FALSE FROM orders WHERE o_orderstatus = 'F'
-UNION ALL SELECT 'expenditure_events', FALSE, 'salvaged', COUNT(*), FALSE FROM lineitem
-UNION ALL SELECT 'works', TRUE, NULL, COUNT(*), TRUE FROM orders)""",
+    f"""SELECT *, sha256({q(json.dumps(DECLARED, sort_keys=True, separators=(",", ":")))}) AS contract_sha256, {q(CONFIG_SHA256)} AS config_sha256, 'cached_tiles' AS acquisition_mode,
+  CASE input WHEN 'expenditure_events' THEN 'new' WHEN 'works_completed' THEN 'same' ELSE 'changed' END AS change,
+  CASE input WHEN 'works_sanctioned' THEN 'layout,content' WHEN 'works' THEN 'rows,content' ELSE '' END AS differs FROM (
+{receipt('works_sanctioned', 'TRUE', 'CAST(NULL AS VARCHAR)', 'FALSE', SANCTIONED_LAYOUT, 'parsed')}
+UNION ALL {receipt('works_completed', 'TRUE', 'NULL', 'FALSE', dict(work_id=('CAST(o_orderkey AS VARCHAR)', 'string'), completion_date=('CAST(ordered + 90 AS DATE)', 'date')), "spine WHERE o_orderstatus = 'F'")}
+UNION ALL {receipt('expenditure_events', 'FALSE', "'salvaged'", 'FALSE', PAYMENT_LAYOUT, 'events_paid')}
+UNION ALL {receipt('works', 'TRUE', 'NULL', 'TRUE', WORKS_LAYOUT, 'works')})""",
+    "parsed",
+    "events_paid",
+    "works",
 )
 
 # -- peer groups and detectors ----------------------------------------------------------------
@@ -440,8 +484,8 @@ def whole(x: str, width: int) -> str:
 
 
 multiple = "CASE WHEN sanctioned_amount_inr / median_cost >= 100 THEN printf('%.0f', sanctioned_amount_inr / median_cost) ELSE printf('%.1f', sanctioned_amount_inr / median_cost) END"
-oracle(
-    "why_flagged",
+cte(
+    "sentences",
     f"""SELECT work_id, 'cost_outlier' AS flag, CASE cost_variant WHEN 'default' THEN concat('Cost is ', {multiple}, 'x the median for ', {cut}, ' works in this state.')
   ELSE concat('Cost is above the usual range for ', {cut}, ' works here.') END AS sentence FROM flagged WHERE cost_variant IS NOT NULL
 UNION ALL SELECT work_id, 'stalled_work', CASE stall_variant WHEN 'zero_spend' THEN concat('Sanctioned ', {whole('months', 3)}, ' months ago, zero expenditure recorded.')
@@ -453,6 +497,7 @@ UNION ALL SELECT work_id, 'agency_concentration', CASE gated_conc WHEN 'mps' THE
   ELSE concat('Vendor appears in ', {whole('conc_districts', 3)}, ' districts this year.') END FROM flagged WHERE gated_conc IS NOT NULL""",
     "flagged",
 )
+oracle("why_flagged", "SELECT * FROM sentences", "sentences")
 
 # -- score and rank ---------------------------------------------------------------------------
 
@@ -473,6 +518,54 @@ oracle(
     "SELECT work_id, ROUND(fa, 6) AS f_sanctioned, ROUND(fb, 6) AS f_spent, ROUND(fc, 6) AS f_ratio, ROUND(fd, 6) AS f_months FROM scaled",
     "scaled",
 )
+# The forest. A tree's sample are the works with its smallest draws; a node's two
+# draws choose a feature that varies in it and the place of the cut.
+FOREST_SAMPLE, FOREST_HEIGHT, EULER = 256, 8, 0.5772156649015329
+_node_md5 = "md5(concat(seed, ':', tree, ':', node))"
+_varies = "list_filter([1, 2, 3, 4], lambda i: h[i] > l[i])"
+_axis = f"CASE WHEN level < {FOREST_HEIGHT} AND len({_varies}) > 0 THEN ({_varies})[1 + CAST('0x' || {_node_md5}[1:8] AS BIGINT) % len({_varies})] END"
+_place = f"(l[axis] + (h[axis] - l[axis]) * (CAST('0x' || {_node_md5}[9:16] AS BIGINT) / 4294967296.0))"
+_cut = f"CASE WHEN {_place} >= h[axis] THEN l[axis] ELSE {_place} END"
+_depth = f"level + CASE WHEN n <= 1 THEN 0 WHEN n = 2 THEN 1 ELSE 2 * (ln(n - 1) + {EULER}) - 2.0 * (n - 1) / n END"
+NORMAL = f"(2 * (ln({FOREST_SAMPLE} - 1) + {EULER}) - 2.0 * ({FOREST_SAMPLE} - 1) / {FOREST_SAMPLE})"
+
+
+def forest_ctes(name: str, seeds: tuple[int, ...], trees: int) -> None:
+    """``<name>_paths``: the depth at which each point ends in each tree."""
+    cte(
+        f"{name}_sample",
+        f"""SELECT seed, tree, f FROM (
+    SELECT work_id, f, seed, tree, (a + ((seed * 65537 + tree) % 16777216) * b) % 4294967296 AS pick FROM (
+      SELECT work_id, [ROUND(fa, 9), ROUND(fb, 9), ROUND(fc, 9), ROUND(fd, 9)] AS f, CAST('0x' || md5(work_id)[1:8] AS BIGINT) AS a, CAST('0x' || md5(work_id)[9:16] AS BIGINT) | 1 AS b FROM scaled),
+    (SELECT unnest([{", ".join(map(str, seeds))}]) AS seed), (SELECT unnest(range({trees})) AS tree))
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY seed, tree ORDER BY pick, work_id) <= {FOREST_SAMPLE}""",
+        "scaled",
+    )
+    cte(
+        f"{name}_grown",
+        f"""SELECT seed, tree, f, 0 AS node, 0 AS level FROM {name}_sample
+  UNION ALL
+  SELECT seed, tree, f, 2 * node + CASE WHEN f[axis] <= {_cut} THEN 1 ELSE 2 END, level + 1 FROM (
+    SELECT *, {_axis} AS axis FROM (
+      SELECT *, [MIN(f[1]) OVER w, MIN(f[2]) OVER w, MIN(f[3]) OVER w, MIN(f[4]) OVER w] AS l, [MAX(f[1]) OVER w, MAX(f[2]) OVER w, MAX(f[3]) OVER w, MAX(f[4]) OVER w] AS h
+      FROM {name}_grown WINDOW w AS (PARTITION BY seed, tree, node)))
+  WHERE axis IS NOT NULL""",
+        f"{name}_sample",
+    )
+    cte(
+        f"{name}_nodes",
+        f"""SELECT seed, tree, node, axis, {_cut} AS cut, {_depth} AS depth FROM (SELECT *, {_axis} AS axis FROM (
+    SELECT seed, tree, node, level, COUNT(*) AS n, [MIN(f[1]), MIN(f[2]), MIN(f[3]), MIN(f[4])] AS l, [MAX(f[1]), MAX(f[2]), MAX(f[3]), MAX(f[4])] AS h
+    FROM {name}_grown GROUP BY seed, tree, node, level))""",
+        f"{name}_grown",
+    )
+    walk = f"""SELECT p, [ROUND(fa, 9), ROUND(fb, 9), ROUND(fc, 9), ROUND(fd, 9)] AS f, seed, tree, 0 AS node FROM points, (SELECT DISTINCT seed, tree FROM {name}_nodes)"""
+    for _ in range(FOREST_HEIGHT):
+        walk = f"""SELECT p, f, seed, tree, CASE WHEN axis IS NULL THEN node WHEN f[axis] > cut THEN 2 * node + 2 ELSE 2 * node + 1 END AS node
+FROM ({walk}) JOIN {name}_nodes USING (seed, tree, node)"""
+    cte(f"{name}_paths", f"SELECT p, seed, tree, depth FROM ({walk}) JOIN {name}_nodes USING (seed, tree, node)", f"{name}_nodes", "points")
+
+
 # Neighbours of one representative of each pile of equal works; its twins come first, at 0.
 cte("points", "SELECT s, e, m, any_value(fa) AS fa, any_value(fb) AS fb, any_value(fc) AS fc, any_value(fd) AS fd, COUNT(*) AS weight, ROW_NUMBER() OVER (ORDER BY s, e, m) AS p FROM scaled GROUP BY s, e, m", "scaled")
 cte(
@@ -533,6 +626,48 @@ oracle(
     "run_ranks",
 )
 
+forest_ctes("forest", (42,), 200)
+cte("isolation", f"SELECT p, pow(2.0, -SUM(depth) / 200 / {NORMAL}) AS isolation FROM forest_paths GROUP BY p", "forest_paths")
+oracle(
+    "isolation_forest",
+    "SELECT s AS point_sanctioned, e AS point_spent, m AS point_months, weight, ROUND(isolation, 6) AS isolation FROM points JOIN isolation USING (p)",
+    "isolation",
+)
+
+
+def unit(x: str) -> str:
+    return f"CASE WHEN MAX({x}) OVER () - MIN({x}) OVER () < 1e-12 THEN 0.0 ELSE ({x} - MIN({x}) OVER ()) / (MAX({x}) OVER () - MIN({x}) OVER ()) END"
+
+
+cte("ensemble", f"SELECT s, e, m, ({unit('isolation')} + {unit('f')}) / 2 AS ensemble FROM points JOIN isolation USING (p) JOIN factor USING (p)", "isolation", "factor")
+oracle("ensemble_score", "SELECT s AS point_sanctioned, e AS point_spent, m AS point_months, ROUND(ensemble, 6) AS ensemble FROM ensemble", "ensemble")
+oracle(
+    "score_all",
+    """SELECT work_id, ROW_NUMBER() OVER (ORDER BY score DESC, work_id) AS inspection_rank, score AS risk_score, array_to_string(flags, ',') AS flags, concat('{', coalesce(why, ''), '}') AS why_flagged,
+  CASE WHEN len(flags) > 0 THEN concat('{"label":"', peer_label, '","n":', peer_n, '}') END AS peer_group
+FROM (SELECT f.*, ROUND(least(100.0, least(80, points) + 20 * greatest(0.0, least(1.0, ensemble))), 2) AS score FROM flagged f JOIN raw_features r USING (work_id) JOIN ensemble x ON x.s = r.s AND x.e = r.e AND x.m = r.m)
+LEFT JOIN (SELECT work_id, string_agg(concat('"', flag, '":"', sentence, '"'), ',' ORDER BY list_position(flags, flag)) AS why FROM sentences JOIN flagged USING (work_id) GROUP BY 1) USING (work_id)""",
+    "flagged",
+    "ensemble",
+    "sentences",
+)
+forest_ctes("trial", (42, 99), 100)
+cte(
+    "trial_runs",
+    f"""SELECT size, seed, work_id, score, RANK() OVER (PARTITION BY size, seed ORDER BY score) + (COUNT(*) OVER (PARTITION BY size, seed, score) - 1) / 2.0 AS place,
+  ROW_NUMBER() OVER (PARTITION BY size, seed ORDER BY score DESC, work_id) <= 1000 AS top FROM (
+  SELECT p, seed, size, ROUND(pow(2.0, -SUM(depth) / size / {NORMAL}), 9) AS score FROM trial_paths, (SELECT unnest([25, 50, 100]) AS size) WHERE tree < size GROUP BY p, seed, size)
+JOIN points USING (p) JOIN raw_features USING (s, e, m)""",
+    "trial_paths",
+    "raw_features",
+)
+oracle(
+    "forest_stability",
+    """SELECT size AS trees, ROUND(corr(a.place, b.place), 6) AS spearman, ROUND(COUNT(*) FILTER (a.top AND b.top) / CAST(COUNT(*) FILTER (a.top OR b.top) AS DOUBLE), 6) AS jaccard_top_k
+FROM (SELECT * FROM trial_runs WHERE seed = 42) a JOIN (SELECT * FROM trial_runs WHERE seed = 99) b USING (size, work_id) GROUP BY size""",
+    "trial_runs",
+)
+
 # -- fund flow --------------------------------------------------------------------------------
 
 SLUG = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', '_', 'g'), '_')"
@@ -702,15 +837,6 @@ UNION ALL SELECT DISTINCT 'label', vendor_name, work_id FROM alias_works SEMI JO
     "alias_pairs",
     "alias_works",
 )
-oracle(
-    "snapshot_write",
-    """SELECT 'works' AS "table", COUNT(*) AS rows FROM works UNION ALL SELECT 'scored', COUNT(*) FROM works UNION ALL SELECT 'nodes', COUNT(*) FROM nodes
-UNION ALL SELECT 'edges', COUNT(*) FROM edges UNION ALL SELECT 'edge_works', COUNT(*) FROM edge_rows
-UNION ALL SELECT 'alias_candidates', COUNT(*) FROM alias_pairs WHERE names > 1 OR ids > 1""",
-    "nodes",
-    "edges",
-    "alias_pairs",
-)
 oracle(
     "contract_cross_checks",
     """SELECT "check", COUNT(*) AS findings, COUNT(DISTINCT subject) AS subjects FROM (
@@ -745,7 +871,7 @@ def summary(kind: str, scope: str) -> str:
     ) + ")"
     usual = lambda c: f"(SELECT {c} FROM described u WHERE u.{scope} = d.{scope} AND u.fingerprint = d.fingerprint GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 1)"
     return f"""SELECT {q(kind)} AS scope_kind, {scope} AS scope, fingerprint, {usual('text')} AS text, {usual('lang')} AS activity,
-  array_to_string(list_sort(list(DISTINCT source)), ',') AS constituencies, array_to_string(list_sort(list(DISTINCT agency)), ',') AS agencies, COUNT(*) AS work_count,
+  COUNT(DISTINCT source) AS constituencies_count, COUNT(DISTINCT agency) AS agencies_count, COUNT(*) AS work_count,
   ROUND(MIN(amount), 2) AS amount_min_inr, ROUND(MAX(amount), 2) AS amount_max_inr, {rupees('amount')} AS amount_total_inr,
   CAST(MIN(sanction_date) AS VARCHAR) AS sanction_date_first, CAST(MAX(sanction_date) AS VARCHAR) AS sanction_date_last, {statuses} AS statuses
 FROM described d GROUP BY {scope}, fingerprint"""
@@ -754,6 +880,17 @@ FROM described d GROUP BY {scope}, fingerprint"""
 cte("summaries", summary("constituency", "source"), "described")
 oracle("text_group_summary", f"SELECT * FROM summaries UNION ALL {summary('authority', 'lang')}", "summaries")
 
+oracle(
+    "text_group_names",
+    " UNION ALL ".join(
+        f"""SELECT {q(kind)} AS scope_kind, {scope} AS scope, fingerprint, {q(name)} AS list, 0 AS part, array_to_string(list_sort(list(DISTINCT {column})), ',') AS names
+FROM described WHERE {column} <> '' GROUP BY {scope}, fingerprint"""
+        for kind, scope in (("constituency", "source"), ("authority", "lang"))
+        for name, column in (("constituencies", "source"), ("agencies", "agency"))
+    ),
+    "described",
+)
+
 
 def batches(finder: str, kind: str, having: str) -> str:
     return f"""SELECT sha256(concat_ws('|', {q(FINDER_VERSION)}, {q(finder)}, scope, fingerprint))[1:16] AS candidate_id, {q(finder)} AS finder, scope, fingerprint, work_count,
@@ -871,6 +1008,19 @@ oracle(
     "referenced",
 )
 
+oracle(
+    "snapshot_write",
+    """SELECT *, TRUE AS complete FROM (SELECT 'works' AS "table", COUNT(*) AS rows FROM works UNION ALL SELECT 'scored', COUNT(*) FROM works UNION ALL SELECT 'nodes', COUNT(*) FROM nodes
+UNION ALL SELECT 'edges', COUNT(*) FROM edges UNION ALL SELECT 'edge_works', COUNT(*) FROM edge_rows
+UNION ALL SELECT 'alias_candidates', COUNT(*) FROM alias_pairs WHERE names > 1 OR ids > 1
+UNION ALL SELECT 'duplicate_groups', COUNT(*) FROM grouped_texts UNION ALL SELECT 'duplicate_batches', COUNT(*) FROM all_batches
+UNION ALL SELECT 'duplicate_pairs', (SELECT COUNT(*) FROM source_near) + (SELECT COUNT(*) FROM district_near))""",
+    "nodes",
+    "edges",
+    "alias_pairs",
+    "referenced",
+)
+
 # -- judged pairs -----------------------------------------------------------------------------
 
 LINE = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
@@ -989,23 +1139,91 @@ oracle(
 LEFT JOIN (SELECT o_orderkey % 500 AS c, COUNT(*) AS n FROM orders GROUP BY 1) ON c = candidate_id ORDER BY candidate_id LIMIT 10 OFFSET 10""",
     "reviews",
 )
-oracle(
-    "duplicate_context",
-    """SELECT d.work_id, i.candidate_id, i.finder, i.threshold_crossing_batch, 'pending' AS status, i.work_count, i.work_count - 1 AS other_work_count
-FROM (SELECT * EXCLUDE (candidate_id), ROW_NUMBER() OVER (ORDER BY scope, fingerprint) AS candidate_id FROM identical) i JOIN described d ON d.source = i.scope AND d.fingerprint = i.fingerprint""",
+cte(
+    "standing",
+    """SELECT candidate_id, arg_max(status, review_id) AS status FROM reviews r WHERE NOT EXISTS (SELECT 1 FROM reviews l WHERE l.supersedes = r.review_id) GROUP BY 1""",
+    "reviews",
+)
+cte(
+    "served",
+    f"""SELECT c.*, coalesce(s.status, 'pending') AS status FROM (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY finder, scope, fingerprint_a, fingerprint_b) AS candidate_id FROM (
+    SELECT 'identical_batch' AS finder, i.scope, i.fingerprint AS fingerprint_a, i.fingerprint AS fingerprint_b, threshold_crossing_batch, text, CAST(NULL AS VARCHAR) AS text_b,
+      CAST(NULL AS VARCHAR) AS quote_a, CAST(NULL AS VARCHAR) AS quote_b, CAST(NULL AS VARCHAR) AS work_relation FROM identical i JOIN summaries s ON s.scope = i.scope AND s.fingerprint = i.fingerprint
+    UNION ALL SELECT {q(JUDGED_FINDER)}, j.scope, fingerprint_a, fingerprint_b, FALSE, x.text, y.text, quote_a, quote_b, work_relation FROM from_judge j
+      JOIN summaries x ON x.scope = j.scope AND x.fingerprint = fingerprint_a JOIN summaries y ON y.scope = j.scope AND y.fingerprint = fingerprint_b)) c
+LEFT JOIN standing s USING (candidate_id)""",
     "identical",
+    "from_judge",
+    "standing",
+)
+cte(
+    "served_works",
+    """SELECT DISTINCT candidate_id, work_id FROM served s JOIN described d ON d.source = s.scope AND d.fingerprint IN (s.fingerprint_a, s.fingerprint_b)""",
+    "served",
+)
+cte(
+    "context",
+    """SELECT w.work_id, s.candidate_id, finder, threshold_crossing_batch, text, text_b, quote_a, quote_b, work_relation, status, n AS work_count, n - 1 AS other_work_count,
+  ROW_NUMBER() OVER (PARTITION BY w.work_id ORDER BY s.candidate_id DESC) AS place
+FROM served_works w JOIN served s USING (candidate_id) JOIN (SELECT candidate_id, COUNT(*) AS n FROM served_works GROUP BY 1) USING (candidate_id)""",
+    "served_works",
+)
+oracle("duplicate_context", "SELECT * FROM context", "context")
+cte(
+    "shown_work",
+    f"""SELECT CAST(coalesce(min(CAST(work_id AS BIGINT)), 42) AS VARCHAR) AS shown FROM served_works JOIN served USING (candidate_id) JOIN works USING (work_id) WHERE finder = {q(JUDGED_FINDER)}""",
+    "served_works",
+    "works",
+)
+oracle(
+    "other_works",
+    """SELECT shown AS work_id, m.candidate_id, m.work_id AS other_work_id, ROW_NUMBER() OVER (PARTITION BY m.candidate_id ORDER BY m.work_id) AS place
+FROM shown_work JOIN served_works o ON o.work_id = shown JOIN served_works m ON m.candidate_id = o.candidate_id AND m.work_id <> shown""",
+    "shown_work",
 )
 cte(
     "outcome_events",
     """SELECT event_id AS outcome_id, CAST(event_id % 50 AS VARCHAR) AS work_id, CAST(ts AS DATE) AS inspected_on, user_id AS inspector_id,
   CASE event_type WHEN 'view' THEN FALSE WHEN 'error' THEN NULL ELSE TRUE END AS issue, event_id % 3 = 0 AS in_control_sample FROM events""",
 )
+cte(
+    "requests",
+    """SELECT outcome_id AS id, work_id, inspected_on AS d, inspector_id AS who, CASE WHEN target >= 0 THEN target END AS sup,
+    CASE WHEN inspected_on < DATE '2024-01-11' THEN -1 ELSE outcome_id END AS pos,
+    CASE WHEN inspected_on < DATE '2024-01-11' THEN 'accepted' WHEN work_id = '13' THEN 'work_not_found' WHEN inspected_on > DATE '2024-01-29' THEN 'bad_date' END AS st
+  FROM (SELECT *, CASE WHEN outcome_id % 3 = 0 AND outcome_id % 13 = 2 THEN outcome_id - 300 WHEN outcome_id % 3 = 0 THEN outcome_id - 150
+    WHEN outcome_id % 11 = 5 THEN outcome_id - 149 WHEN outcome_id % 7 = 0 THEN outcome_id - 50 END AS target FROM outcome_events)""",
+    "outcome_events",
+)
+# One request after the other: a row is decided once every earlier row that it depends on is.
+cte(
+    "acceptance",
+    """SELECT 0 AS k, * FROM requests
+  UNION ALL
+  SELECT k + 1, id, work_id, d, who, sup, pos, CASE
+      WHEN st IS NOT NULL THEN st
+      WHEN sup IS NOT NULL AND (target_pos IS NULL OR target_pos >= pos OR target_work <> work_id OR coalesce(target_st, 'accepted') <> 'accepted') THEN 'invalid_supersedes'
+      WHEN sup IS NOT NULL AND target_st IS NULL THEN NULL
+      WHEN sup IS NOT NULL AND amended THEN 'already_superseded'
+      WHEN sup IS NOT NULL AND first_amends < pos THEN NULL
+      WHEN taken THEN 'duplicate_outcome'
+      WHEN first_of_triple < pos THEN NULL
+      ELSE 'accepted' END
+  FROM (
+    SELECT s.*, t.st AS target_st, t.pos AS target_pos, t.work_id AS target_work,
+      bool_or(coalesce(s.st = 'accepted', false)) OVER (PARTITION BY s.sup) AS amended, min(CASE WHEN s.st IS NULL THEN s.pos END) OVER (PARTITION BY s.sup) AS first_amends,
+      bool_or(coalesce(s.st = 'accepted', false)) OVER (PARTITION BY s.work_id, s.d, s.who) AS taken,
+      min(CASE WHEN s.st IS NULL THEN s.pos END) OVER (PARTITION BY s.work_id, s.d, s.who) AS first_of_triple,
+      count(*) FILTER (s.st IS NULL) OVER () AS waiting
+    FROM acceptance s LEFT JOIN acceptance t ON t.id = s.sup)
+  WHERE waiting > 0""",
+    "requests",
+)
 oracle(
     "outcome_accept",
-    """SELECT outcome_id, CASE WHEN work_id = '13' THEN 'work_not_found' WHEN inspected_on > DATE '2024-01-29' THEN 'bad_date'
-  WHEN ROW_NUMBER() OVER (PARTITION BY work_id, inspected_on, inspector_id ORDER BY outcome_id) > 1 THEN 'duplicate_outcome' ELSE 'accepted' END AS verdict
-FROM outcome_events WHERE inspected_on >= DATE '2024-01-11'""",
-    "outcome_events",
+    """SELECT id AS outcome_id, st AS verdict FROM acceptance WHERE pos >= 0 AND k = (SELECT max(k) FROM acceptance)""",
+    "acceptance",
 )
 oracle(
     "outcome_context",
@@ -1086,7 +1304,13 @@ oracle(
     f"SELECT work_id, {DAYS}, greatest(0, {DAY} - last_updated) AS days_stale, {WATCHED} AS early_warning FROM works",
     "works",
 )
-oracle("work_detail", f"SELECT {ROW}, {DAYS}, {WATCHED} AS early_warning FROM scored WHERE work_id = '42'", "scored")
+oracle(
+    "work_detail",
+    f"""SELECT w.*, c.* EXCLUDE (work_id) FROM (SELECT {ROW}, {DAYS}, {WATCHED} AS early_warning FROM scored JOIN shown_work ON shown = work_id) w LEFT JOIN context c USING (work_id)""",
+    "scored",
+    "context",
+    "shown_work",
+)
 facet = lambda name, value, detail="CAST(NULL AS VARCHAR)": f"SELECT '{name}' AS facet, {value} AS value, {detail} AS detail, COUNT(*) AS count FROM scored WHERE {UNDER} GROUP BY 2, 3"
 oracle(
     "works_facets",
@@ -1204,7 +1428,53 @@ oracle(
     / (CAST(MAX(pp) AS DOUBLE) / CAST(MAX(pp + nn) AS DOUBLE)), 3) AS lift_at_10 FROM metric_curve""",
     "metric_curve",
 )
-oracle("delay_artifact", "SELECT 'not_shipped' AS status, CAST(0 AS BIGINT) AS scored_n, CAST(0 AS BIGINT) AS watch_n")
+oracle(
+    "delay_artifact",
+    f"""SELECT 'not_shipped' AS status, CAST(0 AS BIGINT) AS scored_n, CAST(0 AS BIGINT) AS watch_n, 'delay_logistic_v1' AS model_version, CAST({DAY} AS VARCHAR) AS data_as_of,
+  CAST({START} AS VARCHAR) AS cohort_start, CAST({CUTOFF} AS VARCHAR) AS cohort_cutoff, CAST({END} AS VARCHAR) AS cohort_end, COUNT(*) FILTER (part = 'train') AS train_n,
+  COUNT(*) FILTER (part = 'test') AS test_n, 'log_sanctioned,agency_prior,sanction_month' AS numeric, 'work_category,state' AS categorical FROM cohort""",
+    "cohort",
+)
+oracle(
+    "delay_watch_ranked",
+    f"""SELECT work_id, score, place, scored_n, CAST(ceil(scored_n * 0.10) AS BIGINT) AS watch_n FROM (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY score DESC, work_id) AS place, COUNT(*) OVER () AS scored_n FROM (
+    SELECT work_id, coalesce(ROUND(expenditure_amount_inr / sanctioned_amount_inr * 100, 0), 0.0) AS score FROM works WHERE {UNDER} AND {DAY} - sanction_date BETWEEN 0 AND 365))
+WHERE place <= ceil(scored_n * 0.10)""",
+    "works",
+)
+cte(
+    "planted",
+    """SELECT *, CASE WHEN CASE WHEN CAST(work_id AS BIGINT) % 10 = 3 THEN number % 7 <> 0 ELSE number % 7 = 0 END THEN 1 ELSE 0 END AS y
+  FROM (SELECT *, CAST(regexp_extract(coalesce(implementing_agency, 'AG-0'), '(\\d+)', 1) AS INT) AS number FROM works)""",
+    "works",
+)
+cte("planted_rate", f"SELECT AVG(CAST(y AS DOUBLE)) AS rate FROM planted WHERE sanction_date < {CUTOFF}", "planted")
+cte(
+    "planted_prior",
+    f"""SELECT implementing_agency, (SUM(y) + 20 * any_value(rate)) / (COUNT(*) + 20) AS prior FROM planted, planted_rate WHERE sanction_date < {CUTOFF} AND implementing_agency IS NOT NULL GROUP BY 1""",
+    "planted_rate",
+)
+cte(
+    "planted_train",
+    f"""SELECT y, ln(1 + coalesce(sanctioned_amount_inr, 0)) AS log_sanctioned, coalesce(prior, rate) AS agency_prior, CAST(month(sanction_date) AS DOUBLE) AS sanction_month,
+  CASE WHEN COUNT(*) OVER (PARTITION BY work_category) < 30 THEN '(few)' ELSE work_category END AS work_category, CASE WHEN COUNT(*) OVER (PARTITION BY state) < 30 THEN '(few)' ELSE state END AS state
+FROM planted CROSS JOIN planted_rate LEFT JOIN planted_prior USING (implementing_agency) WHERE sanction_date >= {START} AND sanction_date < {CUTOFF}""",
+    "planted_prior",
+)
+numeric_sums = " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, SUM(x) AS total, SUM(x * x) AS squares, SUM(x * y) AS positives FROM (SELECT y, ({c} - AVG({c}) OVER ()) / (CASE WHEN STDDEV_POP({c}) OVER () > 0 THEN STDDEV_POP({c}) OVER () ELSE 1 END) AS x FROM planted_train)"""
+    for c in ("log_sanctioned", "agency_prior", "sanction_month")
+)
+category_sums = " UNION ALL ".join(
+    f"SELECT concat('{c}_', {c}), COUNT(*), COUNT(*), SUM(y) FROM planted_train GROUP BY {c} UNION ALL SELECT '{c}_(unseen)', 0, 0, 0" for c in ("work_category", "state")
+)
+oracle(
+    "delay_gradient",
+    f"""SELECT feature, ROUND(CAST(total AS DOUBLE), 4) + 0.0 AS total, ROUND(CAST(squares AS DOUBLE), 4) AS squares, ROUND(CAST(positives AS DOUBLE), 4) AS positives, 0.0::DOUBLE AS gradient FROM (
+{numeric_sums} UNION ALL {category_sums} UNION ALL SELECT '(intercept)', COUNT(*), COUNT(*), SUM(y) FROM planted_train)""",
+    "planted_train",
+)
 cte(
     "totals",
     f"""SELECT COUNT(*) AS works, COUNT(*) FILTER ({UNDER}) AS under_implementation, CAST(SUM(CAST(sanctioned_amount_inr AS DECIMAL(28,4))) AS DOUBLE) AS s,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,36 @@ WORKS_SCHEMA = {
 }
 
 
+# The other tables of a snapshot.
+SCORED_SCHEMA = {
+    "work_id": "string",
+    "inspection_rank": "bigint",
+    "risk_score": "double",
+    "flags": "array<string>",
+    "why_flagged": "map<string,string>",
+    "peer_group": "struct<label:string,n:bigint>",
+}
+NODE_SCHEMA = {"id": "string", "type": "string", "label": "string", "risk_weight": "double"}
+EDGE_SCHEMA = {
+    "source": "string",
+    "target": "string",
+    "work_count": "bigint",
+    "total_amount_inr": "double",
+    "flagged_work_count": "bigint",
+}
+CONTRACTS = {"works": WORKS_SCHEMA, "scored": SCORED_SCHEMA, "nodes": NODE_SCHEMA, "edges": EDGE_SCHEMA}
+
+
+def canonical_sha256(value: object) -> str:
+    """Hash of a value as JSON with sorted keys and no spaces: equal for equal values."""
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def contract_sha256() -> str:
+    """Hash of every declared table layout."""
+    return canonical_sha256(CONTRACTS)
+
+
 def normalize_project(raw: DataFrame, source_rung: int, today: Column | None = None) -> DataFrame:
     """The fixed projection: typed columns, absent ones null, spend defaulting to 0."""
     if not 1 <= source_rung <= 5:
