@@ -163,11 +163,32 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(moved)}
 
 
+# Fixed value: how byte-level pre-tokenizers cut a text.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def plain_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file does nothing but cut by the byte-level pattern and merge."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    steps = (spec.get("normalizer"), spec.get("truncation"), spec.get("padding"))
+    odd = [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")]
+    return (
+        model.get("type", "BPE") == "BPE"
+        and cut.get("type") == "ByteLevel"
+        and not cut.get("add_prefix_space")
+        and cut.get("use_regex", True)
+        and not any(steps)
+        and not any(odd)
+    )
+
+
 class Encoder:
     """Ids exactly as the tokenizers library gives them for a byte-level BPE file, several times
     faster: where the file's merges make its ids in rising order, merging by the least id is merging
     by the first rule, which the tiktoken library does on the same vocabulary. Files with other
-    merges, and texts that hold a special token's string, are left to the tokenizers library.
+    merges or any further step (a normaliser, another pre-tokenizer, dropout, ...), texts that hold
+    a special token's string, and texts whose runs of blanks are too long for the pattern's matcher are
+    left to the tokenizers library.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -181,7 +202,10 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            spec = json.load(file)
+        model = spec["model"]
+        if not plain_byte_level(spec) or pattern != BYTE_LEVEL_PATTERN:
+            return None
         of = byte_characters()
         ranks = {bytes(of[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in self.special}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -194,7 +218,10 @@ class Encoder:
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # the matcher backtracks over a run of blanks and has a bounded stack
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=2)
