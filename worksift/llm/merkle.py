@@ -258,8 +258,9 @@ def manifest(docs: DataFrame, tampered: Column | None = None, height: int = HEIG
     one range shuffle of digests ranks them, however many rows a language or an id has.
     """
     no_change = F.lit(False) if tampered is None else tampered
-    # Equal leaves are exchangeable; the last key only deals many of them over several ranges.
-    rows = leaves(docs, no_change).withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
+    # Written before they are sorted, as sampling a range reads its input once more. Equal leaves are
+    # exchangeable; the last key only deals many of them over several ranges.
+    rows = written(leaves(docs, no_change).withColumn("spread", F.xxhash64(F.monotonically_increasing_id())), "leaf-rows")
     order = [F.col(c).asc_nulls_first() for c in ("lang", "doc_id", "leaf", "spread")]
     ranked = written(global_rank(rows, order, "rank").drop("spread"), "leaves")
     langs = ranked.groupBy("lang").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
