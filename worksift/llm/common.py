@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -65,9 +65,26 @@ def whole_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit("")).alias(column)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and all other columns as one, so that no name of theirs can meet a name that
+    an operator works with. ``unpacked`` undoes it."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])
+    return docs.select("doc_id", "text", *([row.alias("row")] if rest else []))
+
+
+def unpacked(rows: DataFrame, like: DataFrame, made: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``packed`` with the columns of ``like``, which was packed, and then those of ``made``."""
+    rest = [c for c in like.columns if c not in ("doc_id", "text")]
+    of = {c: F.col(f"row.c{k}") for k, c in enumerate(rest)}
+    return rows.select(*[of[c].alias(c) if c in of else F.col(c) for c in like.columns], *made)
+
+
 def files_folder(spark: SparkSession, label: str) -> str:
-    """A folder for an operator's own files, below the shared folder of this run."""
-    return f"{run_dir(spark)}/{label}"
+    """A folder for an operator's own files, below the shared folder of this run, with the scheme and
+    host of the file system that Spark itself resolves it to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{run_dir(spark)}/{label}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -128,12 +145,23 @@ def _power(n: int) -> np.ndarray:
     return have
 
 
+# Schemes of Hadoop's connectors and the names of the same stores here.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfs", "abfss": "abfss", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs"}
+
+
+def store_uri(folder: str) -> str:
+    """A folder with a scheme as Spark writes it (``file:/x``, ``s3a://bucket/x``), as a URI of the store.
+    A path without a scheme is refused: Spark and a task could take it for different places."""
+    scheme, colon, rest = folder.partition(":")
+    if not colon or "/" in scheme:
+        raise ValueError(f"the folder has no scheme: {folder}")
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    return f"{_SCHEMES.get(scheme, scheme)}:{rest}"
+
+
 def open_files(folder: str):
-    """A file system for ``folder`` (a URI or a path), and the folder's path in it."""
+    """A file system for ``folder`` (as ``files_folder`` gives it), and the folder's path in it."""
     from pyarrow import fs
 
-    if folder.startswith("file:") and not folder.startswith("file://"):
-        folder = "file://" + folder[5:]
-    if "://" in folder:
-        return fs.FileSystem.from_uri(folder)
-    return fs.LocalFileSystem(), folder
+    return fs.FileSystem.from_uri(store_uri(folder))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worksift.llm.common import data, mix, partitions, slices, whole_text, words
+from worksift.llm.common import data, mix, packed, partitions, slices, unpacked, whole_text, words
 from worksift.llm.components import components
 from worksift.plans.storage import written
 
@@ -489,16 +489,18 @@ def _sets_of_unnamed(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, level: Level = AT_85) -> DataFrame:
-    """The rows of ``docs`` whose id is its group's smallest, with their columns. Rows that repeat
-    id and text stay once; texts that differ under one id are separate documents, as in ``groups``."""
+    """The rows of ``docs`` whose id is its group's smallest, with their columns, whatever these are
+    called. Rows that repeat id and text stay once; texts that differ under one id are separate
+    documents, as in ``groups``."""
+    rows = packed(docs)
     marks = groups(docs, level).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     repeated = written(
-        docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"), "repeated-ids"
+        rows.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"), "repeated-ids"
     )
     if repeated.isEmpty():
-        return kept
+        return unpacked(kept, docs)
     again = F.col("doc_id").eqNullSafe(F.col("_id"))
     # Texts are only dealt by their content where an id is not unique.
     few = kept.join(repeated, again, "left_semi").withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"])
-    return kept.join(repeated, again, "left_anti").unionByName(few.drop("_key"))
+    return unpacked(kept.join(repeated, again, "left_anti").unionByName(few.drop("_key")), docs)

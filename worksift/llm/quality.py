@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from worksift.llm.common import data, mix, slices, whole_text, words
+from worksift.llm.common import data, mix, packed, slices, unpacked, whole_text, words
 
 SAMPLE_ROWS = 6_000  # labelled rows a model is fitted on, at most
 SAMPLE_BYTES = 24_000_000  # and the bytes of their texts
@@ -275,5 +275,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` predicted as label 1, with their columns."""
-    return classify(docs, labels).where("predicted = 1").select(*docs.columns)
+    """The rows of ``docs`` predicted as label 1, with their columns, whatever these are called."""
+    return unpacked(classify(packed(docs), labels).where("predicted = 1"), docs)

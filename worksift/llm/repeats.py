@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from worksift.llm.common import data, files_folder, mix, offsets, open_files
+from worksift.llm.common import data, files_folder, mix, offsets, open_files, packed, unpacked
 from worksift.plans.storage import written
 
 LENGTH = 100  # bytes of the strings that must not repeat
@@ -512,11 +512,12 @@ def remove(docs: DataFrame, texts: bool = False, batch_bytes: int = BATCH_BYTES,
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with repeated strings cut from ``text``, and ``n_chars`` counted anew
-    where there is such a column. Rows that lose their whole text stay, empty."""
-    out = remove(docs, texts=True).withColumnRenamed("kept_text", "text")
+    where there is such a column; all other columns keep their values, whatever they are called. Rows
+    that lose their whole text stay, empty."""
+    rest = unpacked(remove(packed(docs), texts=True).withColumnRenamed("kept_text", "text"), docs)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        rest = rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _outcome(raw: np.ndarray, gone: np.ndarray, texts: bool) -> tuple:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worksift.llm.common import packed, unpacked
 from worksift.plans.storage import written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -164,8 +165,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a hit, with their columns."""
+    """The rows of ``docs`` without a hit, with their columns, whatever these are called."""
     hit = contamination(docs, items).where("contaminated")
     hit = written(hit.select(F.col("doc_id").alias("_id"), "text_key").distinct(), "contaminated")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_key"))
-    return docs.join(hit, same, "left_anti")
+    return unpacked(packed(docs).join(hit, same, "left_anti"), docs)
