@@ -1,5 +1,6 @@
 """The corpus pipeline: raw documents to token ids, one operator per stage.
 
+Columns besides ``doc_id`` and ``text`` travel as one, so they may have any names.
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept. ``run``
 writes each stage's result to the shared folder and reads it again, so a lost executor costs a
 stage's tasks and not the stages before.
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worksift.llm import forest, pieces, quality, repeats, winnow
-from worksift.llm.common import small_batches, table
+from worksift.llm.common import packed, small_batches, table, unpacked
 from worksift.llm.registry import tokenizer_file
 from worksift.plans.storage import written
 
@@ -40,19 +41,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+MADE = ("ids", "starts", "ends", "n_tokens", "decoded_sha256")  # columns of the last stage's own
+
+
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns but the text, with its ids, the original bytes each stands for, their number
-    and the decoded text's digest."""
+    and the decoded text's digest. A column of ``docs`` that is called like one of these gives way to it."""
     small_batches(spark)
-    encoded = pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
-    return encoded.select(
-        *[c for c in docs.columns if c != "text"],
-        "ids",
-        "starts",
-        "ends",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+    encoded = pieces.encode(packed(docs.drop(*MADE)), tokenizer_file("piece_bpe_32k.model")).withColumns(
+        {"n_tokens": F.size("ids").cast("bigint"), "decoded_sha256": F.sha2("decoded", 256)}
     )
+    kept = docs.drop("text", *MADE)
+    return unpacked(encoded, docs.drop(*MADE), MADE).select(*[F.col(f"`{c}`") for c in (*kept.columns, *MADE)])
 
 
 STAGES = [
