@@ -34,6 +34,32 @@ def test_exact_quantiles_match_the_exclusive_method_with_and_without_brackets(sp
             assert got[k] == want, k
 
 
+def test_brackets_are_narrowed_until_they_are_small(spark, monkeypatch):
+    """Groups of many distinct values, and of few that repeat: what is sorted stays below the bound."""
+    from worksift.plans import ranking
+
+    brackets = []
+    keep = ranking._narrowed
+    monkeypatch.setattr(ranking, "_narrowed", lambda *a: brackets.append(keep(*a)) or brackets[-1])
+    spread = spark.range(300_000).select(F.lit("spread").alias("k"), (F.col("id") * 37 % 300_000).cast("double").alias("v"))
+    piled = spark.range(60_000).select(F.lit("piled").alias("k"), (F.col("id") % 3 * 10).cast("double").alias("v"))
+    few = spark.range(7).select(F.lit(None).cast("string").alias("k"), F.col("id").cast("double").alias("v"))
+    rows = spread.unionByName(piled).unionByName(few)
+    small = 500
+    out = exact_quantiles(rows, ["k"], "v", {"q1": 1, "med": 2, "q3": 3}, accuracy=1000, small=small)
+    assert {r.k: (r.q1, r.med, r.q3) for r in out.collect()} == {"spread": (74999.25, 149999.5, 224999.75), "piled": (0.0, 10.0, 20.0), None: (1.0, 3.0, 5.0)}
+    sorted_values = 0
+    edges = {r.k: r._edge for r in brackets[0].collect()}
+    for i in range(3):
+        low, high = edges["spread"][2 * i], edges["spread"][2 * i + 1]
+        inside = spread.where(F.col("v").between(low, high)).count()
+        assert inside <= small
+        sorted_values += inside
+    assert sorted_values < 3 * small
+    whole = exact_quantiles(spread.select("v"), [], "v", {"med": 2}, accuracy=1000, small=small)
+    assert whole.first().med == 149999.5 and len(brackets) == 2
+
+
 def test_running_totals_and_group_ranks(spark, monkeypatch):
     from worksift.plans import ranking
 

@@ -161,3 +161,39 @@ def test_rank_stability_of_equal_runs(spark):
     run = spark.createDataFrame([(f"w{i}", float(i % 9)) for i in range(100)], "work_id string, score double")
     row = scores.rank_stability(run, run, 10).first()
     assert abs(row.spearman - 1) < 1e-12 and row.jaccard_top_k == 1.0
+
+
+def plain_rho(a, b):
+    """Spearman by average ranks."""
+    rank = lambda x: np.array([(np.sum(x < v) + (np.sum(x == v) + 1) / 2) for v in x])
+    return np.corrcoef(rank(a), rank(b))[0, 1]
+
+
+def test_forests_of_several_runs_against_a_plain_version(crowd):
+    """Smaller forests are the first trees of larger ones, and agreement is that of plain ranks and sets."""
+    seeds, sizes = (42, 7), (5, 20)
+    runs = scores.run_scores(crowd, as_of(), seeds, sizes).toPandas().pivot(index="work_id", columns="run", values="score")
+    assert list(runs.columns) == [0, 1, 2, 3]
+    points = ensemble.feature_points(crowd, as_of())
+    alone = ensemble.isolation_runs(points, ensemble.anomaly_features(crowd, as_of()), [7], [5]).select(*ensemble.POINT, F.col("runs")[0].alias("x"))
+    of = crowd.select("work_id", *[c.alias(n) for n, c in ensemble.point_columns(as_of()).items()]).join(alone, ensemble.POINT)
+    want = {r.work_id: round(r.x, 9) for r in of.collect()}
+    assert all(abs(runs[2][w] - x) < 1e-9 for w, x in want.items())
+    k, pairs = 10, [(0, 2), (1, 3), (0, 1)]
+    long = scores.run_scores(crowd, as_of(), seeds, sizes)
+    got = {(r.run_a, r.run_b): r for r in scores.forest_stability(long, pairs, k).collect()}
+    assert set(got) == set(pairs)
+    for a, b in pairs:
+        assert abs(got[a, b].spearman - plain_rho(runs[a].to_numpy(), runs[b].to_numpy())) < 1e-9
+        top = [set(sorted(runs.index, key=lambda w: (-runs[r][w], w))[:k]) for r in (a, b)]
+        assert abs(got[a, b].jaccard_top_k - len(top[0] & top[1]) / len(top[0] | top[1])) < 1e-9
+
+
+def test_every_tree_gets_its_sample(crowd):
+    rows = ensemble.anomaly_features(crowd, as_of())
+    total = rows.count()
+    nodes = ensemble.forest_nodes(rows, total, [42], 30).toPandas()
+    assert nodes["rows"].unique().tolist() == [min(total, 256)] and nodes.groupby("tree").ngroups == 30
+    for _, tree in nodes.groupby("tree"):
+        inner = tree[tree["axis"] >= 0]
+        assert set(tree["node"]) == {0, *(2 * inner["node"] + 1), *(2 * inner["node"] + 2)}

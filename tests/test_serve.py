@@ -53,6 +53,24 @@ def test_pages_cover_the_queue_without_gaps(merged, monkeypatch):
     assert row.flagged_beyond_quota == sum(r.flagged for r in ranked.values() if r.display_rank > 3)
 
 
+def test_a_page_is_one_read_of_a_range_of_ranks(spark, merged, monkeypatch):
+    from worksift.plans import ranking
+
+    monkeypatch.setattr(ranking, "_BLOCK_ROWS", 7)
+    stored = serve.works_stored(merged)
+    rows, _ = serve.works_page(stored, serve.WorksQuery(scope="under_implementation", page=2, page_size=8), as_of())
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = rows.select("*")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    want = sorted(r.inspection_rank for r in merged.where(serve.under_implementation()).collect())[8:16]
+    assert f"GreaterThanOrEqual(inspection_rank,{want[0]})" in plan and f"LessThanOrEqual(inspection_rank,{want[-1]})" in plan
+    assert [(r.display_rank, r.inspection_rank) for r in rows.orderBy("display_rank").collect()] == [*zip(range(9, 17), want)]
+    # Files of the stored table hold ranges of ranks that do not overlap.
+    ends = stored.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.min("inspection_rank").alias("a"), F.max("inspection_rank").alias("b")).orderBy("a").collect()
+    assert all(x.b < y.a for x, y in zip(ends, ends[1:]))
+
+
 def test_no_quota_outside_the_population_and_nothing_found(merged):
     _, meta = serve.works_page(merged, serve.WorksQuery(), as_of())
     assert (meta.first().quota_n, meta.first().flagged_beyond_quota, meta.first().total) == (None, None, 60)

@@ -127,6 +127,50 @@ def test_snapshots(spark, make_works, tmp_path):
         snapshot.latest_snapshot_select(snapshot.read_snapshots(spark, folder))
 
 
+def test_a_half_written_snapshot_is_never_read(spark, make_works, tmp_path, monkeypatch):
+    folder, name = str(tmp_path), "20240101T000000Z"
+    with pytest.raises(ValueError, match="no complete snapshot"):
+        snapshot.snapshot_open(spark, folder)
+    works = make_works({}, {})
+    snapshot.snapshot_write({"works": works, "ids": works.select("work_id")}, folder, name, generated_at="1", source="a", source_rung=2)
+
+    def broken(*args):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(spark), "createDataFrame", broken)
+        with pytest.raises(OSError):  # all tables are there, the manifest is not
+            snapshot.snapshot_write({"works": works.limit(1)}, folder, "20250101T000000Z", generated_at="2")
+    manifest, tables = snapshot.snapshot_open(spark, folder)
+    assert manifest.first().snapshot == name and tables["works"].count() == 2
+    assert {(r.table, r.rows, r.complete) for r in snapshot.snapshot_counts(manifest, tables).collect()} == {("works", 2, True), ("ids", 2, True)}
+    assert snapshot.read_snapshots(spark, folder).count() == 2
+
+    # Written again: the new attempt replaces the old one; a worse source is refused unless forced.
+    again = {"works": works.limit(1), "ids": works.select("work_id")}
+    with pytest.raises(snapshot.SnapshotDowngrade):
+        snapshot.snapshot_write(again, folder, name, generated_at="3", source_rung=5)
+    snapshot.snapshot_write(again, folder, name, generated_at="3", source_rung=5, force=True)
+    manifest, tables = snapshot.snapshot_open(spark, folder)
+    assert tables["works"].count() == 1 and tables["works"].schema == works.schema
+    assert manifest.first().row_count == 1 and manifest.first().contract_sha256 == contract.contract_sha256()
+    assert [r.snapshot for r in snapshot.read_snapshots(spark, folder).collect()] == [name]
+
+
+def test_receipts_tell_what_changed(make_works):
+    rows = make_works(*[{"state": f"S{i}"} for i in range(20)])
+    receipt = lambda **inputs: snapshot.input_receipts([(n, df, True, None) for n, df in inputs.items()])
+    last = receipt(same=rows, fewer=rows, other=rows, wider=rows, gone=rows)
+    now = receipt(same=rows.repartition(3, "state"), fewer=rows.limit(5), other=rows.withColumn("state", F.lower("state")), wider=rows.withColumn("x", F.lit(1)), fresh=rows)
+    out = {r.input: (r.change, r.differs) for r in snapshot.receipt_changes(now, last).collect()}
+    assert out == {
+        "same": ("same", []), "fewer": ("changed", ["rows", "content"]), "other": ("changed", ["content"]),
+        "wider": ("changed", ["layout", "content"]), "gone": ("gone", []), "fresh": ("new", []),
+    }
+    old = last.withColumn("contract_sha256", F.lit("x")).withColumn("config_sha256", F.lit("y"))
+    assert {tuple(r.differs) for r in snapshot.receipt_changes(last, old).collect()} == {("contract", "config")}
+
+
 def test_receipts_do_not_depend_on_order(make_works):
     rows = make_works(*[{"state": f"S{i}"} for i in range(20)])
     a, b = (snapshot.input_receipts([("works", df, True, None)]).first() for df in (rows, rows.repartition(3, "state")))

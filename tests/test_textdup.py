@@ -2,11 +2,13 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from worksift import config
 from worksift.operators import judged, textdup
+from worksift.plans.storage import written
 
 WORDS = "road village school ward bridge drain pond library hall light tank pump wall gate yard phase".split()
 
@@ -91,6 +93,46 @@ def test_similar_pairs_equal_brute_force(described, monkeypatch, masks, hot, sco
     assert all(abs(got[k][0] - want[k][0]) < 2e-4 and got[k][1:] == want[k][1:] for k in want)
 
 
+def test_most_pairs_are_ruled_out_before_vectors_are_read(spark):
+    """On whole documents under 30 % of the pairs in scope are scored, and none that counts is lost."""
+    from worksift.queries import catalog
+
+    sf = "/root/testdata/sf0.01"
+    numbered, features = catalog.text_space(spark, sf)
+    scoped = textdup.scoped_texts(catalog.texts(spark, sf, "lang", "source"), numbered, "constituency")
+    runs = textdup._runs(scoped)
+    candidates = written(textdup._candidate_runs(runs, textdup._prefixes(features, config.CHARACTER_MIN, True)), "candidates")
+    bounded = textdup.bounded_pairs(runs, candidates, features, config.CHARACTER_MIN, True)
+    sizes = scoped.select("scope", "t").distinct().groupBy("scope").count().collect()
+    in_scope = sum(r["count"] * (r["count"] - 1) // 2 for r in sizes)
+    proposed, kept = bounded.agg(F.sum("proposed"), F.sum("kept")).first()
+    found = textdup.similar_pairs(scoped, features, config.CHARACTER_MIN, True).count()
+    assert found <= kept < 0.3 * in_scope and proposed <= in_scope
+    assert found > 1000
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_summaries_never_understate(spark, seed):
+    """The product of two summaries is at least that of the vectors, and bitmaps bound shared words."""
+    rng = np.random.default_rng(seed)
+    vocabulary, rows = 9_000, []
+    for t in range(12):
+        ids = np.sort(rng.choice(np.arange(1, vocabulary + 1), rng.integers(1, 900), replace=False))
+        w = rng.random(len(ids)) ** 3 + 1e-6
+        rows.append((t, ids.tolist(), (w / np.linalg.norm(w)).tolist()))
+    df = spark.createDataFrame(rows, "t int, g array<bigint>, w array<double>")
+    made = df.withColumns({"s": textdup.piece_summary(vocabulary)("g", "w"), "b": textdup.word_bits("g")}).orderBy("t").collect()
+    dense = textdup._dense([r.s for r in made], textdup._HEAD + textdup._BUCKETS)
+    bits = [np.frombuffer(r.b, np.uint64) for r in made]
+    for i, x in enumerate(made):
+        assert len(x.s) <= 4 * len(x.g)
+        for j, y in enumerate(made):
+            other = dict(zip(y.g, y.w))
+            true = sum(w * other.get(g, 0.0) for g, w in zip(x.g, x.w))
+            assert float(dense[i] @ dense[j]) >= true - 1e-5
+            assert len(set(x.g) & set(y.g)) <= (len(x.g) + len(y.g) - int(np.bitwise_count(bits[i] ^ bits[j]).sum())) // 2
+
+
 def test_a_pair_by_words_alone(make_works):
     long = "alphabetical bibliographical cartographical demographical"
     rows = [{"work_description": t} for t in ("x y z " + long, "x y z w " + long, "q " * 3)]

@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or else one under the warehouse, which every
-    session has and a cluster shares."""
+    """The folder named by ``spark.checkpoint.dir``, or else one under the warehouse, which a cluster
+    shares. Where neither is set, the warehouse is a folder of this machine: that will do for a
+    local session only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/checkpoints".rstrip("/")
 
 
 def run_dir(spark: SparkSession) -> str:
