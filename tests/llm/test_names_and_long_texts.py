@@ -135,3 +135,22 @@ def test_a_bare_folder_is_qualified_by_sparks_file_system(spark, monkeypatch):
         assert common.files_folder(spark, "x") == "viewfs://other/shared/run/x"
     finally:
         conf.set("fs.defaultFS", before)
+
+
+def test_windows_that_many_items_share_are_one_row_per_place(spark, monkeypatch):
+    """200 documents hold a window of 100 items in five places each: 1,000 rows, not 100,000."""
+    window = " ".join(f"shared{k}" for k in range(10))
+    texts = [(i, " ".join(f"{window} own{i}x{k}" for k in range(5))) for i in range(200)]
+    items = [(i, f"{window} item{i}") for i in range(100)]
+    counts, keep = {}, winnow.written
+
+    def counted(df, label):
+        out = keep(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(winnow, "written", counted)
+    out = winnow.contamination(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    rows = out.collect()
+    assert counts["hits"] == 1000
+    assert {(r["n_hit"], r["n_items"], r["contaminated"]) for r in rows} == {(50, 100, True)}

@@ -136,7 +136,10 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = None
     for part in candidates:
         hits = part if hits is None else hits.unionByName(part)
-    hits = written(hits.join(windows, ["length", "window"]), "hits")
+    # Places first, items after: a window that many items share is one row per place, and a document
+    # that holds it many times meets its items once.
+    known = written(windows.select("length", "window").distinct(), "windows")
+    hits = written(hits.join(known, ["length", "window"], "left_semi"), "hits")
     key = ["doc_id", "text_key"]
     hit_words = (
         hits.select(*key, "at", "length").distinct()
@@ -146,7 +149,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n_hit"))
     )
     hit_items = (
-        hits.select(*key, "item_id").distinct().groupBy(*key)
+        hits.select(*key, "length", "window").distinct().join(windows, ["length", "window"])
+        .select(*key, "item_id").distinct().groupBy(*key)
         .agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
     )
     marked = hit_words.join(
