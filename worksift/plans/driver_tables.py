@@ -100,12 +100,20 @@ def works_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SNAPSHOTS: dict[tuple[str, str], DataFrame] = {}
+def version(spark: SparkSession, sf_dir: str) -> int:
+    """A number that changes with the tables of a folder: their names, sizes and times of change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return hash(tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
+_SNAPSHOTS: dict[tuple[str, str, int], DataFrame] = {}
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The works table, built once per application and then read like any stored snapshot."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The works table, built once per application and state of the given tables, and then read like
+    any stored snapshot."""
+    key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir))
     if key not in _SNAPSHOTS:
         _SNAPSHOTS[key] = written(works_full(spark, sf_dir), "works")
     return _SNAPSHOTS[key]

@@ -31,10 +31,10 @@ def query(fn: Query) -> Query:
 
 
 def stored(fn):
-    """Build once per application and scale."""
+    """Build once per application and state of the given tables."""
 
     def build(spark: SparkSession, sf_dir: str, *args):
-        key = (fn.__name__, spark.sparkContext.applicationId, sf_dir, *args)
+        key = (fn.__name__, spark.sparkContext.applicationId, sf_dir, given.version(spark, sf_dir), *args)
         if key not in _STORED:
             _STORED[key] = fn(spark, sf_dir, *args)
         return _STORED[key]

@@ -20,13 +20,12 @@ def append_outcomes(arrivals: DataFrame, works: DataFrame, ledger_path: str, che
     columns = ["outcome_id", "work_id", "inspected_on", "inspector_id", "supersedes"]
 
     def accept(batch: DataFrame, batch_id: int) -> None:
-        try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             # ``basePath`` keeps the partition column.
             recorded = spark.read.option("basePath", ledger_path).parquet(ledger_path)
             ledger = recorded.where(F.col("reason").isNull() & (F.col("batch") != batch_id)).select(*columns)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
+        else:
             ledger = batch.where(F.lit(False)).select(*columns)
         verdicts = outcome_accept(ledger, batch, works, F.current_date())
         verdicts.write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
