@@ -228,7 +228,7 @@ def outcome_accept(ledger: DataFrame, batch: DataFrame, works: DataFrame, today:
         if decided.isEmpty():
             raise RuntimeError("no open outcome can be decided: positions are not unique")
         verdicts = verdicts.unionByName(decided.select("outcome_id", "reason"))
-        settled = written(settled.unionByName(decided.select(*ids, F.col("reason").isNull().alias("accepted"))), "settled")
+        settled = settled.unionByName(decided.select(*ids, F.col("reason").isNull().alias("accepted")))
         open_rows = written(open_rows.join(decided.select("outcome_id"), "outcome_id", "left_anti"), "open")
     # Rows without an id cannot be joined to a verdict; theirs is known.
     unnamed = rows.where(F.col("outcome_id").isNull())
@@ -282,7 +282,7 @@ def _decided(open_rows: DataFrame, settled: DataFrame) -> DataFrame:
         .join(target, "supersedes", "left")
         .join(waiting, "supersedes", "left")
     )
-    view = written(linked.unionByName(plain, allowMissingColumns=True), "view")
+    view = linked.unionByName(plain, allowMissingColumns=True)
     amends, of_triple = F.col("supersedes").isNotNull(), F.col("position") == F.col("_first")
     # Open rows before this one that may yet be accepted, and belong to its work.
     waits = F.coalesce(
@@ -297,34 +297,41 @@ def _decided(open_rows: DataFrame, settled: DataFrame) -> DataFrame:
         .when(F.col("_taken").isNotNull(), "duplicate_outcome")
     )
     doomed = amends & ~waits & ~valid_target  # whatever else holds
-    ready = doomed | ((F.col("_taken").isNotNull() | of_triple) & (~amends | (~waits & of_target)))
+    lost = F.col("_taken").isNotNull()
+    ready = doomed | ((lost | of_triple) & (~amends | (~waits & of_target)))
     columns = open_rows.columns
-    now = written(view.where(ready).select(*columns, reason.alias("reason")), "ready")
-    # The first amendment of its target and the first of its triple: accepted if its target is. A row
-    # whose triple is taken waits in the same way for its reason, but nothing waits for it.
-    follows = amends & waits & (F.col("_taken").isNotNull() | of_triple) & (F.col("position") == F.col("_first_amend"))
-    chain = written(view.where(follows).select(*columns, F.col("_taken").isNotNull().alias("_lost")), "chain")
+    # Rows that wait for the row they amend. Below a refused row all are refused. Below an accepted one
+    # a row is accepted if it and all between are the first of their triple and the first amendment of
+    # their target. A row whose triple is taken waits in the same way for its reason.
+    strong = (lost | of_triple) & (F.col("position") == F.col("_first_amend"))
+    seen = view.select(*columns, reason.alias("reason"), ready.alias("_ready"), (amends & waits).alias("_waits"), lost.alias("_lost"), strong.alias("_strong"))
+    seen = written(seen.where("_ready or _waits"), "view")
+    now = seen.where("_ready").select(*columns, "reason")
+    chain = seen.where("_waits").select(*columns, "_lost", "_strong")
     if chain.isEmpty():
         return now
-    ends = _ends(chain.select("outcome_id", "supersedes"))
+    ends = _ends(chain.select("outcome_id", "supersedes", "_strong"))
     fate = now.select(F.col("outcome_id").alias("_end"), F.col("reason").isNull().alias("_ok"))
     verdict = F.when(~F.col("_ok"), "invalid_supersedes").when(F.col("_lost"), "duplicate_outcome")
-    chained = chain.join(ends, "outcome_id").join(fate, "_end").select(*columns, verdict.alias("reason"))
-    return now.unionByName(chained)
+    chained = chain.drop("_strong").join(ends, "outcome_id").join(fate, "_end").where("_strong or not _ok")
+    return now.unionByName(chained.select(*columns, verdict.alias("reason")))
 
 
 def _ends(links: DataFrame) -> DataFrame:
-    """``outcome_id, _end``: where each row's chain of ``supersedes`` leaves ``links``. Every row
-    points at its target first and at its target's target's pointer from then on, so a chain of n rows
-    takes log n rounds."""
-    steps = written(links.select("outcome_id", F.col("supersedes").alias("_end")), "steps")
+    """``outcome_id, _end, _strong``: where each row's chain of ``supersedes`` leaves ``links``, and whether
+    all links up to there are strong. Every row points at its target first and at its target's target's
+    pointer from then on, so a chain of n rows takes log n rounds."""
+    steps = written(links.select("outcome_id", F.col("supersedes").alias("_end"), "_strong"), "steps")
     while True:
-        further = steps.select(F.col("outcome_id").alias("_end"), F.col("_end").alias("_next"))
+        further = steps.select(F.col("outcome_id").alias("_end"), F.col("_end").alias("_next"), F.col("_strong").alias("_further"))
         stepped = written(
-            steps.join(further, "_end", "left").select("outcome_id", F.coalesce("_next", "_end").alias("_end"), F.col("_next").isNotNull().alias("_moved")),
+            steps.join(further, "_end", "left").select(
+                "outcome_id", F.coalesce("_next", "_end").alias("_end"), (F.col("_strong") & F.coalesce("_further", F.lit(True))).alias("_strong"),
+                F.col("_next").isNotNull().alias("_moved"),
+            ),
             "steps",
         )
-        steps = stepped.select("outcome_id", "_end")
+        steps = stepped.drop("_moved")
         if stepped.where("_moved").isEmpty():
             return steps
 
