@@ -226,3 +226,42 @@ def test_pending_sample_is_spread_evenly(spark):
     other = items.select("*", *[F.lit("other").alias(k) for k in stamp])
     todo = judged.judge_pending(items, answered.unionByName(other), stamp, limit=6)
     assert sorted(r.scope for r in todo.collect()) == [f"s{i:02d}" for i in range(3, 23, 3)][:6]
+
+
+def test_a_text_is_sent_once_to_a_tile(spark):
+    """Every run meets every other; the texts of a run go to a few tiles, not to every partner."""
+    masks = [f"array({', '.join(['1L'] * textdup._MASKS)}) as masks_{s}" for s in "ab"]
+    pairs = spark.range(20).crossJoin(spark.range(20).withColumnRenamed("id", "b")).where("id <= b").selectExpr("'s' as scope", "id as run_a", "b as run_b", *masks)
+    tiled, tiles = textdup._tiled(pairs, 5)
+    sent = textdup._wanted(tiled, lambda s: F.col(f"masks_{s}"))
+    assert tiled.count() == 210 and tiles == 10
+    assert sent.count() == sent.select("scope", "tile_a", "tile_b", "side", "run").distinct().count() == 100
+
+
+def test_district_pairs_need_two_constituencies(make_works):
+    rows = [
+        {"work_description": f"construction of the community hall roof number {n}", "constituency": c, "implementing_district_authority": "D"}
+        for n, c in (("one", "C1"), ("two", "C1"), ("three", "C2"), ("four", None), ("five", "C1"), ("five", "C3"))
+    ]
+    texts = textdup.described(make_works(*rows))
+    numbered = textdup.distinct_texts(texts)
+    features = textdup.text_features(numbered)
+    scoped = textdup.scoped_texts(texts, numbered, "authority")
+    mark = {r.t: r.canonical.split()[-1] for r in numbered.collect()}
+    found = textdup.similar_pairs(scoped, features, 0.3, False, span=("constituency_first", "constituency_last")).collect()
+    apart = {"one three", "one five", "two three", "two five", "three five", "four five"}
+    assert {frozenset((mark[r.a], mark[r.b])) for r in found} == {frozenset(x.split()) for x in apart}
+
+
+def test_pieces_are_counted_once_for_vocabulary_and_features(spark, monkeypatch):
+    from worksift.queries import catalog
+
+    calls = []
+    counted = textdup.char_tfidf
+    monkeypatch.setattr(textdup, "char_tfidf", lambda numbered: calls.append(1) or counted(numbered))
+    monkeypatch.setattr(catalog, "_STORED", {})
+    sf = "/root/testdata/sf0.001"
+    assert catalog.char_tfidf(spark, sf).count() > 0 and len(calls) == 1
+    assert not any(k[0] == "text_space" for k in catalog._STORED)  # no vectors for a vocabulary
+    catalog.text_space(spark, sf)
+    assert len(calls) == 1
