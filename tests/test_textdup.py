@@ -265,3 +265,12 @@ def test_pieces_are_counted_once_for_vocabulary_and_features(spark, monkeypatch)
     assert not any(k[0] == "text_space" for k in catalog._STORED)  # no vectors for a vocabulary
     catalog.text_space(spark, sf)
     assert len(calls) == 1
+
+
+def test_summaries_name_places_and_agencies(make_works):
+    row = lambda c, a: {"work_description": "hall", "constituency": c, "implementing_district_authority": "D", "implementing_agency": a}
+    texts = textdup.described(make_works(row("C2", "A2"), row("C1", None), row("C2", "A1"), row("C1", "A2")))
+    (whole,) = textdup.text_group_summary(texts, "authority").collect()
+    assert (whole.constituencies, whole.agencies, whole.constituencies_count, whole.agencies_count) == (["C1", "C2"], ["A1", "A2"], 2, 2)
+    parts = {r.scope: (r.constituencies, r.agencies) for r in textdup.text_group_summary(texts, "constituency").collect()}
+    assert parts == {"C1": (["C1"], ["A2"]), "C2": (["C2"], ["A1", "A2"])}
