@@ -186,3 +186,19 @@ def test_last_completion_follows_file_names_not_sizes(spark, tmp_path):
     rows = tiles.tile_unwrap(tiles.read_tile_documents(spark, str(tmp_path)))
     found = tiles.completed_lookup(tiles.parse_completed(rows)).collect()
     assert [(r.work_id, str(r.completion_date)) for r in found] == [("1", "2020-01-01")]
+
+
+def test_tiles_are_read_once_and_only_those_asked_for(spark, monkeypatch):
+    from worksift.queries import catalog
+
+    labels = []
+    store = catalog.written
+    monkeypatch.setattr(catalog, "written", lambda df, label: labels.append(label) or store(df, label))
+    monkeypatch.setattr(catalog, "_STORED", {})
+    assert catalog.tile_parse(spark, "/root/testdata/sf0.001").count() > 0
+    assert labels == ["tile_sanctioned"]
+    documents = spark.createDataFrame([('{"Works": "[{\\"a\\": \\"1\\"}]"}',)], "document string")
+    unwrapped = tiles.tile_unwrap(documents)
+    assert [r.row for r in unwrapped.collect()] == [{"a": "1"}]
+    plan = unwrapped._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2
