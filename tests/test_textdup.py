@@ -185,6 +185,30 @@ def test_difference_classes(make_works):
     assert out[frozenset({"new", "old"})] == "conflicting_detail"
 
 
+def test_differences_of_pairs_dealt_to_squares(spark, monkeypatch):
+    """A hub text, a repeated pair, a pair without its text: the same words in whatever squares, in bounded batches."""
+    monkeypatch.setattr(textdup, "_PAIRS_TOGETHER", 3)
+    monkeypatch.setattr(textdup, "_WORDS_TOGETHER", 5)
+    texts = {1: "a b c", 2: "a b c d", 3: "c a x", 4: "b a c", 5: "z"}
+    numbered = spark.createDataFrame(list(texts.items()), "t bigint, canonical string")
+    made = [("s", 1, b) for b in (2, 3, 4, 5)] + [("s", 1, 2), (None, 2, 3), ("r", 2, 9), ("r", None, 2)]
+    pairs = spark.createDataFrame(made, "scope string, a bigint, b bigint")
+    wanted = []
+    for scope, a, b in made:
+        if a in texts and b in texts:
+            x, y = (set(texts[t].split()) for t in (a, b))
+            kind = ("reworded_match", "one_sided_detail", "conflicting_detail")[bool(x - y) + bool(y - x)]
+            wanted.append((scope or "", a, b, sorted(x & y), sorted(x - y), sorted(y - x), kind))
+    rows = textdup.pair_difference(pairs, numbered, common=())
+    got = [(r.scope or "", r.a, r.b, r.shared_tokens, r.only_a_tokens, r.only_b_tokens, r.difference_group) for r in rows.collect()]
+    assert sorted(got) == sorted(wanted)
+    short = textdup.pair_difference(pairs, numbered, common=(), lists=False)
+    assert short.columns == [*pairs.columns, "difference_group"]
+    assert sorted((r.scope or "", r.a, r.b, r.difference_group) for r in short.collect()) == sorted((*w[:3], w[-1]) for w in wanted)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "_part_a" in plan  # words do not travel with each pair
+
+
 def test_verify_names_the_first_broken_rule(spark):
     rows = [
         ("ok", "Hall at Ward 7", "hall, WARD 7.", "Hall", "Ward 7", None, "WARD 7", "same_asset_same_place", None),
