@@ -54,7 +54,8 @@ def score_all(works: DataFrame, as_of: Column, ensemble: DataFrame | None | bool
         flagged = flagged.withColumns(point_columns(as_of)).join(points, POINT, "left")
         signal = F.col("ensemble")
     scored = flagged.withColumn("risk_score", risk_score(F.col("flags"), signal))
-    narrow = scored.select(*[c for c in SCORED_COLUMNS if c != "inspection_rank"])
+    # Ranking samples its rows before it sorts them: written, they are scored once and not twice.
+    narrow = written(scored.select(*[c for c in SCORED_COLUMNS if c != "inspection_rank"]), "unranked")
     return inspection_rank(narrow).select(*SCORED_COLUMNS)
 
 
