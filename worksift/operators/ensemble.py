@@ -220,7 +220,9 @@ def isolation_forest(points: DataFrame, rows: DataFrame) -> DataFrame:
 
 # -- local outlier factor ---------------------------------------------------------------------
 
-_CELL_POINTS = 500  # distinct points aimed at per cell
+_CELL_POINTS = 500  # distinct points aimed at per cell, and at least
+_TASK_POINTS = 20_000  # distinct points of a task's cell at most, which is cut into cells again
+_CELLS_PER_CORE = 4
 _MAX_CELLS = 1 << 14  # larger cells are cut again inside their task
 _CELL_SAMPLE = 100
 _BRUTE_POINTS = 4_000
@@ -290,16 +292,14 @@ def _touched(cells: dict[str, np.ndarray], x: np.ndarray, radius: np.ndarray) ->
     return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
 
 
-_NEAR_SCHEMA = "point bigint, neighbour bigint, distance double, weight bigint"
-
-
 _NEAR_COLUMNS = ["point", "neighbour", "distance", "weight"]
 
 
 def _first_k(point, neighbour, distance, weight, k: int) -> pd.DataFrame:
     """Per point the closest neighbours (ties by number) until their weights reach ``k``."""
     order = np.lexsort((neighbour, distance, point))
-    point, neighbour, distance, weight = (v[order] for v in (point, neighbour, distance, weight))
+    point, neighbour, weight = (v[order].astype(np.int64) for v in (point, neighbour, weight))
+    distance = distance[order].astype(float)
     before = np.cumsum(weight) - weight
     before = before - before[np.searchsorted(point, point, side="left")]
     kept = (weight > 0) & (before < k)
@@ -342,9 +342,8 @@ def _nearest(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFram
         for cell, who in pd.Series(rows).groupby(at):
             who, here = who.to_numpy(), members[cell]
             found.append(_pairwise(q[who], asking[who], bound[who], x[here], ids[here], weights[here], k))
-        if not found:
-            return pd.DataFrame(columns=_NEAR_COLUMNS)
-        return _first_k(*[np.concatenate(c) for c in zip(*found)], k)
+        none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+        return _first_k(*[np.concatenate(c) for c in zip(none, *found)], k)
 
     home = _home(cells, q)
     own = ask(np.arange(len(q)), home)
@@ -357,17 +356,29 @@ def _nearest(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFram
     return _first_k(*[both[c].to_numpy() for c in _NEAR_COLUMNS], k)
 
 
-def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
-    """Exact neighbours of every point: ``point, neighbour, distance, weight`` with the weights
-    of a point adding up to ``k``.
+_ANSWER_SCHEMA = "cell int, point bigint, neighbour bigint, distance double, weight bigint"
+_NO_ONE = -1  # in the place of a neighbour: ``distance`` is a value of the point
+
+
+def _reach(near: pd.DataFrame, k: int) -> pd.Series:
+    """Per point the distance within which its neighbours must lie, where ``k`` are found."""
+    total = near.groupby("point").agg(found=("weight", "sum"), reach=("distance", "max"))
+    return (total["reach"] + 10.0**-_DISTANCE_DECIMALS).where(total["found"] >= k, np.inf)
+
+
+def answered_cells(points: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Points with the cell each lies in (``cell, point, weight`` and features), and what other cells
+    have answered to the points of a cell: ``cell, point, neighbour, distance, weight``.
 
     Each cell answers its own points first. The distance found bounds the true one, so only the
-    cells whose box lies inside it are asked again, and the answers are merged. A cell asked by
-    very many points is copied to several tasks.
+    cells whose box lies inside it are asked again. A cell asked by very many points is copied to
+    several tasks. Neighbours inside a cell are not stored: they are 20 rows a point, and found again
+    by the tasks that need them (``_per_cell``). Large cells have few points that ask others.
     """
     spark = points.sparkSession
     count = points.count()
-    wanted = min(_MAX_CELLS, max(1, count // _CELL_POINTS))
+    size = min(_TASK_POINTS, max(_CELL_POINTS, count // (_CELLS_PER_CORE * spark.sparkContext.defaultParallelism)))
+    wanted = min(_MAX_CELLS, max(1, count // max(size, 1)))
     share = min(1.0, _CELL_SAMPLE * wanted / max(count, 1)) if wanted > 1 else 0.0
     picked = F.xxhash64("point") / F.lit(2.0**64) + 0.5 < share
     # At most about 100 points for each of 16,384 cells.
@@ -378,89 +389,97 @@ def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
     def home(*columns: pd.Series) -> pd.Series:
         return pd.Series(_home(cells.value, np.column_stack([c.to_numpy() for c in columns])))
 
-    placed = points.select("point", "weight", *FEATURES, home(*FEATURES).alias("cell"))
+    placed = points.select(home(*FEATURES).alias("cell"), "point", "weight", *FEATURES)
 
-    def answer_own(rows: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(rows, rows, k)
+    def asks(here: pd.DataFrame) -> pd.DataFrame:
+        radius = _reach(_nearest(here, here, k), k).reindex(here["point"]).fillna(np.inf).to_numpy()
+        rows, found = _touched(cells.value, here[FEATURES].to_numpy(), radius)
+        away = found != here["cell"].iloc[0]
+        out = here.iloc[rows[away]][["cell", "point", *FEATURES]]
+        return out.assign(ask_cell=found[away], radius=radius[rows[away]])
 
-    own = written(placed.groupBy("cell").applyInPandas(answer_own, _NEAR_SCHEMA), "near")
-    reached = own.groupBy("point").agg(
-        F.max("distance").alias("radius"), F.sum("weight").alias("_found")
-    )
-    asking = placed.join(reached, "point", "left").withColumn(
-        "radius", F.when(F.col("_found") >= k, F.col("radius") + 10.0**-_DISTANCE_DECIMALS).otherwise(F.lit(float("inf")))
-    )
-
-    @F.pandas_udf("array<int>")
-    def elsewhere(cell: pd.Series, radius: pd.Series, *columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy() for c in columns])
-        rows, found = _touched(cells.value, x, radius.to_numpy())
-        away = found != cell.to_numpy()[rows]
-        order = np.argsort(rows[away], kind="stable")
-        parts = np.split(found[away][order], np.cumsum(np.bincount(rows[away], minlength=len(x)))[:-1])
-        return pd.Series(parts)
-
-    asked = written(
-        asking.withColumn("cell", F.explode(elsewhere("cell", "radius", *FEATURES))).select(
-            "point", "radius", "cell", *FEATURES
-        ),
-        "asked",
-    )
-    load = asked.groupBy("cell").agg(F.ceil(F.count("*") / _QUERIES_PER_TASK).cast("int").alias("_copies"))
+    features = ", ".join(f"{f} double" for f in FEATURES)
+    asked = written(placed.groupBy("cell").applyInPandas(asks, f"cell int, point bigint, {features}, ask_cell int, radius double"), "asked")
+    load = asked.groupBy("ask_cell").agg(F.ceil(F.count("*") / _QUERIES_PER_TASK).cast("int").alias("_copies"))
+    load = F.broadcast(load)  # one row per cell
     copy = F.pmod(F.xxhash64("point"), F.col("_copies")).cast("int")
-    queries = asked.join(load, "cell").select(
-        F.col("cell").alias("ask_cell"), copy.alias("ask_copy"), "point", "radius", *FEATURES
-    )
+    queries = asked.join(load, "ask_cell").withColumn("ask_copy", copy).drop("_copies")
     every = F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))
-    copies = placed.join(load, "cell").select(
-        F.col("cell").alias("here_cell"), every.alias("here_copy"), "point", "weight", *FEATURES
-    )
+    copies = placed.withColumnRenamed("cell", "ask_cell").join(load, "ask_cell").withColumn("ask_copy", every).drop("_copies")
 
-    def answer_others(asked_here: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
+    def answer(asked_here: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
         if asked_here.empty or here.empty:
-            return pd.DataFrame(columns=_NEAR_COLUMNS)
-        return _nearest(asked_here, here, k)
+            return pd.DataFrame(columns=["cell", *_NEAR_COLUMNS])
+        homes = asked_here.set_index("point")["cell"]
+        near = _nearest(asked_here, here, k)
+        return near.assign(cell=homes.loc[near["point"]].to_numpy())
+
+    keys = ["ask_cell", "ask_copy"]
+    others = queries.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(answer, _ANSWER_SCHEMA)
+    return placed, written(others, "answers")
+
+
+def _per_cell(placed: DataFrame, others: DataFrame, k: int, fn, schema: str, values: DataFrame | None = None) -> DataFrame:
+    """``fn`` over each cell's points, their exact neighbours (``point, neighbour, distance, weight`` in
+    order, the weights of a point adding up to ``k``) and the ``values`` (``cell, point, value``) sent to it."""
+    if values is not None:
+        nobody = [F.lit(_NO_ONE).cast("bigint").alias("neighbour"), F.col("value").alias("distance"), F.lit(0).cast("bigint").alias("weight")]
+        others = others.unionByName(values.select("cell", "point", *nobody))
+
+    def each(here: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        answers = more[more["neighbour"] != _NO_ONE]
+        own = _nearest(here, here, k)
+        near = _first_k(*[np.concatenate([own[c].to_numpy(), answers[c].to_numpy()]) for c in _NEAR_COLUMNS], k)
+        before = near.groupby("point")["weight"].cumsum() - near["weight"]
+        near["weight"] = np.minimum(near["weight"], k - before)
+        return fn(here, near, more[more["neighbour"] == _NO_ONE].set_index("point")["distance"])
+
+    return placed.groupBy("cell").cogroup(others.groupBy("cell")).applyInPandas(each, schema)
 
-    others = (
-        queries.groupBy("ask_cell", "ask_copy")
-        .cogroup(copies.groupBy("here_cell", "here_copy"))
-        .applyInPandas(answer_others, _NEAR_SCHEMA)
-    )
-    closest = Window.partitionBy("point").orderBy("distance", "neighbour")
-    before = F.coalesce(
-        F.sum("weight").over(closest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    return (
-        own.unionByName(others)
-        .withColumn("_before", before)
-        .where(F.col("_before") < k)
-        .withColumn("weight", F.least(F.col("weight"), F.lit(k) - F.col("_before")))
-        .drop("_before")
-    )
+
+def _mean(near: pd.DataFrame, value: np.ndarray) -> pd.Series:
+    """Per point the mean of a value over its neighbours by weight."""
+    sums = (near["weight"] * value).groupby(near["point"]).sum()
+    return sums / near.groupby("point")["weight"].sum()
 
 
 def local_outlier_factor(points: DataFrame) -> DataFrame:
-    """Adds ``outlier_factor``: how much sparser a point is than its neighbours."""
+    """Adds ``outlier_factor``: how much sparser a point is than its neighbours.
+
+    Cells exchange one value for each neighbour that lies in another cell, its k-distance and then its
+    density, and never lists of neighbours.
+    """
     total = points.agg(F.sum("weight")).first()[0] or 0
     k = max(1, min(SETTINGS.lof_neighbours, total - 1))
-    near = written(nearest_neighbours(points, k), "neighbours")
-    reach = near.groupBy("point").agg(F.max("distance").alias("k_distance"))
-    weighted = F.sum(F.col("weight") * F.greatest("k_distance", "distance")) / F.sum("weight")
-    density = (
-        near.join(reach.withColumnRenamed("point", "neighbour"), "neighbour")
-        .groupBy("point")
-        .agg((1 / (weighted + 1e-10)).alias("density"))
-    )
-    density = written(density, "density")
-    around = (
-        near.join(density.select(F.col("point").alias("neighbour"), F.col("density").alias("_other")), "neighbour")
-        .groupBy("point")
-        .agg((F.sum(F.col("weight") * F.col("_other")) / F.sum("weight")).alias("_around"))
-    )
-    factors = around.join(density, "point").select(
-        "point", (F.col("_around") / F.col("density")).alias("outlier_factor")
-    )
-    return points.join(factors, "point")
+    placed, others = answered_cells(points, k)
+    schema = "cell int, point bigint, value double"
+
+    def rows(here: pd.DataFrame, value: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"cell": here["cell"].iloc[0], "point": value.index, "value": value.to_numpy()})
+
+    def distances(here: pd.DataFrame, near: pd.DataFrame, sent: pd.Series) -> pd.DataFrame:
+        # Points of other cells whose values this cell needs follow, with -1.
+        foreign = np.setdiff1d(near["neighbour"].to_numpy(np.int64), here["point"].to_numpy(np.int64))
+        reach = near.groupby("point")["distance"].max()
+        return rows(here, pd.concat([reach, pd.Series(-1.0, foreign)]))
+
+    def densities(here: pd.DataFrame, near: pd.DataFrame, sent: pd.Series) -> pd.DataFrame:
+        reach = pd.concat([near.groupby("point")["distance"].max(), sent])
+        other = reach.loc[near["neighbour"]].to_numpy()
+        return rows(here, 1 / (_mean(near, np.maximum(other, near["distance"].to_numpy())) + 1e-10))
+
+    def factors(here: pd.DataFrame, near: pd.DataFrame, sent: pd.Series) -> pd.DataFrame:
+        around = _mean(near, sent.loc[near["neighbour"]].to_numpy())
+        return rows(here, around / sent.loc[around.index])
+
+    reach = written(_per_cell(placed, others, k, distances, schema), "reach")
+    own = F.col("value") >= 0
+    wanted = reach.where(~own).select("cell", "point")
+    sent = wanted.join(reach.where(own).select("point", "value"), "point")
+    density = written(_per_cell(placed, others, k, densities, schema, sent), "density")
+    sent = density.unionByName(wanted.join(density.select("point", "value"), "point").select(*density.columns))
+    out = _per_cell(placed, others, k, factors, schema, sent)
+    return points.join(out.select("point", F.col("value").alias("outlier_factor")), "point")
 
 
 # -- both -------------------------------------------------------------------------------------
